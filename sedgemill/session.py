@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: every broadcast of heavy keys, whatever the size of the data.
 HEAVY_SHARE = 1 / 2000
 
+#: A key with fewer rows than this is no burden for any task.
+HEAVY_LEAST = 20_000
+
 #: White space that is trimmed from keys.
 BLANKS = " \t\r\n\x0b\x0c\xa0 ​　﻿"
 
@@ -62,15 +65,17 @@ def node_key(c: Column) -> Column:
     return F.replace(F.replace(trimmed(c), F.lit("::"), F.lit("/")), F.lit("."), F.lit("/"))
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, weight: str | None = None) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, weight: str | None = None, least: int = HEAVY_LEAST) -> DataFrame:
     """The keys with at least ``share`` of all rows (of the sum of ``weight``, if ``df`` is pre-aggregated), as a local table.
 
-    There are at most 1 / share of them, so the driver may hold them.
+    There are at most 1 / share of them, so the driver may hold them. A key with fewer than ``least`` rows is never heavy.
     """
     n = F.sum(weight) if weight else F.count("*")
     total = df.agg(n.alias("n")).first()["n"] or 0
-    per_key = df.filter(F.col(key).isNotNull()).groupBy(key).agg(n.alias("_n"))
-    rows = per_key.filter(F.col("_n") >= max(2.0, total * share)).select(key).collect()
+    rows = []
+    if total >= least:
+        per_key = df.filter(F.col(key).isNotNull()).groupBy(key).agg(n.alias("_n"))
+        rows = per_key.filter(F.col("_n") >= max(float(least), total * share)).select(key).collect()
     return df.sparkSession.createDataFrame(rows, df.select(key).schema)
 
 
@@ -81,6 +86,8 @@ def lookup(facts: DataFrame, dim: DataFrame, key: str, heavy: DataFrame) -> Data
     of ``dim`` are broadcast, their rows of ``facts`` stay where they are. All others are shuffled on the key. No row is lost:
     a null key matches nothing and comes out with nulls.
     """
+    if heavy.isEmpty():
+        return facts.join(dim, key, "left")
     hot = dim.join(F.broadcast(heavy.select(key)), key, "left_semi")
     flagged = facts.join(F.broadcast(heavy.select(key, F.lit(True).alias("_hot"))), key, "left")
     wide = flagged.filter("_hot").drop("_hot").join(F.broadcast(hot), key, "left")
