@@ -1,6 +1,7 @@
 """Queries of the operators for training data, with SQL where SQL can say the same."""
 
 from sedgemill.llm.components import groups, match_pairs
+from sedgemill.llm.sentences import sentence_units
 from sedgemill.plans.registry import Registry
 from sedgemill.session import table
 
@@ -20,3 +21,8 @@ r(node, other) as (select a, a from l union select r.node, l.b from r join l on
 @reg.query("p5_found", GROUPS + "select node, min(other) group_id from r group by node")
 def p5_found(spark, d):
     return groups(match_pairs(table(spark, d, "edges")))
+
+
+@reg.query("p8_found")
+def p8_found(spark, d):
+    return sentence_units(table(spark, d, "documents"))
