@@ -1,6 +1,8 @@
 """Queries of the operators for training data, with SQL where SQL can say the same."""
 
 from sedgemill.llm.components import groups, match_pairs
+from sedgemill.llm.leaks import leaked_passages, leaking_documents, removal_spans
+from sedgemill.llm.packing import packed
 from sedgemill.llm.sentences import sentence_units
 from sedgemill.plans.registry import Registry
 from sedgemill.session import table
@@ -26,3 +28,18 @@ def p5_found(spark, d):
 @reg.query("p8_found")
 def p8_found(spark, d):
     return sentence_units(table(spark, d, "documents"))
+
+
+@reg.query("p6_containers")
+def p6_containers(spark, d):
+    return packed(table(spark, d, "documents"))
+
+
+@reg.query("p7_found")
+def p7_found(spark, d):
+    return leaking_documents(table(spark, d, "documents"), table(spark, d, "test_items"))
+
+
+@reg.query("p7_spans")
+def p7_spans(spark, d):
+    return removal_spans(leaked_passages(table(spark, d, "documents"), table(spark, d, "test_items")))
