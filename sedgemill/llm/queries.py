@@ -1,8 +1,11 @@
 """Queries of the operators for training data, with SQL where SQL can say the same."""
 
+from pyspark.sql import functions as F
+
 from sedgemill.llm.components import groups, match_pairs
 from sedgemill.llm.leaks import leaked_passages, leaking_documents, removal_spans
 from sedgemill.llm.packing import packed
+from sedgemill.llm.pii import learn, occurrences, redact
 from sedgemill.llm.sentences import sentence_units
 from sedgemill.plans.registry import Registry
 from sedgemill.session import table
@@ -20,6 +23,19 @@ r(node, other) as (select a, a from l union select r.node, l.b from r join l on
 """
 
 
+@reg.query("p2_found")
+def p2_found(spark, d):
+    history = table(spark, d, "history_manifest")
+    return occurrences(history, learn(history, table(spark, d, "name_list")))
+
+
+@reg.query("p2_redacted")
+def p2_redacted(spark, d):
+    history = table(spark, d, "history_manifest")
+    clean = redact(history, learn(history, table(spark, d, "name_list")))
+    return clean.select("id", "title", "summary", F.array_join("entities", "|", "").alias("entities"))
+
+
 @reg.query("p5_found", GROUPS + "select node, min(other) group_id from r group by node")
 def p5_found(spark, d):
     return groups(match_pairs(table(spark, d, "edges")))
