@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from sedgemill.llm.components import groups, match_pairs
+from sedgemill.llm.docpairs import documented_functions, documented_names
 from sedgemill.llm.leaks import leaked_passages, leaking_documents, removal_spans
 from sedgemill.llm.packing import packed
 from sedgemill.llm.pii import learn, occurrences, redact
 from sedgemill.llm.sentences import sentence_units
+from sedgemill.llm.syntax import checked_files, rates, unparsable
 from sedgemill.plans.registry import Registry
 from sedgemill.session import table
 
@@ -23,6 +25,16 @@ r(node, other) as (select a, a from l union select r.node, l.b from r join l on
 """
 
 
+@reg.query("p1_found")
+def p1_found(spark, d):
+    return unparsable(table(spark, d, "source_files"))
+
+
+@reg.query("p1_rates")
+def p1_rates(spark, d):
+    return rates(checked_files(table(spark, d, "source_files")), table(spark, d, "manifest"))
+
+
 @reg.query("p2_found")
 def p2_found(spark, d):
     history = table(spark, d, "history_manifest")
@@ -36,6 +48,16 @@ def p2_redacted(spark, d):
     return clean.select("id", "title", "summary", F.array_join("entities", "|", "").alias("entities"))
 
 
+@reg.query("p3_found")
+def p3_found(spark, d):
+    return documented_names(table(spark, d, "source_files"))
+
+
+@reg.query("p3_pairs")
+def p3_pairs(spark, d):
+    return documented_functions(table(spark, d, "source_files"))
+
+
 @reg.query("p5_found", GROUPS + "select node, min(other) group_id from r group by node")
 def p5_found(spark, d):
     return groups(match_pairs(table(spark, d, "edges")))
