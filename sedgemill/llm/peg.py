@@ -272,7 +272,7 @@ class _Special:
 
     @staticmethod
     def UNA(s, i):  # a blank before this token and none after it
-        return i if i and s.end[i - 1] < s.start[i] and s.end[i] == s.start[i + 1] else -1
+        return i if 0 < i < len(s.start) - 1 and s.end[i - 1] < s.start[i] and s.end[i] == s.start[i + 1] else -1
 
     @staticmethod
     def NAME(s, i):  # an identifier or a reserved word
