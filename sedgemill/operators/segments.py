@@ -58,5 +58,5 @@ def heading_segments(documents: DataFrame) -> DataFrame:
     upto = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     numbered = marked.withColumn("n", F.count("heading").over(upto)).withColumn("title", F.last("heading", ignorenulls=True).over(upto))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("heading").isNull(), F.struct("at", "line")))), lambda x: x["line"]), "\n")
-    grouped = numbered.groupBy("doc_id", "n", "title").agg(F.trim(body).alias("body")).filter("body <> ''")
+    grouped = numbered.groupBy("doc_id", "n", "title").agg(F.btrim(body, F.lit(" \t\n")).alias("body")).filter("body <> ''")
     return grouped.withColumn("segment_id", F.concat_ws("#", "doc_id", slug(F.coalesce("title", F.lit("start")))))
