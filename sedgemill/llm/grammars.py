@@ -17,7 +17,7 @@ ts_decl: "declare"? ("interface" interface_rest / "type" ID typeparams? '=' type
 block_items: '{' item* '}'
 interface_rest: ID typeparams? ('extends' type (',' type)*)? object_type
 enum_member: (NAME / STR) ('=' e)?
-stmt: block / 'if' '(' es ')' stmt ('else' stmt)? / 'for' 'await'? '(' for_head ')' stmt / 'while' '(' es ')' stmt / 'do' stmt 'while' '(' es ')' ';'? / 'return' (!NLB !';' es)? EOS / 'break' (!NLB ID)? EOS / 'continue' (!NLB ID)? EOS / 'throw' !NLB es EOS / try / 'switch' '(' es ')' '{' case* '}' / 'debugger' EOS / ';' / func / class / ts_decl / var EOS / ID ':' stmt / 'with' '(' es ')' stmt / es EOS
+stmt: block / 'if' '(' es ')' stmt ('else' stmt)? / 'for' 'await'? '(' for_head ')' stmt / 'while' '(' es ')' stmt / 'do' stmt 'while' '(' es ')' ';'? / 'return' (!NLB !';' es)? EOS / 'break' (!NLB ID)? EOS / 'continue' (!NLB ID)? EOS / 'throw' !NLB es EOS / try / 'switch' '(' es ')' '{' case* '}' / 'debugger' EOS / ';' / func / class / ts_decl / var EOS / ID ':' stmt / 'with' '(' es ')' stmt / !'function' es EOS
 block: '{' stmt* '}'
 for_head: (var_kind pattern ann? / operand) ("of" / 'in') es / (var / es)? ';' es? ';' es?
 var_kind: 'var' / 'let' / 'const' / 'await'? "using"
@@ -26,7 +26,7 @@ declarator: arrow_const / pattern '!'? ann? ('=' e)?
 @arrow_const: FNAME ann? '=' arrow
 try: 'try' block ('catch' ('(' pattern ann? ')')? block)? ('finally' block)?
 case: ('case' es / 'default') ':' stmt*
-@func: "async"? !NLB 'function' '*'? FNAME sig block
+@func: ("async" !NLB)? 'function' '*'? FNAME sig block
 anon_func: "async"? 'function' '*'? ID? sig block
 sig: typeparams? '(' params ')' ret?
 params: (param (',' param)*)? ','?
@@ -48,7 +48,7 @@ as_type: !NLB ("as" / "satisfies") ('const' / type)
 operand: arrow / prefix* primary postfix*
 prefix: '!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' / 'delete' / 'await' / 'yield' '*'? &(ID / NUM / STR / '(' / '[' / '{' / 'new' / 'this') / cast
 cast: '<' type '>'
-~arrow: "async"? !NLB (ID / typeparams? '(' params ')' ret?) '=>' (block / e)
+~arrow: ("async" !NLB)? (ID / typeparams? '(' params ')' ret?) '=>' (block / e)
 postfix: '.' NAME / '?.' (NAME / '[' es ']' / args) / '[' es ']' / args / TPL / typeargs (args / TPL) / !NLB ('++' / '--') / '!' !'=' !NLB
 args: '(' ('...'? e (',' '...'? e)*)? ','? ')'
 primary: anon_func / ID / NUM / STR / TPL / 'this' / 'super' / 'null' / 'true' / 'false' / '(' es ')' / array / object / class / 'new' new_target / 'import' ('.' NAME / args) / 'yield'

@@ -76,6 +76,7 @@ class FmIndex:
     """Burrows-Wheeler transform of a sequence of numbers in a wavelet matrix, with every ``step``-th position sampled."""
 
     def __init__(self, s: np.ndarray, sigma: int, step: int = 8) -> None:
+        s, sigma = np.r_[s + 1, 0], sigma + 1  # an end that is smaller than all symbols and occurs once
         order = suffix_array(s)
         self.n, self.levels = len(s), max(1, int(sigma - 1).bit_length())
         last = s[order - 1]  # of the first position, the last symbol
@@ -115,7 +116,7 @@ class FmIndex:
         """First row and end of the rows of each phrase (rows of a matrix)."""
         low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
         for j in reversed(range(phrases.shape[1])):
-            c = phrases[:, j]
+            c = phrases[:, j] + 1
             low, high = self.less[c] + self.ranks(c, low), self.less[c] + self.ranks(c, high)
         return low, np.maximum(low, high)
 

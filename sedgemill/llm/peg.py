@@ -277,7 +277,7 @@ class _Special:
     @staticmethod
     def NAME(s, i):  # an identifier or a reserved word
         c = s.text[i][:1]
-        return i + 1 if (c.isalpha() or c == "_" or c == "$") and s.kind[i] not in ("STR", "NUM", "CHR", "TPL") else -1
+        return i + 1 if (c.isalpha() or c in ("_", "$", "#")) and s.text[i] != "#" and s.kind[i] not in ("STR", "NUM", "CHR", "TPL") else -1
 
     @staticmethod
     def FNAME(s, i):  # the name of a function node

@@ -59,7 +59,9 @@ def grammar(lang: str) -> Grammar:
 
 
 def language(path: str | None) -> str | None:
-    return EXTENSIONS.get((path or "").rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower()) if path and "." in path else None
+    """By the extension of the path; None if there is none that is known."""
+    name, dot, extension = (path or "").rsplit("/", 1)[-1].rpartition(".")
+    return EXTENSIONS.get(extension.lower()) if dot else None
 
 
 def without_mark(code: str) -> str:
