@@ -5,7 +5,7 @@ candidate boundary, which a maximum-entropy classifier accepts or refuses by its
 and script. It is trained on reliable boundaries only: a terminator at the end of a block is one, a terminator before a small
 letter or a comma, or after a token that is never seen at the end of a block (counted over all documents), is none.
 
-1. ``candidates``: all documents -> one row per candidate (token type, features, what surely is and is not a boundary);
+1. ``candidates``: all documents -> counts of all candidates by token type, features of a share of them with what is sure about each;
 2. ``silent_types``: token types that never end a block, from counts over all candidates;
 3. ``train``: weights from at most SAMPLE labelled candidates, the first ones in the order of a hash;
 4. ``sentence_units``: all documents -> units.
@@ -16,6 +16,7 @@ their units once; very long texts are read line by line and block by block; extr
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -49,7 +50,8 @@ FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})")
 LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|$)")
 RUN = re.compile("[" + re.escape(TERMINATORS) + "]+")
 THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])[  ]+(?=[ก-ฺเ-๎])")
-LAST = re.compile(r"(?:(\S{1,24})\s+)?(\S{1,24})$")
+ENCLOSING = re.compile("[" + re.escape("".join([*OPENERS, *CLOSERS])) + "]")
+DIGITS = re.compile(r"\d+")
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
@@ -83,7 +85,8 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
 def pairs(s: str) -> list[tuple[int, int]]:
     """Outermost quotes and brackets that are closed within ``s``: first and last position."""
     open_, done = [], []
-    for i, c in enumerate(s):
+    for m in ENCLOSING.finditer(s):
+        i, c = m.start(), m.group()
         if c == '"':
             j = next((k for k in range(len(open_) - 1, -1, -1) if s[open_[k]] == '"'), None)
             before = s[i - 1] if i else " "
@@ -92,13 +95,13 @@ def pairs(s: str) -> list[tuple[int, int]]:
                 del open_[j:]
             elif before.isspace() or not before.isalnum():
                 open_.append(i)
-        elif c in OPENERS or c in CLOSERS:
-            j = next((k for k in range(len(open_) - 1, -1, -1) if OPENERS.get(s[open_[k]]) == c), None)
-            if j is not None:
-                done.append((open_[j], i))
-                del open_[j:]
-            elif c in OPENERS:
-                open_.append(i)
+            continue
+        j = next((k for k in range(len(open_) - 1, -1, -1) if OPENERS.get(s[open_[k]]) == c), None)
+        if j is not None:
+            done.append((open_[j], i))
+            del open_[j:]
+        elif c in OPENERS:
+            open_.append(i)
     outer: list[tuple[int, int]] = []
     for a, b in sorted(done):
         if not outer or a > outer[-1][1]:
@@ -123,34 +126,53 @@ def shape(token: str) -> str:
 
 def plain(token: str) -> str:
     """Lower case, digits as 9, without opening marks and cut to what identifies an unspaced script."""
-    t = re.sub(r"\d+", "9", token.lstrip("(\"'“„«‘[（「¿¡").lower())
+    t = token.lower()
+    if not t.isalpha():
+        t = DIGITS.sub("9", t.lstrip("(\"'“„«‘[（「¿¡"))
     return t if len(t) < 4 or ord(t[-1]) < 0x2E80 else t[-2:]
 
 
-@dataclass
+@dataclass(slots=True)
 class Candidate:
     end: int  # where the unit would end
     kind: str  # token type that the counts go by, empty for marks that are never part of a token
-    names: list[str]  # features
     sure: bool | None  # what is reliable about it
     last: bool  # the block ends here
-
-
-def _features(s: str, a: int, run: str, tail: str, pair: str, nxt: str, opened: str) -> tuple[str, list[str]]:
-    m = LAST.search(s[max(0, a - 60) : a].rstrip() if run[0] in "?!»" else s[max(0, a - 60) : a])
-    before, word = (plain(m.group(1) or ""), plain(m.group(2))) if m else ("", "")
-    mark = "." if run[0] == "." else run[-1]
-    kind = ""
-    if run == ".":
-        kind = f"{before} {word}" if word.isdigit() or not word[:1].isalnum() else word
-    head, follow = shape(nxt), plain(nxt)[:12]
-    stem = word.rstrip(".")
-    sort = "title" if stem in TITLES else "number" if stem in BEFORE_NUMBER else "inner" if stem in INNER else "initial" if re.fullmatch(r"[a-z](\.?-[a-z])?", stem) else "word"
-    names = ["b", "m" + mark, "n" + head, "w" + word, "f" + follow, "o" + opened, "mn" + mark + head, "l" + str(min(len(word), 8)), "s" + script(word[-1:])]
-    names += ["pn" + pair + tail + head, "kn" + kind + "|" + head, "kf" + kind + "|" + follow, "sn" + script(word[-1:]) + mark + head]
-    if run == ".":
-        names += ["a" + sort, "an" + sort + head, "d" + str("." in word) + head]
-    return kind, names
+    words: tuple[str, str] | None = None  # the two tokens before; None where no decision is to be made
+    run: str = ""
+    tail: str = ""
+    pair: str = ""
+    opened: str = ""
+    nxt: str = ""
+    extra: tuple[str, ...] = ()
+
+    def names(self) -> list[str]:
+        """Features of the classifier."""
+        _, word = self.words
+        mark = "." if self.run[0] == "." else self.run[-1]
+        head, follow, kind = shape(self.nxt), plain(self.nxt)[:12], self.kind
+        names = ["b", "m" + mark, "n" + head, "w" + word, "f" + follow, "o" + self.opened, "mn" + mark + head, "l" + str(min(len(word), 8)), "s" + script(word[-1:])]
+        names += ["pn" + self.pair + self.tail + head, "kn" + kind + "|" + head, "kf" + kind + "|" + follow, "sn" + script(word[-1:]) + mark + head]
+        if self.run == ".":
+            stem = word.rstrip(".")
+            sort = "title" if stem in TITLES else "number" if stem in BEFORE_NUMBER else "inner" if stem in INNER else "initial" if INITIAL.fullmatch(stem) else "word"
+            names += ["a" + sort, "an" + sort + head, "d" + str("." in word) + head]
+        return [*names, *self.extra]
+
+
+INITIAL = re.compile(r"[a-z](\.?-[a-z])?")
+
+
+def _before(s: str, a: int, run: str) -> tuple[str, tuple[str, str]]:
+    """Token type and the two tokens before a terminator."""
+    window = s[max(0, a - 60) : a]
+    tokens = [] if run[0] not in "?!»" and window[-1:].isspace() else window.split()
+    word = tokens[-1] if tokens else ""
+    before = tokens[-2][-24:] if len(tokens) > 1 and len(word) <= 24 else ""
+    before, word = plain(before), plain(word[-24:])
+    if run != ".":
+        return "", (before, word)
+    return (f"{before} {word}" if word.isdigit() or not word[:1].isalnum() else word), (before, word)
 
 
 def scan(text: str) -> Iterator[tuple[int, int, list[Candidate]]]:
@@ -189,9 +211,8 @@ def scan(text: str) -> Iterator[tuple[int, int, list[Candidate]]]:
                     after = after[m2.end() :] if (m2 := MARK.match(after)) else after
                     rest = after[:40].split(None, 1)
                 nxt = rest[0].lstrip("(\"'“„«‘[（「¿¡*_") if rest else ""
-                kind, names = _features(s, a, run, tail, pair, nxt, opened)
-                if rest and rest[0][:1] in "\"“„«「(（":
-                    names.append("q" + kind)
+                kind, words = _before(s, a, run)
+                extra = ("q" + kind,) if rest and rest[0][:1] in "\"“„«「(（" else ()
                 # caseless text goes on after a quotation that began within its sentence
                 goes_on = bool(pair) and opened in ("mid", "colon") and shape(nxt) == "plain"
                 sure = True if last else None
@@ -200,29 +221,35 @@ def scan(text: str) -> Iterator[tuple[int, int, list[Candidate]]]:
                 elif not pair and run[-1] in "。！？｡।॥؟۔":
                     sure = True
                 if goes_on and not last:
-                    names.append("goes on")
-                found.append(Candidate(b, kind, names, sure, last))
+                    extra += ("goes on",)
+                found.append(Candidate(b, kind, sure, last, words, run, tail, pair, opened, nxt, extra))
             for m in THAI_GAP.finditer(s, lead):
                 if not s.startswith(THAI_JOINS, m.end()) and not any(x < m.start() < y for x, y in outer):
-                    found.append(Candidate(m.start(), "", [], True, False))
+                    found.append(Candidate(m.start(), "", True, False))
             found.sort(key=lambda c: c.end)
         yield start, start + len(s), found
 
 
+@functools.lru_cache(maxsize=1 << 17)
+def slot(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % SPACE
+
+
 def hashed(names: list[str]) -> list[int]:
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % SPACE for x in names]
+    return [slot(x) for x in names]
 
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    weights: list[float]
     silent: set[str] = field(default_factory=set)
 
     def accepts(self, c: Candidate) -> bool:
-        if not c.names:
+        if c.words is None:
             return True
-        names = c.names + ["silent"] * (c.kind in self.silent)
-        return float(self.weights[hashed(names)].sum()) > 0
+        names = c.names() + ["silent"] * (c.kind in self.silent)
+        w = self.weights
+        return sum(w[slot(x)] for x in names) > 0
 
 
 def units(text: str | None, model: Model) -> list[tuple[int, int]]:
@@ -242,25 +269,36 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(documents: DataFrame) -> DataFrame:
-    """One row per candidate with features: kind, names (hashed), sure, last, order_key."""
+def candidates(documents: DataFrame, share: float = 1.0) -> DataFrame:
+    """Counts of all candidates by token type (kind, n, ends), and of a share of them, by hash, the features (names, sure, last, order_key)."""
+    limit = share * 2**32
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, counts = [], {}
             for text in batch["text"]:
-                if text:
-                    for start, _, found in scan(text):
-                        rows += [(c.kind, hashed(c.names), c.sure, c.last, zlib.crc32(f"{start + c.end} {text[start : start + 200]}".encode("utf-8", "surrogatepass"))) for c in found if c.names]
-            yield pd.DataFrame(rows, columns=["kind", "names", "sure", "last", "order_key"])
-
-    return documents.select("text").filter("text is not null").mapInPandas(run, "kind string, names array<int>, sure boolean, last boolean, order_key long")
+                for start, _, found in scan(text):
+                    key = zlib.crc32(text[start : start + 200].encode("utf-8", "surrogatepass"))
+                    for c in found:
+                        if c.words is None:
+                            continue
+                        n = counts.setdefault(c.kind, [0, 0])
+                        n[0] += 1
+                        n[1] += c.last
+                        order = zlib.crc32(b"%d" % (start + c.end), key)
+                        if order < limit:
+                            rows.append((c.kind, 0, 0, hashed(c.names()), c.sure, c.last, order))
+            rows += [(kind, n, ends, None, None, None, None) for kind, (n, ends) in counts.items()]
+            yield pd.DataFrame(rows, columns=["kind", "n", "ends", "names", "sure", "last", "order_key"]).astype({"order_key": "Int64", "sure": "boolean", "last": "boolean"})
+
+    return documents.select("text").filter("text is not null").mapInPandas(run, "kind string, n long, ends long, names array<int>, sure boolean, last boolean, order_key long")
 
 
 def silent_types(found: DataFrame) -> set[str]:
     """Types that hardly ever end a block; at most 1 / SILENT_SHARE of them, so the driver may hold them."""
-    total = found.count()
-    counts = found.filter("kind <> ''").groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("last").cast("int")).alias("ends"))
+    counts = found.filter("names is null").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = counts.filter("kind <> ''")
     rows = counts.filter((F.col("n") >= max(SILENT_LEAST, SILENT_SHARE * total)) & (F.col("ends") <= SILENT_RATE * F.col("n")))
     return {r["kind"] for r in rows.select("kind").collect()}
 
@@ -283,15 +321,17 @@ def fit(names: list[np.ndarray], labels: np.ndarray, rounds: int = 60, penalty:
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     """The classifier from reliable boundaries; counts over all documents, weights from at most ``sample`` labelled candidates."""
-    found = cut(candidates(documents), "candidates")
+    chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
+    # about one candidate in forty characters; several times the sample, as not all are labelled
+    found = cut(candidates(documents, min(1.0, 6 * sample * 40 / max(1, chars))), "candidates")
     silent = silent_types(found)
     quiet = F.col("kind").isin(*sorted(silent)) if silent else F.lit(False)
     sure = F.when(quiet & ~F.col("last"), False).otherwise(F.col("sure"))
-    labelled = found.select(F.col("names"), sure.alias("sure"), quiet.alias("quiet"), "order_key").filter("sure is not null")
+    labelled = found.filter("names is not null").select(F.col("names"), sure.alias("sure"), quiet.alias("quiet"), "order_key").filter("sure is not null")
     rows = labelled.orderBy("order_key", F.hash("names")).limit(sample).collect()
     extra = hashed(["silent"])
     names = [np.array(list(r["names"]) + extra * bool(r["quiet"])) for r in rows]
-    return Model(fit(names, np.array([float(r["sure"]) for r in rows])), silent)
+    return Model(fit(names, np.array([float(r["sure"]) for r in rows])).tolist(), silent)
 
 
 def sentence_units(documents: DataFrame, model: Model | None = None) -> DataFrame:

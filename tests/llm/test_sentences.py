@@ -70,7 +70,7 @@ def test_held_out_boundaries(spark):
         for _, _, found in S.scan(r["text"]):
             for c in found:
                 sure = False if c.kind in model.silent and not c.last else c.sure
-                if c.names and sure is not None:
+                if c.words is not None and sure is not None:
                     n += 1
                     right += model.accepts(c) == sure
     assert n > 2000 and right / n > 0.98
