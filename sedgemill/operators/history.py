@@ -10,6 +10,17 @@ from sedgemill.operators import ranking as R
 
 # Rows that tell what was talked about, not what happened.
 TOPIC_ROWS = r"^(asked about|discussed|asked |talked about)"
+# Graph query, its cues, and how many symbols it needs; the first that fits is taken.
+OPERATIONS = [
+    ("signature", "parameter|argument|signature|return", 1),
+    ("raises", "raise|exception|throw|error", 1),
+    ("impact", "impact|affect|transitive.*call|call.*transitive", 1),
+    ("usages", "usage|used|uses|reference|rename", 1),
+    ("path", "path", 2),
+    ("tdeps", "transitive|depend", 1),
+    ("imports", "import", 1),
+    ("defines", "define|where", 1),
+]
 
 
 def relevance(events: DataFrame, asked: DataFrame) -> DataFrame:
@@ -41,17 +52,7 @@ def timeline(events: DataFrame, asked: DataFrame, k: int = 8) -> DataFrame:
 
 def code_operation(q: Column, symbol: Column, mentioned: Column) -> Column:
     """Which graph query a question (in small letters) asks for, given the first symbol that it mentions and how many it does."""
-    return (
-        F.when(q.contains("most") & q.contains("import"), "most_imported")
-        .when(symbol.isNull(), "most_imported")
-        .when(q.rlike("parameter|argument|signature|return"), "signature")
-        .when(q.rlike("raise|exception|throw|error"), "raises")
-        .when(q.rlike("impact|affect|transitive.*call|call.*transitive"), "impact")
-        .when(q.rlike("usage|used|uses|reference|rename"), "usages")
-        .when(q.contains("path") & (mentioned >= 2), "path")
-        .when(q.rlike("transitive|depend"), "tdeps")
-        .when(q.contains("import"), "imports")
-        .when(q.rlike("define|where"), "defines")
-        .when(q.contains("call"), F.when(q.contains("does"), "callees").otherwise("callers"))
-        .otherwise("defines")
-    )
+    op = F.when((q.contains("most") & q.contains("import")) | symbol.isNull(), "most_imported")
+    for name, cues, least in OPERATIONS:
+        op = op.when(q.rlike(cues) & (mentioned >= least), name)
+    return op.when(q.contains("call") & q.contains("does"), "callees").when(q.contains("call"), "callers").otherwise("defines")

@@ -40,3 +40,21 @@ def running_total(rows: DataFrame, key: str, bucket: str, order: list[str], valu
     before = sums.select(key, bucket, F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_before"))
     within = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(before, [key, bucket]).withColumn("total", F.col("_before") + F.sum(value).over(within)).drop("_before")
+
+
+def previous(rows: DataFrame, key: str, bucket: str, order: list[str], columns: list[str]) -> DataFrame:
+    """``rows`` with ``prev``: ``columns`` of the row before, per ``key`` in ``order``; spread over buckets like ``running_total``."""
+    x = F.struct(*columns)
+    last = rows.groupBy(key, bucket).agg(F.max_by(x, F.struct(*order)).alias("_last"))
+    carried = last.select(key, bucket, F.lag("_last").over(Window.partitionBy(key).orderBy(bucket)).alias("_carried"))
+    within = F.lag(x).over(Window.partitionBy(key, bucket).orderBy(*order))
+    return rows.join(carried, [key, bucket]).withColumn("prev", F.coalesce(within, "_carried")).drop("_carried")
+
+
+def running_best(rows: DataFrame, keys: list[str], bucket: str, order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``best``: the greatest ``value`` of all rows before, per ``keys`` in ``order``; spread over buckets like ``running_total``."""
+    most = rows.groupBy(*keys, bucket).agg(F.max(value).alias("_m"))
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = most.select(*keys, bucket, F.max("_m").over(before).alias("_carried"))
+    within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(carried, [*keys, bucket]).withColumn("best", F.greatest(F.max(value).over(within), "_carried")).drop("_carried")

@@ -6,6 +6,10 @@ query set, small beside the collection, and are broadcast where a size bound is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +79,50 @@ def cosine(a: Column, b: Column) -> Column:
     n = F.least(F.size(a), F.size(b))
     dot = lambda x, y: F.aggregate(F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     return F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
+
+
+#: Queries that are broadcast at once, and words in one automaton.
+QUERY_BLOCK, WORD_BLOCK = 4_000, 50_000
+
+
+def similar(vectors: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, vec_id, query_label, label, score of every query (query_id, q, query_label) against all vectors but itself.
+
+    The query set may grow with the data, so it is taken in blocks of at most about ``block`` rows; only a block is broadcast.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for k in range(blocks):
+        q = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        pairs = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
+        part = pairs.select("query_id", "vec_id", "query_label", "label", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def contained_words(rows: DataFrame, words: DataFrame, block: int = WORD_BLOCK) -> DataFrame:
+    """id, word: which of the distinct ``words`` (word) occur anywhere in ``body`` of the rows (id, body).
+
+    The words are taken in blocks of at most about ``block``; one automaton per block reads each text once.
+    """
+    words = words.filter("word <> ''").distinct()
+    blocks = max(1, -(-words.count() // block))
+    out = None
+    for k in range(blocks):
+        some = [r["word"] for r in words.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == k).collect()]
+        part = rows.select("id", "body").mapInPandas(_finder(some), "id string, word string")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _finder(words: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for batch in batches:
+            found = [(i, w) for i, body in zip(batch["id"], batch["body"]) if words and body for w in {w for _, w in automaton.iter(body)}]
+            yield pd.DataFrame(found, columns=["id", "word"])
+
+    return run

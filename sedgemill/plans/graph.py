@@ -286,10 +286,8 @@ def nearest_module(spark, d):
     return G.nearest_prefix(cut(nodes, "nodes"), "node", modules, "module")
 
 
-@reg.query("symbol_blocks", "with s as (select distinct module, line, kind, name, sig from symbols where module is not null) select module, count(*) as symbols, string_agg(kind || ' ' || name || coalesce(sig, ''), chr(10) order by line, kind, name, coalesce(sig, '')) as block from s group by module")
-def symbol_blocks(spark, d):
-    """The text block of each module's symbols in the order of their lines."""
-    s = table(spark, d, "symbols").filter("module is not null").select("module", "line", "kind", "name", "sig").distinct()
+@reg.query("symbol_lines", "select distinct module, line, kind || ' ' || name || coalesce(sig, '') as text from symbols where module is not null")
+def symbol_lines(spark, d):
+    """The lines of each module's symbol block, with what they are ordered by."""
     text = F.concat("kind", F.lit(" "), "name", F.coalesce("sig", F.lit("")))
-    rows = F.array_sort(F.collect_list(F.struct(F.coalesce("line", F.lit(1 << 30)).alias("line"), "kind", "name", F.coalesce("sig", F.lit("")).alias("sig"), text.alias("t"))))
-    return s.groupBy("module").agg(F.count("*").alias("symbols"), F.array_join(F.transform(rows, lambda x: x["t"]), "\n").alias("block"))
+    return table(spark, d, "symbols").filter("module is not null").select("module", "line", text.alias("text")).distinct()

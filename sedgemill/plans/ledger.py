@@ -232,16 +232,17 @@ def cost_bands(spark, d):
     return total.filter(F.floor(F.col("total") / 200) > F.floor((F.col("total") - F.col("c")) / 200)).select("user_id", "event_id", F.floor(F.col("total") / 200).alias("band"))
 
 
-@reg.query("offset_delta", "select event_id, user_id, cast(date_diff('second', lag(date_trunc('second', ts)) over (partition by user_id order by ts, event_id), date_trunc('second', ts)) as bigint) as seconds, round(value - lag(value) over (partition by user_id order by ts, event_id), 6) as delta from events")
+@reg.query("offset_delta", "select event_id, user_id, cast(date_diff('second', lag(date_trunc('second', ts)) over (partition by user_id order by ts, event_id), date_trunc('second', ts)) as bigint) as seconds, round(value - lag(value) over (partition by user_id order by ts, event_id), 6) as delta from events where user_id is not null")
 def offset_delta(spark, d):
     """What is new since the user's previous event."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    seconds = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(w))
-    return table(spark, d, "events").select("event_id", "user_id", seconds.alias("seconds"), F.round(F.col("value") - F.lag("value").over(w), 6).alias("delta"))
+    e = table(spark, d, "events").filter("user_id is not null").select("event_id", "user_id", "ts", "value", F.to_date("ts").alias("day"))
+    p = L.previous(e, "user_id", "day", ["ts", "event_id"], ["ts", "value"])
+    seconds = F.unix_timestamp("ts") - F.unix_timestamp("prev.ts")
+    return p.select("event_id", "user_id", seconds.alias("seconds"), F.round(F.col("value") - F.col("prev.value"), 6).alias("delta"))
 
 
-@reg.query("stale_guard", "with e as (select event_id, user_id, value, max(value) over (partition by user_id, event_type order by ts, event_id rows between unbounded preceding and 1 preceding) best from events) select event_id, user_id from e where value < 0.8 * best")
+@reg.query("stale_guard", "with e as (select event_id, user_id, value, max(value) over (partition by user_id, event_type order by ts, event_id rows between unbounded preceding and 1 preceding) best from events where user_id is not null and event_type is not null) select event_id, user_id from e where value < 0.8 * best")
 def stale_guard(spark, d):
     """Rows that shrink below four fifths of the largest value so far of the user and type."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "events").withColumn("best", F.max("value").over(w)).filter("value < 0.8d * best").select("event_id", "user_id")
+    e = table(spark, d, "events").filter("user_id is not null and event_type is not null").select("event_id", "user_id", "event_type", "ts", "value", F.to_date("ts").alias("day"))
+    return L.running_best(e, ["user_id", "event_type"], "day", ["ts", "event_id"], "value").filter("value < 0.8d * best").select("event_id", "user_id")

@@ -75,14 +75,11 @@ select item_id, count(*) filter (where hits > 0) as kept, max(hits) as most from
 """,
 )
 def manifest_prefilter(spark, d):
-    """How many entries hold any content word of the question as a substring. The question block is broadcast: 1 row in 50, first lines only."""
+    """How many entries hold any content word of the question as a substring."""
     q = asked(spark, d).select("item_id", F.array_distinct(T.content_words(F.col("question"))).alias("ws")).filter("size(ws) > 0")
-    texts = entries(spark, d).select("id", F.lower(search_text()).alias("body"))
-    words = q.select("item_id", F.explode("ws").alias("w"))
-    # one row per distinct word and text, so that equal words of many questions are looked up once
-    vocabulary = [r["w"] for r in words.select("w").distinct().orderBy("w").collect()]
-    found = texts.select("id", F.explode(F.filter(F.array(*map(F.lit, vocabulary)), lambda w: F.contains("body", w))).alias("w"))
-    hits = found.join(F.broadcast(words), "w").groupBy("item_id", "id").agg(F.count("*").alias("hits"))
+    words = q.select("item_id", F.explode("ws").alias("word"))
+    found = R.contained_words(entries(spark, d).select("id", F.lower(search_text()).alias("body")), words.select("word"))
+    hits = found.join(words, "word").groupBy("item_id", "id").agg(F.count("*").alias("hits"))
     counts = hits.groupBy("item_id").agg(F.count("*").alias("kept"), F.max("hits").alias("most"))
     return q.select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("most", F.lit(0)).cast("long").alias("most"))
 
@@ -241,11 +238,10 @@ VECTORS = "v as (select vec_id, label, list_transform(embedding, lambda x: x::do
 
 
 def _similar(spark, d):
-    """Every vector whose id is divisible by 50 against all others; the query block is broadcast, 1 row in 50."""
+    """Every vector whose id is divisible by 50 against all others."""
     v = table(spark, d, "embeddings").filter("embedding is not null").select("vec_id", "label", "embedding")
     q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
-    pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    return pairs.select("query_id", "vec_id", "query_label", "label", F.round(R.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    return R.similar(v, q)
 
 
 @reg.query(

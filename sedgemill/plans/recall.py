@@ -151,23 +151,23 @@ def coverage_floor(spark, d):
 def substring_search(spark, d):
     """Entries that hold a capitalised word of the questions anywhere; the distinct words are the query block."""
     words = asked(spark, d).select(F.explode(F.regexp_extract_all("question", F.lit("[A-Z][a-z]{2,}"), 0)).alias("w")).select(F.lower("w").alias("word")).distinct()
-    block = [r["word"] for r in words.orderBy("word").collect()]
     body = F.lower(F.concat_ws(" ", "id", "title", "summary", F.array_join("topics", " "), F.array_join("entities", " "), F.array_join("tags", " "), F.array_join("attrs", " ")))
     rows = table(spark, d, "history_manifest").select("id", body.alias("body")).distinct()
-    found = rows.select("id", F.explode(F.filter(F.array(*map(F.lit, block)).cast("array<string>"), lambda w: F.contains("body", w))).alias("word"))
+    found = R.contained_words(rows, words)
     return found.groupBy("word").agg(F.count("*").alias("entries"), F.min("id").alias("first_id"))
 
 
 @reg.query(
     "budget_block",
-    "with e as (select source, doc_id, length(text) n, sum(length(text)) over (partition by source order by coalesce(date, '') desc, doc_id rows unbounded preceding) total from documents where text is not null) select source, doc_id, cast(least(n, 8000 - (total - n)) as integer) as shown from e where 8000 - (total - n) > 200",
+    "with e as (select source, doc_id, length(text) n, sum(length(text)) over (partition by source order by coalesce(date, '') desc, doc_id rows unbounded preceding) total from documents where text <> '') select source, doc_id, cast(least(n, 8000 - (total - n)) as integer) as shown from e where 8000 - (total - n) > 200",
 )
 def budget_block(spark, d):
-    """The newest texts of each source while more than 200 of 8,000 characters are left; the last one is cut."""
-    docs = table(spark, d, "documents").filter("text is not null").select("source", "doc_id", F.coalesce("date", F.lit("")).alias("date"), F.length("text").cast("long").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("source").orderBy(F.desc("date"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    left = F.lit(8000) - (F.col("total") - F.col("n"))
-    return docs.withColumn("total", total).filter(left > 200).select("source", "doc_id", F.least("n", left).cast("int").alias("shown"))
+    """The newest texts of each source while more than 200 of 8,000 characters are left; the last one is cut. No text is empty, so 8,000 rows of a source are enough."""
+    docs = table(spark, d, "documents").filter("text <> ''").select("source", "doc_id", F.coalesce("date", F.lit("")).alias("date"), F.length("text").cast("long").alias("n"))
+    newest = Window.partitionBy("source").orderBy(F.desc("date"), "doc_id")
+    few = docs.withColumn("r", F.row_number().over(newest)).filter("r <= 8000")
+    left = F.lit(8000) - (F.sum("n").over(newest.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    return few.withColumn("left", left).filter("left > 200").select("source", "doc_id", F.least("n", "left").cast("int").alias("shown"))
 
 
 @reg.query(

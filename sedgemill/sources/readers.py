@@ -25,9 +25,9 @@ def jsonl(spark: SparkSession, path: str, name: str, lenient: bool = True, missi
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if lenient else "FAILFAST").json(path)
 
 
-def store(spark: SparkSession, folder: str, suffix: str = "dai") -> DataFrame:
+def store(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path, text of every document of a store, whole."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(folder, wholetext=True)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
     return files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 

@@ -20,7 +20,7 @@ def test_jsonl(spark, tmp_path):
 
 
 def test_zones(spark, tmp_path):
-    (tmp_path / "a.dai").write_text('---\nid: a\n---\n# Understanding\n```json\n{"topics": ["x"]}\n```\n# Content\n## [seg 1/2]\none\n## [seg 2/2]\ntwo\n')
+    (tmp_path / "a.txt").write_text('---\nid: a\n---\n# Understanding\n```json\n{"topics": ["x"]}\n```\n# Content\n## [seg 1/2]\none\n## [seg 2/2]\ntwo\n')
     parsed = readers.zones(readers.store(spark, str(tmp_path)))
     r = parsed.first()
     assert r["header"] == "id: a" and json.loads(r["understanding"])["topics"] == ["x"]
