@@ -10,10 +10,11 @@ import_clause: ID (',' (star_as / named))? / star_as / named
 star_as: '*' "as" ID
 named: '{' (spec (',' spec)* ','?)? '}'
 spec: ("type" !"as" !',' !'}')? (NAME / STR) ("as" (NAME / STR))?
-export_decl: decorator* 'export' ('default' (func / class / "abstract" class / "interface" interface_rest / e EOS) / '*' ("as" NAME)? "from" STR import_with? EOS / "type"? named ("from" STR import_with?)? EOS / '=' e EOS / decl)
+export_decl: decorator* 'export' ('default' (func / "abstract"? class / "interface" interface_rest / ("async" !NLB)? 'function' '*'? ID? sig EOS / e EOS) / '*' ("as" NAME)? "from" STR import_with? EOS / "type"? named ("from" STR import_with?)? EOS / "type"? '*' ("as" NAME)? "from" STR EOS / "as" "namespace" ID EOS / '=' e EOS / decl)
 decl: var EOS / func / class / ts_decl
 decorator: '@' ID ('.' NAME)* args?
-ts_decl: "declare"? ("interface" interface_rest / "type" ID typeparams? '=' type EOS / 'const'? 'enum' ID '{' (enum_member (',' enum_member)* ','?)? '}' / ("namespace" / "module") (ID ('.' ID)* / STR) block_items / "abstract" class / "declare" (var EOS / class / 'function' '*'? ID sig EOS)) / 'function' '*'? ID sig ';' / "async" 'function' ID sig ';' / "global" block_items
+ts_decl: "declare" (var EOS / "abstract"? class / 'function' '*'? ID sig EOS / ts_body / "global" block_items) / ts_body / ("async" !NLB)? 'function' '*'? ID sig EOS / "global" block_items
+ts_body: "interface" interface_rest / "type" ID typeparams? '=' type EOS / 'const'? 'enum' ID '{' (enum_member (',' enum_member)* ','?)? '}' / ("namespace" / "module") (ID ('.' ID)* / STR) block_items / "abstract" class
 block_items: '{' item* '}'
 interface_rest: ID typeparams? ('extends' type (',' type)*)? object_type
 enum_member: (NAME / STR) ('=' e)?
@@ -46,10 +47,10 @@ es: e (',' e)*
 binop: '+' / '-' / '*' / '/' / '%' / '**' / '&' / '|' / '^' / '&&' / '||' / '??' / '==' / '!=' / '===' / '!==' / '<<' / '<' '='? / '<=' / '>' '>'? '>'? ('=' / '==')? / 'instanceof' / 'in' / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '<<=' / '&=' / '|=' / '^=' / '&&=' / '||=' / '??='
 as_type: !NLB ("as" / "satisfies") ('const' / type)
 operand: arrow / prefix* primary postfix*
-prefix: '!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' / 'delete' / 'await' / 'yield' '*'? &(ID / NUM / STR / '(' / '[' / '{' / 'new' / 'this') / cast
+prefix: '!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' / 'delete' / 'await' / 'yield' '*'? &(ID / NUM / STR / TPL / '(' / '[' / '{' / 'new' / 'this' / 'await' / '!' / '-' / 'null' / 'true' / 'false' / 'typeof') / cast
 cast: '<' type '>'
 ~arrow: ("async" !NLB)? (ID / typeparams? '(' params ')' ret?) '=>' (block / e)
-postfix: '.' NAME / '?.' (NAME / '[' es ']' / args) / '[' es ']' / args / TPL / typeargs (args / TPL) / !NLB ('++' / '--') / '!' !'=' !NLB
+postfix: '.' NAME / '?.' (NAME / '[' es ']' / args) / '[' es ']' / args / TPL / typeargs (args / TPL) / !NLB ('++' / '--') / !NLB '!' !'='
 args: '(' ('...'? e (',' '...'? e)*)? ','? ')'
 primary: anon_func / ID / NUM / STR / TPL / 'this' / 'super' / 'null' / 'true' / 'false' / '(' es ')' / array / object / class / 'new' new_target / 'import' ('.' NAME / args) / 'yield'
 new_target: '.' NAME / 'new' new_target / (anon_func / ID / 'this' / '(' es ')' / class) ('.' NAME / '[' es ']')* typeargs? args?
@@ -65,10 +66,10 @@ typeargs: '<' type (',' type)* '>'
 cond_type: ("infer" ID / union) ('extends' union '?' type ':' type)?
 union: ('|' / '&')? unary_type (('|' / '&') unary_type)*
 unary_type: ("keyof" / "readonly" / "unique" / "infer") unary_type / 'new'? typeparams? '(' params ')' '=>' ret_type / atom ('[' type? ']')*
-ret_type: ID "is" type / type
+ret_type: "asserts" (ID / 'this') ("is" type)? / (ID / 'this') "is" type / type
 atom: TPL / 'typeof' ID ('.' NAME)* typeargs? / (ID / 'void' / 'null' / 'this') ('.' NAME)* typeargs? / STR / '-'? NUM / 'true' / 'false' / '(' type ')' / '[' (('...'? (ID '?'? ':')? type '?'?) (',' '...'? (ID '?'? ':')? type '?'?)*)? ','? ']' / object_type / 'import' '(' STR ')' ('.' NAME)* typeargs?
 object_type: '{' (type_member (';' / ',' / NLB / &'}'))* '}'
-type_member: ("readonly" !(':' / '?'))? (('+' / '-')? "readonly")? ('new'? sig / (("get" / "set") !(':' / '?' / '('))? '[' ID (':' type / 'in' type ("as" type)?) ']' ('-' / '+')? '?'? ann? / propname '?'? (sig / ann)?)
+type_member: ("readonly" !(':' / '?'))? (('+' / '-')? "readonly")? ('new'? sig / (("get" / "set") !(':' / '?' / '('))? '[' ID (':' type / 'in' type ("as" type)?) ']' ('-' / '+')? '?'? ann? / (("get" / "set") !(':' / '?' / '(' / ';' / '}' / ','))? propname '?'? (sig / ann)?)
 """
 
 JAVASCRIPT = r"""
@@ -77,6 +78,7 @@ import_decl: 'import' !'(' !'.' (STR / import_clause "from" STR) import_with? EO
 spec: (NAME / STR) ("as" (NAME / STR))?
 export_decl: decorator* 'export' ('default' (func / class / e EOS) / '*' ("as" NAME)? "from" STR import_with? EOS / named ("from" STR import_with?)? EOS / decl)
 ts_decl: fail
+ts_body: fail
 access: fail
 modifier: ("static" / "accessor" / "async") !('(' / '=' / ';' / '}')
 @method: decorator* modifier* '*'? (("get" / "set") !('(' / '=' / ';' / '}'))? (PNAME / STR / NUM / '[' es ']') '(' params ')' block
@@ -200,8 +202,9 @@ binop: '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '&&' / '||' / '??' / '=='
 unary: ('!' / '~' / '+' / '-' / '++' / '--' / '&' / '*' / '^' / '..') unary / "await" !('.' / '=' / ';' / ')') unary / 'throw' e / 'ref' unary / lambda / '(' type ')' &(ID / STR / CHR / NUM / '(' / '!' / '~' / 'new' / 'this' / 'base' / 'null' / 'true' / 'false' / prim / 'typeof' / 'default') unary / query / primary postfix*
 ~lambda: ("async" / 'static')* (ID / '(' lambda_params ')') '=>' (block / e) / "async"? 'delegate' ('(' params ')')? block
 lambda_params: (ID (',' ID)* !ID / params)
-query: "from" type? ID 'in' e clause+
-clause: "from" type? ID 'in' e / "where" e / "let" ID '=' e / "join" type? ID 'in' e "on" e "equals" e ("into" ID)? / "orderby" e ("ascending" / "descending")? (',' e ("ascending" / "descending")?)* / "select" e / "group" e "by" e / "into" ID
+query: "from" range 'in' e clause+
+range: type ID / ID
+clause: "from" range 'in' e / "where" e / "let" ID '=' e / "join" range 'in' e "on" e "equals" e ("into" ID)? / "orderby" e ("ascending" / "descending")? (',' e ("ascending" / "descending")?)* / "select" e / "group" e "by" e / "into" ID
 primary: NUM / STR / CHR / 'true' / 'false' / 'null' / 'this' / 'base' / 'new' new_rest / 'typeof' '(' type ')' / 'sizeof' '(' type ')' / 'default' ('(' type ')')? / ('checked' / 'unchecked') '(' e ')' / "nameof" '(' e ')' / 'stackalloc' new_rest / prim / (ID '::')? ID typeargs &('(' / '.' / ')' / ';' / ',') / ID / '(' e (',' e)* ')' / '(' (ID ':')? e (',' (ID ':')? e)+ ')'
 new_rest: '[' ','* ']' array_init / array_init / args object_init? / type_new (args object_init? / ('[' e (',' e)* ']') ('[' ','* ']')* array_init? / ('[' ','* ']')+ array_init / object_init)
 type_new: (prim / (ID '::')? ID typeargs? ('.' ID typeargs?)*) '?'?
@@ -259,7 +262,7 @@ concept: 'concept' ID '=' e ';'
 template: 'template' ('<' (tparam (',' tparam)*)? '>')? requires?
 tparam: template? ('typename' / 'class') '...'? ID? ('=' type)? / specs (declarator / abstract)? ('=' unary)? / qid '...'? ID ('=' type)?
 requires: 'requires' unary (('&&' / '||') unary)*
-using: 'using' ('namespace' qid / 'typename'? qid (',' qid)* / ID attr* '=' type) ';'
+using: 'using' ('namespace' qid / ID attr* '=' type / 'enum'? 'typename'? qid (',' qid)*) ';'
 static_assert: 'static_assert' '(' assign (',' STR+)? ')' ';'
 attr: '[' '[' balanced* ']' ']' / "__attribute__" '(' balanced* ')' / 'alignas' '(' balanced* ')'
 balanced: '(' balanced* ')' / '[' balanced* ']' / '{' balanced* '}' / !'(' !')' !'[' !']' !'{' !'}' ANY
@@ -398,7 +401,7 @@ enum: 'enum' ID generics? where? '{' (variant (',' variant)* ','?)? '}'
 variant: attr* vis? ID ('{' fields '}' / '(' tuple_fields ')')? ('=' e)?
 trait: 'unsafe'? "auto"? 'trait' ID generics? (':' bounds?)? where? '{' member* '}'
 impl: 'unsafe'? 'impl' generics? '!'? type ('for' type)? where? '{' inner_attr* member* '}'
-member: fn / attr* vis? "default"? ('type' ID generics? (':' bounds)? where? ('=' type)? ';' / 'const' ID ':' type ('=' e)? ';' / fn) / attr* macro_item
+member: fn / attr* vis? "default"? ('type' ID generics? (':' bounds)? where? ('=' type)? where? ';' / 'const' ID ':' type ('=' e)? ';' / fn) / attr* macro_item
 generics: '<' (generic (',' generic)* ','?)? '>'
 generic: attr* (LIFE (':' LIFE ('+' LIFE)*)? / 'const' ID ':' type ('=' (block / NUM / ID))? / ID (':' bounds?)? ('=' type)?)
 bounds: bound ('+' bound)* '+'?
@@ -408,16 +411,16 @@ where: 'where' (pred (',' pred)* ','?)?
 pred: LIFE ':' LIFE ('+' LIFE)* / for_life? type ':' bounds?
 ~type: '&' LIFE? 'mut'? type / '&&' LIFE? 'mut'? type / '*' ('const' / 'mut') type / '[' type (';' e)? ']' / '(' (type (',' type)* ','?)? ')' / '!' / 'impl' bounds / 'dyn' bounds / for_life? ('unsafe' / 'extern' STR?)* 'fn' '(' (attr* ((ID / "_") ':')? type (',' attr* ((ID / "_") ':')? type)* ','?)? ')' ('->' type)? / '<' type ('as' path)? '>' '::' path / "_" / path '!' ('(' tree* ')' / '[' tree* ']' / '{' tree* '}') / for_life? path
 path: '::'? path_seg ('::' path_seg)*
-path_seg: (ID / 'self' / 'Self' / 'super' / 'crate') ('::'? path_args / '(' (type (',' type)* ','?)? ')' '->' type)? / path_args
+path_seg: (ID / 'self' / 'Self' / 'super' / 'crate') ('::'? path_args / '(' (type (',' type)* ','?)? ')' ('->' type)?)? / path_args
 path_args: '<' (path_arg (',' path_arg)* ','?)? '>'
-path_arg: LIFE / ID path_args? ('=' type / ':' bounds) / type / NUM / STR / '-' NUM / block / 'true' / 'false'
+path_arg: LIFE / ID path_args? ('=' type / ':' bounds) / type / NUM / STR / CHR / '-' NUM / block / 'true' / 'false'
 ~pattern: '|'? pattern_one ('|' pattern_one)*
 pattern_one: '&' 'mut'? pattern_one / '&&' 'mut'? pattern_one / '(' (pattern (',' pattern)* ','?)? ')' / '[' (pattern (',' pattern)* ','?)? ']' / '..' !NUM / ('ref')? 'mut'? ID '@' pattern_one / 'ref' 'mut'? ID / 'mut' ID / range_pattern / path '!' ('(' tree* ')' / '[' tree* ']' / '{' tree* '}') / (path / '<' type ('as' path)? '>' '::' path) ('{' (field_pattern (',' field_pattern)* ','?)? '}' / '(' (pattern (',' pattern)* ','?)? ')')? / "_"
-range_pattern: bound_value (('..=' / '...' / '..') bound_value?)? / ('..=' / '..') bound_value
+range_pattern: bound_value (('..=' / '...' / '..') (bound_value / path)?)? / ('..=' / '..') bound_value
 bound_value: '-'? NUM / STR / CHR / 'true' / 'false' / path &('..=' / '..' / '...')
 field_pattern: attr* ('..' / (ID / NUM) ':' pattern / 'ref'? 'mut'? ID)
 block: '{' inner_attr* stmt* e? '}'
-stmt: ';' / attr* 'let' pattern (':' type)? ('=' e ('else' block)?)? ';' / item_stmt / attr* block_e !('.' / '?') / path '!' '{' tree* '}' !('.' / '?') / attr* e ';'
+stmt: ';' / attr* 'let' pattern (':' type)? ('=' e ('else' block)?)? ';' / item_stmt / attr* block_e !('.' / '?') / path '!' ID? '{' tree* '}' !('.' / '?') / attr* e ';'
 item_stmt: attr* vis? ('use' use_tree ';' / 'mod' ID '{' item* '}' / struct / enum / trait / impl / 'const' (ID / "_") ':' type '=' e ';' / 'static' 'mut'? ID ':' type '=' e ';' / 'type' ID generics? '=' type ';' / fn) / fn
 block_e: (LIFE ':')? ('unsafe' block / 'loop' block / 'while' cond block / 'for' pattern 'in' e_ns block / block) / if / match / 'async' 'move'? block / 'const' block
 cond: e_ns
@@ -427,7 +430,7 @@ arm: attr* pattern ('if' e)? '=>' (block ','? !('.' / '?' / binop) / e (',' / &'
 ~e: range_start? unary (binop unary / 'as' type / ('..=' / '..') unary?)* / ('..=' / '..') unary? / '..'
 range_start: ('..=' / '..') &(NUM / ID / '(')
 ~e_ns: unary_ns (binop unary_ns / 'as' type / ('..=' / '..') unary_ns?)* / ('..=' / '..') unary_ns?
-binop: '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '&&' / '||' / '==' / '!=' / '<<' / '<' / '<=' / '>' '>'? '='? / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<='
+binop: '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '&&' / '||' / '==' / '!=' / '<' '<' / '<' '<=' / '<' / '<=' / '>' '>'? '='? / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^='
 unary: ('!' / '-' / '*' / '&' 'mut'? / '&&' 'mut'? / '&' "raw" ('const' / 'mut')) unary / 'let' pattern '=' unary / primary postfix*
 unary_ns: ('!' / '-' / '*' / '&' 'mut'? / '&&' 'mut'?) unary_ns / 'let' pattern '=' unary_ns / primary_ns postfix*
 primary: closure / jump / block_e / struct_lit / common

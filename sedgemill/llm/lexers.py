@@ -12,7 +12,7 @@ class LexError(ValueError):
     pass
 
 
-NUMBER = r"0[xX][\da-fA-F_]+\w*|0[bB][01_]+\w*|0[oO][0-7_]+\w*|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?\w*|\.\d[\d_]*(?:[eE][+-]?\d+)?\w*"
+NUMBER = r"0[xX][\da-fA-F_]+\w*|0[bB][01_]+\w*|0[oO][0-7_]+\w*|\d[\d_]*(?:\.\d[\d_]*|\.(?![\w.]))?(?:[eE][+-]?\d+)?\w*|\.\d[\d_]*(?:[eE][+-]?\d+)?\w*"
 DOUBLE = r'"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"'
 SINGLE = r"'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'"
 CHAR = r"'(?:[^'\\\n\r]|\\(?:u\{?[\da-fA-F]+\}?|x[\da-fA-F]+|[0-7]{1,3}|.))+'"
@@ -186,7 +186,7 @@ CS_OPS = r"=>|->|::|==|!=|<<=|<=|\+\+|--|&&|\|\||\?\?=|\?\?|\?\.|\.\.|[-+*/%&|^]
 C_OPS = r"\.\.\.|->|==|!=|<<=|>>=|<=|>=|\+\+|--|&&|\|\||[-+*/%&|^]=|<<|>>|[-+*/%&|^!~<>=?:;,.(){}\[\]]"
 CPP_OPS = r"\.\.\.|->\*|->|::|<=>|==|!=|<<=|<=|\+\+|--|&&|\|\||\.\*|[-+*/%&|^]=|<<|[-+*/%&|^!~<>=?:;,.(){}\[\]]"
 GO_OPS = r"\.\.\.|<-|:=|==|!=|<<=|>>=|&\^=|&\^|<=|>=|\+\+|--|&&|\|\||[-+*/%&|^]=|<<|>>|[-+*/%&|^!~<>=:;,.(){}\[\]]"
-RUST_OPS = r"\.\.\.|\.\.=|\.\.|->|=>|::|==|!=|<<=|<=|&&|\|\||[-+*/%&|^]=|<<|[-+*/%&|^!~<>=?:;,.(){}\[\]@#$]"
+RUST_OPS = r"\.\.\.|\.\.=|\.\.|->|=>|::|==|!=|<=|&&|\|\||[-+*/%&|^]=|[-+*/%&|^!~<>=?:;,.(){}\[\]@#$]"
 RUBY_OPS = r"<=>|===|\.\.\.|\.\.|\*\*=|\*\*|=>|->|==|!=|=~|!~|&\.|::|<<=|>>=|<=|>=|&&=|\|\|=|&&|\|\||[-+*/%&|^]=|<<|>>|[-+*/%&|^!~<>=?:;,.(){}\[\]]"
 
 DIRECTIVE = r"^[ \t]*#[ \t]*(?:include[ \t]*(?:<[^>\n]+>|\"[^\"\n]+\")|(?:define|undef|if|ifdef|ifndef|elif|else|endif|pragma|error|line|warning)\b(?:[^\n\\]|\\[^\n]|\\\r?\n)*|[ \t]*$)"
@@ -201,8 +201,8 @@ LEXERS = {
     "javascript": Lexer(JS_WORDS, f"{DOUBLE}|{SINGLE}", ops=JS_OPS, ident=r"[^\W\d][\w$]*|[$][\w$]*|#[^\W\d]\w*", comments=rf"\A#![^\n]*|{BLOCK}|{LINE}", regex_words=JS_WORDS, template="`"),
     "java": Lexer(JAVA_WORDS, rf'"""[ \t]*\r?\n(?:[^\\]|\\[\s\S])*?"""|{DOUBLE}', chars=CHAR1, ops=JAVA_OPS, ident=r"[^\W\d]\w*|\$\w*"),
     "csharp": Lexer(CS_WORDS, CS_STRINGS, chars=CHAR1, ops=CS_OPS, ident=r"@?[^\W\d]\w*", extra=r"^[ \t]*#[ \t]*(?:region|endregion|if|else|elif|endif|define|undef|nullable|pragma|warning|error|line)\b[^\n]*"),
-    "c": Lexer(C_WORDS, rf"(?:u8|[uUL])?{DOUBLE}", chars=rf"[uUL]?{CHAR}", ops=C_OPS, extra=DIRECTIVE),
-    "cpp": Lexer(CPP_WORDS, rf'(?:u8|[uUL])?R"(?P<cppend>[^ ()\\\t\v\f\n]{{0,16}})\([\s\S]*?\)(?P=cppend)"|(?:u8|[uUL])?{DOUBLE}', chars=rf"(?:u8|[uUL])?{CHAR}", numbers=NUMBER.replace(r"\d[\d_]*(?:\.", r"\d(?:'?\d)*(?:\."), ops=CPP_OPS, extra=DIRECTIVE),
+    "c": Lexer(C_WORDS, rf"(?:u8|[uUL])?{DOUBLE}", chars=rf"[uUL]?{CHAR}", ops=C_OPS, extra=rf"^[ \t]*#[ \t]*ifdef[ \t]+__cplusplus\b[\s\S]*?^[ \t]*#[ \t]*endif[^\n]*|{DIRECTIVE}"),
+    "cpp": Lexer(CPP_WORDS, rf'(?:u8|[uUL])?R"(?P<cppend>[^ ()\\\t\v\f\n]{{0,16}})\([\s\S]*?\)(?P=cppend)"|(?:u8|[uUL])?{DOUBLE}', chars=rf"(?:u8|[uUL])?{CHAR}", numbers=NUMBER.replace(r"\d[\d_]*(?:\.\d", r"\d(?:'?\d)*(?:\.\d"), ops=CPP_OPS, extra=DIRECTIVE),
     "go": Lexer(GO_WORDS, rf"`[^`]*`|{DOUBLE}", chars=CHAR1, ops=GO_OPS, semicolons=True),
     "rust": Lexer(RUST_WORDS, comments=f"{NESTED}|{LINE}", strings=rf'[bc]?r(?P<rustend>#*)"[\s\S]*?"(?P=rustend)|[bc]?"(?:[^"\\]|\\[\s\S])*"', chars=r"b?'(?:[^'\\\n]|\\(?:u\{[\da-fA-F_]+\}|x[\da-fA-F]{2}|.))'", numbers=r"0[xob][\da-fA-F_]+\w*|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?\d+)?\w*", ops=rf"'[^\W\d]\w*(?!')|{RUST_OPS}", ident=r"r#[^\W\d]\w*|[^\W\d]\w*"),
     "ruby": Lexer(RUBY_WORDS, RUBY_STRINGS, comments=r"#[^\n\r]*|^=begin\b[\s\S]*?^=end\b[^\n]*|^__END__[\s\S]*", ops=RUBY_OPS, ident=r"(?:@@|@|\$)[^\W\d]\w*|\$[\d!~&]|[^\W\d]\w*[?!]?(?==[=~>])|[^\W\d]\w*[?!](?!=)|[^\W\d]\w*", numbers=r"0[xob][\da-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?[ri]?", lines=True, regex_words=RUBY_WORDS),
