@@ -100,3 +100,17 @@ def test_texts(spark):
     assert one(spark, T.one_line(F.col("t"), 6), t="ab  cdefg") == "ab cd…"
     assert one(spark, T.rolling_hash(F.col("t")), t="ab") == 97 * 31 + 98
     assert one(spark, T.estimated_tokens(F.col("t")), t="") == 0
+
+
+@pytest.mark.parametrize("spec, n, want", [("1,3,5-7", 9, [1, 3, 5, 6, 7]), ("0,2,99,x", 5, [2]), ("all", 3, [1, 2, 3]), ("4-2", 5, []), ("2 - 9, 2", 3, [2, 3]), ("all", 0, []), ("", 4, [])])
+def test_picks(spark, spec, n, want):
+    assert one(spark, T.picked(F.col("s"), F.lit(n)), s=spec) == want
+
+
+def test_pages_and_answers(spark):
+    page = '<a href="https://x.test/1">First <b>link</b></a><a href="https://x.test/1">again here</a><a href="/rel">relative</a><a href="https://x.test/2">ab</a>'
+    assert [tuple(r) for r in one(spark, T.links(F.col("p")), p=page)] == [("First link", "https://x.test/1")]
+    assert one(spark, T.first_object(F.col("p")), p='```json\n{"a": {"b": 1}}\n``` done') == '{"a": {"b": 1}}'
+    assert one(spark, T.first_object(F.col("p")), p="{broken") is None
+    assert one(spark, T.project_of(F.col("p")), p="/home/u/app/.worktrees/x") == "app" and one(spark, T.project_of(F.col("p")), p="/home/u/app/") == "app"
+    assert one(spark, T.first_user_line(F.col("p"), 6), p="SYSTEM: x\nUSER: hello there\n") == "hello…"
