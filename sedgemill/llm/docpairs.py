@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from sedgemill.llm.syntax import Invalid, language, parse_other, parse_python, without_mark
+from sedgemill.session import spread
 
 BREAK = re.compile(r"\r\n|\n|\r")
 WORDS, CHARS = 3, 5
@@ -178,7 +179,7 @@ def documented_functions(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file_id", "name", "line", "code", "description"])
 
     rows = files.filter("code is not null and file_id is not null").select("file_id", "path", "code")
-    return rows.mapInPandas(run, "file_id long, name string, line int, code string, description string")
+    return spread(rows).mapInPandas(run, "file_id long, name string, line int, code string, description string")
 
 
 def documented_names(files: DataFrame) -> DataFrame:

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedgemill.session import spread
+
 RUN, NEAR, ODD, ZH_RUN, PHRASE, SHARED = 12, 20, 6, 20, 4, 3
 SHARD_CHARS, ITEM_CHARS = 3_000_000, 20_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -287,7 +289,7 @@ def _search(documents: DataFrame, words: list, chars: list) -> DataFrame:
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "start_char", "end_char"])
 
     texts = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    return texts.mapInPandas(run, "doc_id long, item_id long, start_char int, end_char int")
+    return spread(texts).mapInPandas(run, "doc_id long, item_id long, start_char int, end_char int")
 
 
 def leaking_documents(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgemill.session import cut
+from sedgemill.session import cut, spread
 
 CAPACITY = 2048
 OPEN_BINS = 64
@@ -54,7 +54,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 counts += [len(e.ids) for e in t.encode_batch_fast(texts[i : i + 128], add_special_tokens=False)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens int")
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_tokens int")
 
 
 class Bins:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgemill.session import cut
+from sedgemill.session import cut, spread
 
 #: Labelled candidates that the classifier is fitted on, at most.
 SAMPLE = 40_000
@@ -291,7 +291,7 @@ def candidates(documents: DataFrame, share: float = 1.0) -> DataFrame:
             rows += [(kind, n, ends, None, None, None, None) for kind, (n, ends) in counts.items()]
             yield pd.DataFrame(rows, columns=["kind", "n", "ends", "names", "sure", "last", "order_key"]).astype({"order_key": "Int64", "sure": "boolean", "last": "boolean"})
 
-    return documents.select("text").filter("text is not null").mapInPandas(run, "kind string, n long, ends long, names array<int>, sure boolean, last boolean, order_key long")
+    return spread(documents.select("text").filter("text is not null")).mapInPandas(run, "kind string, n long, ends long, names array<int>, sure boolean, last boolean, order_key long")
 
 
 def silent_types(found: DataFrame) -> set[str]:
@@ -344,4 +344,4 @@ def sentence_units(documents: DataFrame, model: Model | None = None) -> DataFram
             yield pd.DataFrame(rows, columns=["doc_id", "start_char", "end_char"])
 
     texts = documents.select("doc_id", "text").filter("text is not null and doc_id is not null")
-    return texts.mapInPandas(run, "doc_id long, start_char int, end_char int")
+    return spread(texts).mapInPandas(run, "doc_id long, start_char int, end_char int")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from sedgemill.llm.grammars import SOURCES
 from sedgemill.llm.lexers import LEXERS, LexError
 from sedgemill.llm.peg import Grammar, Tokens
+from sedgemill.session import spread
 
 # Fixed values.
 EXTENSIONS = {
@@ -145,7 +146,7 @@ def checked_files(files: DataFrame) -> DataFrame:
             yield out
 
     rows = files.filter("code is not null and file_id is not null").select("file_id", "repo", "path", "code")
-    found = rows.mapInPandas(run, "file_id long, repo string, path string, lang string, status string, parses_as string")
+    found = spread(rows).mapInPandas(run, "file_id long, repo string, path string, lang string, status string, parses_as string")
     return found.dropDuplicates(["file_id"])  # after parsing, so that no text is shuffled
 
 
