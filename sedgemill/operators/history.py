@@ -1,4 +1,8 @@
-"""Answers from dated events without a model: tallies, timelines; and the choice of a graph query."""
+"""Answers from dated events without a model: tallies, timelines; and the choice of a graph query.
+
+Defined results: events without a fact drop out, without a date they count but give no date; questions without a relevant event
+have no answer; repeated events of one date and wording count once.
+"""
 
 from __future__ import annotations
 

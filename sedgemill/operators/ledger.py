@@ -1,4 +1,8 @@
-"""Dated facts and events: derivation, keyed deduplication, supersession, running totals that survive hot keys."""
+"""Dated facts and events: derivation, keyed deduplication, supersession, running values that survive hot keys.
+
+Defined results: null keys form a group of their own in ``first_per_key`` and drop out of the running values (callers filter them);
+ties go by the whole order given; repeated rows count again unless the caller takes distinct ones; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

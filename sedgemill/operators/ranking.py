@@ -2,6 +2,9 @@
 
 Scores come from joins of term tables, so the work follows the postings of the asked terms; the asked questions are a stated
 query set, small beside the collection, and are broadcast where a size bound is known.
+
+Defined results: null texts and arrays count as empty; questions without known terms have no hits; repeated entries count once where
+the caller takes distinct rows; ties go by id; an empty collection gives no rows; very long texts only lengthen their postings.
 """
 
 from __future__ import annotations

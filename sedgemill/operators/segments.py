@@ -1,4 +1,8 @@
-"""Ordered parts of documents: greedy segments under a token budget, even samples of them, headed parts."""
+"""Ordered parts of documents: greedy segments under a token budget, even samples of them, headed parts.
+
+Defined results: null texts have no parts; an empty text is one empty segment and no headed part; repeated rows give their parts
+again; a document's parts are built within its row or its own group, so memory is bounded by the longest text.
+"""
 
 from __future__ import annotations
 

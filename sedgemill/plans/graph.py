@@ -291,3 +291,30 @@ def symbol_lines(spark, d):
     """The lines of each module's symbol block, with what they are ordered by."""
     text = F.concat("kind", F.lit(" "), "name", F.coalesce("sig", F.lit("")))
     return table(spark, d, "symbols").filter("module is not null").select("module", "line", text.alias("text")).distinct()
+
+
+@reg.query("docs_for", f"with {E} select dst as node, count(distinct src) as docs, min(src) as first_doc from e where type = 'rationale_for' group by dst")
+def docs_for(spark, d):
+    """Documentation nodes of every node."""
+    return _edges(spark, d).filter("type = 'rationale_for'").groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("docs"), F.min("src").alias("first_doc"))
+
+
+@reg.query("defines", "select distinct s.name, s.kind, s.module, s.line, m.path from (select distinct name, kind, module, line from symbols where name is not null) s left join (select module, min(path) path from manifest where module is not null group by module) m on m.module = s.module")
+def defines(spark, d):
+    """Where every symbol is defined, with the path of its module."""
+    s = table(spark, d, "symbols").filter("name is not null").select("name", "kind", "module", "line").distinct()
+    paths = table(spark, d, "manifest").filter("module is not null").groupBy("module").agg(F.min("path").alias("path"))
+    return s.join(paths, "module", "left").select("name", "kind", "module", "line", "path")
+
+
+@reg.query(
+    "why",
+    f"""with {E}, s as (select src node, 'callees' section, dst other from e where type = 'calls' union all select dst, 'callers', src from e where type = 'calls' union all select dst, 'docs', src from e where type = 'rationale_for' union all select src, 'bases', dst from e where type = 'extends')
+select node, section, count(distinct other) as n, min(other) as first from s group by node, section""",
+)
+def why(spark, d):
+    """What explains a node, by section: what it calls, who calls it, its documentation, its bases."""
+    sides = [("calls", "callees", "src", "dst"), ("calls", "callers", "dst", "src"), ("rationale_for", "docs", "dst", "src"), ("extends", "bases", "src", "dst")]
+    rows = [F.when(F.col("type") == t, F.struct(F.col(a).alias("node"), F.lit(s).alias("section"), F.col(b).alias("other"))) for t, s, a, b in sides]
+    x = _edges(spark, d).select(F.explode(F.array_compact(F.array(*rows))).alias("x")).select("x.*")
+    return x.groupBy("node", "section").agg(F.countDistinct("other").alias("n"), F.min("other").alias("first"))
