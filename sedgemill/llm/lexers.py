@@ -42,8 +42,8 @@ class Lexer:
 
     def __post_init__(self) -> None:
         self.pattern = re.compile(
-            rf"(?P<X>{self.extra})|(?P<CM>{self.comments})|(?P<B>[ \t\f\v\xa0]+)|(?P<NL>\r\n|\n|\r)|(?P<STR>{self.strings})|(?P<CHR>{self.chars})"
-            rf"|(?P<NUM>{self.numbers})|(?P<ID>{self.ident})|(?P<OP>{self.ops})",
+            rf"(?P<X>{self.extra})|[ \t\f\v\xa0]*(?:(?P<CM>{self.comments})|(?P<NL>\r\n|\n|\r)|(?P<STR>{self.strings})|(?P<CHR>{self.chars})"
+            rf"|(?P<NUM>{self.numbers})|(?P<ID>{self.ident})|(?P<OP>{self.ops}))",
             re.M,
         )
 
@@ -62,23 +62,29 @@ class Lexer:
             broken_.append(broken)
             broken = False
 
+        special = "`" * bool(self.template) + "/" * bool(self.regex_words)
         while i < n:
-            c = code[i]
-            if self.template and c == "`":
-                j = self._template(code, i)
-                put("TPL", i, j)
-                i = j
-                continue
-            if self.regex_words and c == "/" and code[i + 1 : i + 2] not in ("/", "*", "") and self._regex_may_start(kind_, broken, code, i):
-                m = REGEX.match(code, i)
-                if m:
-                    put("STR", i, m.end())
-                    i = m.end()
-                    continue
+            if special:
+                while i < n and code[i] in " \t":
+                    i += 1
+                c = code[i : i + 1]
+                if c and c in special:
+                    if c == "`":
+                        j = self._template(code, i)
+                        put("TPL", i, j)
+                        i = j
+                        continue
+                    if code[i + 1 : i + 2] not in ("/", "*", "") and self._regex_may_start(kind_, broken, code, i) and (m := REGEX.match(code, i)):
+                        put("STR", i, m.end())
+                        i = m.end()
+                        continue
             m = match(code, i)
             if m is None:
+                if not code[i:].strip(" \t\f\v\xa0"):
+                    break
                 raise LexError(f"{i}: {code[i : i + 20]!r}")
             what, j = m.lastgroup, m.end()
+            i = m.start(what)
             if what == "NL":
                 if self.semicolons and kind_ and (kind_[-1] in GO_ENDS) and not broken:
                     put(";", i, i)
@@ -90,17 +96,17 @@ class Lexer:
                     j = self._heredocs(code, j, docs)
             elif what == "CM":
                 t.comments.append((i, j))
-                if "\n" in m.group():
+                if "\n" in m.group(what):
                     if self.semicolons and kind_ and kind_[-1] in GO_ENDS and not broken:
                         put(";", i, i)
                     broken = True
-            elif what in ("B", "X"):
+            elif what == "X":
                 pass
             elif what == "ID":
-                w = m.group()
+                w = code[i:j]
                 put(w if w in self.words else "ID", i, j)
             elif what == "OP":
-                w = m.group()
+                w = code[i:j]
                 if self.lines:
                     if w in "([{":
                         depth.append(w)
@@ -108,7 +114,7 @@ class Lexer:
                         depth.pop()
                 put("LIFE" if w[0] == "'" else w, i, j)
             else:
-                if self.lines and what == "STR" and (h := HEREDOC.match(m.group())):
+                if self.lines and what == "STR" and (h := HEREDOC.match(code, i)):
                     docs.append((h.group(2), bool(h.group(1))))
                 put(what, i, j)
             i = j

@@ -45,7 +45,7 @@ class Grammar:
                         raise ValueError(f"{name}: {parts[rest]}")
         self.first = self._first_sets()
         self.compiled: dict = {}
-        for name in self.rules:
+        for name in reversed(self.rules):  # the lower rules come last; what is compiled is called directly
             self._rule(name)
 
     # text -> tree
@@ -163,6 +163,8 @@ class Grammar:
             if node[1] not in self.rules:
                 raise ValueError(f"no rule {node[1]}")
             name, table = node[1], self.compiled
+            if name in table:
+                return table[name]
             return lambda s, i: table[name](s, i)
         if op == "seq":
             parts = [self._compile(x) for x in node[1]]
