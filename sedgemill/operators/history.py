@@ -33,7 +33,7 @@ def relevance(events: DataFrame, asked: DataFrame) -> DataFrame:
     tokens = T.identifier_tokens(F.col("fact"))
     n, mean = R.collection_size(real, tokens)
     wanted = asked.select("item_id", F.explode(T.identifier_tokens(F.col("question"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("n"))
-    scored = R.bm25(R.postings(real, "id", tokens), "id", n, mean, wanted, "item_id").withColumn("score", F.round("score", 6))
+    scored = R.bm25(R.postings(real, "id", tokens, wanted), "id", n, mean, wanted, "item_id").withColumn("score", F.round("score", 6))
     return scored.filter("score > 0").join(real.select("id", "date", "fact"), "id")
 
 
@@ -51,7 +51,8 @@ def timeline(events: DataFrame, asked: DataFrame, k: int = 8) -> DataFrame:
     hits = relevance(events, asked).withColumn("r", rank).filter(F.col("r") <= k)
     first, last = F.min(F.nullif("date", F.lit(""))), F.max("date")
     spans = hits.groupBy("item_id").agg(first.alias("first_date"), last.alias("last_date"), F.min_by("date", "r").alias("best_date"))
-    return spans.withColumn("days", F.datediff(F.expr("try_cast(last_date as date)"), F.expr("try_cast(first_date as date)")))
+    day = lambda c: F.when(F.length(c) == 10, F.expr(f"try_cast({c} as date)"))  # noqa: E731  (dates of month precision have no day)
+    return spans.withColumn("days", F.datediff(day("last_date"), day("first_date")))
 
 
 def code_operation(q: Column, symbol: Column, mentioned: Column) -> Column:

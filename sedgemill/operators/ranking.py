@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgemill.functions import text as T
+from sedgemill.session import cut
 
 K1, B = 1.5, 0.75
 
@@ -45,15 +46,21 @@ def entry_scores(entries: DataFrame, asked: DataFrame) -> DataFrame:
     return terms.join(wanted, "w").groupBy("item_id", "id").agg(F.sum("weight").cast("long").alias("score"))
 
 
-def postings(docs: DataFrame, doc: str, tokens: Column) -> DataFrame:
-    """doc, term, tf, dl of every document (``docs`` has one row per ``doc``)."""
+def postings(docs: DataFrame, doc: str, tokens: Column, only: DataFrame | None = None) -> DataFrame:
+    """doc, term, tf, dl of every document (``docs`` has one row per ``doc``); with ``only``, of its terms, before anything is shuffled."""
     counted = docs.select(doc, tokens.alias("t")).select(doc, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if only is not None:
+        counted = counted.join(only.select("term").distinct(), "term", "left_semi")
     return counted.groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25(terms: DataFrame, doc: str, n_docs: int, mean_length: float, wanted: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
-    """query, doc, score. ``wanted``: query, term, n (how often it is asked). Every repetition of an asked term counts."""
-    asked = terms.join(wanted.select("term").distinct(), "term", "left_semi")
+    """query, doc, score. ``wanted``: query, term, n (how often it is asked). Every repetition of an asked term counts.
+
+    ``terms`` are the postings of the asked terms at least; they are written once and read for frequencies and scores.
+    """
+    wanted = cut(wanted, "wanted")
+    asked = cut(terms.join(wanted.select("term").distinct(), "term", "left_semi"), "postings")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     norm = k1 * (1 - b + b * (F.col("dl") / F.lit(mean_length)))

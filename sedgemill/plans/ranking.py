@@ -46,7 +46,7 @@ def _bm25(spark, d):
     tokens = T.identifier_tokens(F.col("body"))
     n, mean = R.collection_size(docs, tokens)
     wanted = asked(spark, d).select("item_id", F.explode(T.identifier_tokens(F.col("question"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("n"))
-    return R.bm25(R.postings(docs, "id", tokens), "id", n, mean, wanted, "item_id").withColumn("score", F.round("score", 6))
+    return R.bm25(R.postings(docs, "id", tokens, wanted), "id", n, mean, wanted, "item_id").withColumn("score", F.round("score", 6))
 
 
 @reg.query(
