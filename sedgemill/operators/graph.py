@@ -76,6 +76,45 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
         links = cut(inner.select("src", "dst"), "core")
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """src, dst, component: the edges that lie on cycles, with the smallest node of their strongly connected component.
+
+    Each turn colours every node with the smallest node that reaches it; those of a colour that reach its node are its component and leave.
+    """
+    rest, found = cyclic_core(edges), None
+    while not rest.isEmpty():
+        colour = cut(rest.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")), "colour")
+        while True:
+            passed = rest.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("c"))
+            new = cut(colour.join(passed, "node", "left").select("node", F.least("colour", "c").alias("colour"), (F.col("c") < F.col("colour")).alias("moved")), "colour")
+            colour, moved = new.select("node", "colour"), new.filter("moved")
+            if moved.isEmpty():
+                break
+        ends = rest.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst")
+        inner = cut(ends.filter("a = b").select("src", "dst", F.col("a").alias("component")), "inner")
+        roots = colour.filter("node = colour").select(F.col("colour").alias("seed"), "node")
+        members = cut(reach(roots, inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("node"), "members")
+        out = inner.join(members.withColumnRenamed("node", "src"), "src", "left_semi").join(members.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "component")
+        found = out if found is None else found.unionByName(out)
+        rest = rest.join(members.withColumnRenamed("node", "src"), "src", "left_anti").join(members.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        rest = cyclic_core(rest.select("src", "dst"))
+    return rest.withColumn("component", F.col("src")) if found is None else found
+
+
+def shortest_paths(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """seed, node, hops, path: a shortest path from every seed (seed, node) to all that it reaches; of several the first in the order of their nodes."""
+    links = cut(edges.select("src", "dst").distinct(), "links")
+    seen = cut(seeds.select("seed", "node").distinct().select("seed", "node", F.lit(0).alias("hops"), F.array("node").alias("path")), "paths")
+    frontier, hops = seen, 0
+    while not frontier.isEmpty():
+        hops += 1
+        step = frontier.join(links, frontier["node"] == links["src"]).select("seed", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        fresh = step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").groupBy("seed", "node").agg(F.min("path").alias("path"))
+        frontier = cut(fresh.select("seed", "node", F.lit(hops).alias("hops"), "path"), "paths")
+        seen = seen.unionByName(frontier)
+    return seen
+
+
 def nearest_prefix(keys: DataFrame, key: str, declared: DataFrame, prefix: str) -> DataFrame:
     """``keys`` with ``nearest``: the longest declared prefix of each key by path parts, or null."""
     parts = F.split(F.col(key), "/")
@@ -86,4 +125,4 @@ def nearest_prefix(keys: DataFrame, key: str, declared: DataFrame, prefix: str)
     return keys.join(best, key, "left")
 
 
-__all__ = ["components", "cyclic_core", "nearest_prefix", "node_key", "reach", "short_name", "typed_edges"]
+__all__ = ["components", "cyclic_core", "nearest_prefix", "node_key", "reach", "short_name", "shortest_paths", "strong_components", "typed_edges"]

@@ -111,6 +111,34 @@ def impact(spark, d):
     return G.reach(seeds, calls, rounds=2)
 
 
+@reg.query(
+    "impact_closure",
+    f"""with recursive {E}, c as (select distinct {SHORT.format('dst')} callee, {SHORT.format('src')} caller from e where type = 'calls'),
+s as (select distinct name from symbols where symbol_id % 50 = 0 and name is not null),
+r(seed, node) as (select name, name from s union select r.seed, c.caller from r join c on c.callee = r.node)
+select seed, node from r""",
+)
+def impact_closure(spark, d):
+    """All callers, direct or not, by short names, of every fiftieth symbol; ``impact`` is its part within two calls."""
+    calls = _edges(spark, d).filter("type = 'calls'").select(G.short_name(F.col("dst")).alias("src"), G.short_name(F.col("src")).alias("dst"))
+    seeds = table(spark, d, "symbols").filter("symbol_id % 50 = 0 and name is not null").select(F.col("name").alias("seed"), F.col("name").alias("node"))
+    return G.reach(seeds, calls).select("seed", "node")
+
+
+@reg.query(
+    "import_paths",
+    """with recursive m as (select distinct module src, unnest(imports) dst from manifest), i as (select src, dst from m where dst in (select module from manifest)),
+s as (select distinct module from symbols where symbol_id % 50 = 0 and module is not null),
+r(seed, node, path) as (select module, module, [module] from s union all select r.seed, i.dst, list_append(r.path, i.dst) from r join i on i.src = r.node where not list_contains(r.path, i.dst))
+select seed, node, cast(len(path) - 1 as integer) as hops, array_to_string(path, ' -> ') as path from (select *, row_number() over (partition by seed, node order by len(path), path) k from r) where k = 1""",
+)
+def import_paths(spark, d):
+    """A shortest path of imports from the module of every fiftieth symbol to each module that it reaches."""
+    imports = imports_internal(spark, d).select(F.col("module").alias("src"), F.col("imported").alias("dst"))
+    seeds = table(spark, d, "symbols").filter("symbol_id % 50 = 0 and module is not null").select(F.col("module").alias("seed"), F.col("module").alias("node"))
+    return G.shortest_paths(seeds, imports).withColumn("path", F.array_join("path", " -> "))
+
+
 @reg.query(
     "shortest_hops",
     f"""with recursive {E}, c as (select distinct src, dst from e where type in ('imports', 'calls', 'contains')), s as (select src from c group by src order by count(*) desc, src limit 1),
@@ -138,8 +166,8 @@ def module_components(spark, d):
 
 @reg.query("import_cycles")
 def import_cycles(spark, d):
-    """Imports that lie on cycles or on paths between cycles."""
-    return G.cyclic_core(imports_internal(spark, d).select(F.col("module").alias("src"), F.col("imported").alias("dst")))
+    """Imports that lie on cycles, with the smallest module of their strongly connected component."""
+    return G.strong_components(imports_internal(spark, d).select(F.col("module").alias("src"), F.col("imported").alias("dst")))
 
 
 @reg.query(

@@ -217,3 +217,19 @@ def change_impact(spark, d):
     seeds = table(spark, d, "symbols").filter("symbol_id % 50 = 0 and module is not null and name is not null").select(F.concat_ws(".", "module", "name").alias("seed"))
     found = reach(seeds.select("seed", F.col("seed").alias("node")), uses, rounds=2).filter("node <> seed")
     return found.groupBy("seed").agg(F.count("*").alias("touched"), F.count_if(F.col("hops") == 1).alias("direct"))
+
+
+@reg.query(
+    "change_impact_closure",
+    f"""with recursive {E}, u as (select distinct dst node, src user from e where type in ('calls', 'indirect_call', 'references', 'extends', 'imports')),
+s as (select distinct module || '.' || name seed from symbols where symbol_id % 50 = 0 and module is not null and name is not null),
+r(seed, node) as (select seed, seed from s union select r.seed, u.user from r join u on u.node = r.node),
+d as (select seed, count(distinct user) n from s join u on u.node = s.seed where user <> seed group by seed)
+select seed, count(*) as touched, coalesce(any_value(d.n), 0) as direct from r left join d using (seed) where node <> seed group by seed""",
+)
+def change_impact_closure(spark, d):
+    """How many nodes use a symbol, directly and over any number of steps; ``change_impact`` counts those within two."""
+    uses = typed_edges(table(spark, d, "edges")).filter("type in ('calls', 'indirect_call', 'references', 'extends', 'imports')").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    seeds = table(spark, d, "symbols").filter("symbol_id % 50 = 0 and module is not null and name is not null").select(F.concat_ws(".", "module", "name").alias("seed"))
+    found = reach(seeds.select("seed", F.col("seed").alias("node")), uses).filter("node <> seed")
+    return found.groupBy("seed").agg(F.count("*").alias("touched"), F.count_if(F.col("hops") == 1).alias("direct"))
