@@ -52,6 +52,11 @@ RUN = re.compile("[" + re.escape(TERMINATORS) + "]+")
 THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])[  ]+(?=[ก-ฺเ-๎])")
 ENCLOSING = re.compile("[" + re.escape("".join([*OPENERS, *CLOSERS])) + "]")
 DIGITS = re.compile(r"\d+")
+BLANK = re.compile(r"\s")
+NOT_BLANK = re.compile(r"\S")
+MARKS_BEFORE = re.compile(r"[(\"'“„«‘\[（「¿¡*_]*")
+#: What features read of a token: at most so many characters or runs of digits from its start, and two from its end.
+HEAD = re.compile(r"[(\"'“„«‘\[（「¿¡]*(?:\d+|[^\s\d]){0,24}")
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
@@ -132,6 +137,33 @@ def plain(token: str) -> str:
     return t if len(t) < 4 or ord(t[-1]) < 0x2E80 else t[-2:]
 
 
+class Ahead:
+    """The token after a place of ``s``, wherever it stands and however long it is. Asked in rising order, it passes each token once."""
+
+    def __init__(self, s: str) -> None:
+        self.s, self.start, self.end = s, 0, 0
+
+    def at(self, b: int) -> tuple[str, str]:
+        """Its first character and the token without marks before it, both empty at the end; of a long one only what features read."""
+        m = NOT_BLANK.search(self.s, b)
+        if m is None:
+            return "", ""
+        a = m.start()
+        if not self.start <= a < self.end:
+            end = BLANK.search(self.s, a)
+            self.start, self.end = a, end.start() if end else len(self.s)
+        head = MARKS_BEFORE.match(self.s, a, self.end).end()
+        if self.end - head <= 64:
+            return self.s[a], self.s[head : self.end]
+        tail = self.end
+        for _ in range(3):
+            tail -= 1
+            while tail > head and self.s[tail].isdecimal() and self.s[tail - 1].isdecimal():
+                tail -= 1
+        begin = HEAD.match(self.s, head, self.end).end()
+        return self.s[a], self.s[head:begin] + self.s[max(begin, tail) : self.end]
+
+
 @dataclass(slots=True)
 class Candidate:
     end: int  # where the unit would end
@@ -183,7 +215,7 @@ def scan(text: str) -> Iterator[tuple[int, int, list[Candidate]]]:
         found: list[Candidate] = []
         if not code:
             lead = m.end() if (m := MARK.match(s)) else 0
-            outer = pairs(s)
+            outer, ahead = pairs(s), Ahead(s)
             p = 0
             for m in RUN.finditer(s, lead):
                 a, b, run = m.start(), m.end(), m.group()
@@ -204,19 +236,17 @@ def scan(text: str) -> Iterator[tuple[int, int, list[Candidate]]]:
                 if b < len(s) and not s[b].isspace():
                     if pair or run[-1] not in "。！？｡।॥؟۔" or s[b] in CLOSERS + "，、；：,;:":
                         continue
-                rest = s[b : b + 40].split(None, 1)
                 last = b >= len(s)
                 if last:
                     after = text[limits[n + 1][0] : limits[n + 1][1]] if n + 1 < len(limits) else ""
                     after = after[m2.end() :] if (m2 := MARK.match(after)) else after
-                    rest = after[:40].split(None, 1)
-                nxt = rest[0].lstrip("(\"'“„«‘[（「¿¡*_") if rest else ""
+                first, nxt = Ahead(after).at(0) if last else ahead.at(b)
                 kind, words = _before(s, a, run)
-                extra = ("q" + kind,) if rest and rest[0][:1] in "\"“„«「(（" else ()
+                extra = ("q" + kind,) if first and first in "\"“„«「(（" else ()
                 # caseless text goes on after a quotation that began within its sentence
                 goes_on = bool(pair) and opened in ("mid", "colon") and shape(nxt) == "plain"
                 sure = True if last else None
-                if not last and (rest[0][:1] in ",;:،؛，" or goes_on or shape(nxt) == "lower" and run[-1] in ".!?"):
+                if not last and (first in ",;:،؛，" or goes_on or shape(nxt) == "lower" and run[-1] in ".!?"):
                     sure = False
                 elif not pair and run[-1] in "。！？｡।॥؟۔":
                     sure = True

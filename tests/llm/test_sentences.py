@@ -52,6 +52,19 @@ def test_nothing(model, text):
     assert S.units(text, model) == []
 
 
+@pytest.mark.parametrize("gap", [" " * 60, "\n" + " " * 60, "\t" * 41])
+def test_wide_gaps(model, gap):
+    assert split(model, f"The job is done.{gap}The next one waits.") == ["The job is done.", "The next one waits."]
+    assert len(split(model, f"It is 5 cm.{gap}and more of it.")) == len(split(model, "It is 5 cm. and more of it."))
+
+
+def test_whole_next_token():
+    ahead = lambda s: S.Ahead(s).at(0)
+    assert ahead(" " * 39 + "(Separately so") == ("(", "Separately") and ahead("  ") == ("", "")
+    for token in ("x" * 200, "1" * 90 + "ab" + "c" * 70, "清单" * 60 + "到1234567", "清" * 80 + "9" * 70, "Ab-" * 40):
+        assert S.plain(ahead(token)[1])[:12] == S.plain(token)[:12] and S.shape(ahead(token)[1]) == S.shape(token)
+
+
 def test_units_hold_all_text(spark, model):
     for r in spark.read.parquet(D).select("text").filter("text is not null").limit(300).collect():
         text, end = r["text"], 0
