@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from sedgemill.llm.peg import Tokens
@@ -18,9 +19,6 @@ SINGLE = r"'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'"
 CHAR = r"'(?:[^'\\\n\r]|\\(?:u\{?[\da-fA-F]+\}?|x[\da-fA-F]+|[0-7]{1,3}|.))+'"
 CHAR1 = r"'(?:[^'\\\n\r]|\\(?:u+[\da-fA-F]{4}|U[\da-fA-F]{8}|x[\da-fA-F]{1,4}|[0-7]{1,3}|.))'"
 BLOCK = r"/\*[\s\S]*?\*/"
-NESTED = r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*\*/"
-for _ in range(4):  # comments within comments
-    NESTED = rf"/\*(?:[^*/]|\*(?!/)|/(?!\*)|{NESTED})*\*/"
 LINE = r"//[^\n\r]*"
 WORD = r"[^\W\d]\w*"
 
@@ -37,6 +35,8 @@ class Lexer:
     extra: str = "(?!)"  # skipped like blanks
     regex_words: set[str] = field(default_factory=set)
     template: str = ""  # mark of strings with nested code
+    nested: str = ""  # first characters of tokens that nest to any depth
+    nesting: Callable[[str, int], tuple[str, int] | None] = lambda code, i: None  # kind and end of such a token
     semicolons: bool = False  # a line break may end a statement (Go)
     lines: bool = False  # line breaks are tokens (Ruby)
 
@@ -62,13 +62,27 @@ class Lexer:
             broken_.append(broken)
             broken = False
 
-        special = "`" * bool(self.template) + "/" * bool(self.regex_words)
+        special = "`" * bool(self.template) + "/" * bool(self.regex_words) + self.nested
         while i < n:
             if special:
-                while i < n and code[i] in " \t":
-                    i += 1
-                c = code[i : i + 1]
+                k = i
+                while k < n and code[k] in " \t":
+                    k += 1
+                c = code[k : k + 1]
+                if c and c in special:
+                    if c in self.nested and (found := self.nesting(code, k)):
+                        what, j = found
+                        if what == "CM":
+                            t.comments.append((k, j))
+                            broken = broken or "\n" in code[k:j]
+                        else:
+                            put(what, k, j)
+                        i = j
+                        continue
+                    if c in self.nested and not (c == "/" and self.regex_words):
+                        c = ""
                 if c and c in special:
+                    i = k
                     if c == "`":
                         j = self._template(code, i)
                         put("TPL", i, j)
@@ -169,6 +183,137 @@ class Lexer:
         return j
 
 
+def _rust_comment(code: str, i: int) -> tuple[str, int] | None:
+    if not code.startswith("/*", i):
+        return None
+    depth = 0
+    for m in re.compile(r"/\*|\*/").finditer(code, i):
+        depth += 1 if m.group() == "/*" else -1
+        if not depth:
+            return "CM", m.end()
+    raise LexError("a comment is not closed")
+
+
+def _ruby_code(code: str, i: int) -> int:
+    """End of an interpolation whose code begins at i, after its closing brace."""
+    depth, last, n = 1, "{", len(code)
+    while i < n:
+        c = code[i]
+        if found := _ruby_string(code, i) if c in "\"`%" else None:
+            i, last = found[1], '"'
+            continue
+        if c == "'" and (m := RUBY_SINGLE.match(code, i)) or c == "/" and last in "(,=~{|&!;[\n" and (m := RUBY_REGEX.match(code, i)):
+            i, last = m.end(), '"'
+            continue
+        if c == "?" and (m := RUBY_CHAR.match(code, i)) and not (last.isalnum() or last in "_)]}\"'"):
+            i, last = m.end(), '"'
+            continue
+        if c == "#" and code[i - 1] in " \t\n{":  # a comment
+            i = e if (e := code.find("\n", i)) >= 0 else n
+            continue
+        depth += (c == "{") - (c == "}")
+        i += 1
+        if not depth:
+            return i
+        last = last if c in " \t" else c
+    raise LexError("an interpolation is not closed")
+
+
+def _ruby_string(code: str, i: int) -> tuple[str, int] | None:
+    """A string of Ruby that interpolates, or one with paired delimiters; code within it nests to any depth."""
+    first, n = code[i], len(code)
+    opened, closed, interpolates, flags = "", first, True, False
+    if first == ":":
+        if code[i + 1 : i + 2] != '"':
+            return None
+        i, closed = i + 1, '"'
+    elif first == "%":
+        m = RUBY_PERCENT.match(code, i)
+        if not m:
+            return None
+        opened, interpolates, flags, i = m.group(2), m.group(1) not in ("q", "w", "i"), True, m.end() - 1
+        closed = {"{": "}", "(": ")", "[": "]"}[opened]
+    depth, i = 1, i + 1
+    while i < n:
+        c = code[i]
+        if c == "\\":
+            i += 2
+        elif interpolates and c == "#" and code.startswith("#{", i):
+            i = _ruby_code(code, i + 2)
+        else:
+            i += 1
+            depth += (c == opened) - (c == closed)
+            if not depth:
+                return "STR", (RUBY_FLAGS.match(code, i).end() if flags else i)
+    return None
+
+
+def _csharp_string(code: str, i: int) -> tuple[str, int] | None:
+    """An interpolated string of C#, verbatim or not; strings and braces within its holes nest to any depth."""
+    m = CS_OPEN.match(code, i)
+    if not m:
+        return None
+    verbatim, i, n = "@" in m.group(), m.end(), len(code)
+    while i < n:
+        c = code[i]
+        if code.startswith(("{{", "}}"), i) or verbatim and code.startswith('""', i) or c == "\\" and not verbatim:
+            i += 2
+        elif c == '"':
+            return "STR", i + 1
+        elif c == "{":
+            i = _csharp_hole(code, i + 1)
+        elif c == "}" or c in "\r\n" and not verbatim:
+            return None
+        else:
+            i += 1
+    return None
+
+
+def _csharp_hole(code: str, i: int) -> int:
+    open_, n, start = ["{"], len(code), i
+    while i < n:
+        c = code[i]
+        if c in '$@"' and (found := _csharp_string(code, i)):
+            i = found[1]
+        elif c in '@"' and (m := CS_PLAIN.match(code, i)) or c == "'" and (m := CS_CHAR.match(code, i)) or c == "/" and (m := CS_COMMENT.match(code, i)):
+            i = m.end()
+        elif c in "([{":
+            open_.append(c)
+            i += 1
+        elif c in ")]}":
+            if PAIRS[open_.pop()] != c:
+                raise LexError("a hole of a string is not balanced")
+            i += 1
+            if not open_:
+                if not code[start : i - 1].strip():
+                    raise LexError("an empty hole in a string")
+                return i
+        elif code.startswith("::", i):
+            i += 2
+        elif c == ":" and len(open_) == 1:  # the format goes up to the end of the hole
+            i = code.find("}", i)
+            if i < 0:
+                break
+        elif c in ';"':
+            if c == '"' or len(open_) == 1:
+                raise LexError("a hole of a string is not closed")
+            i += 1
+        else:
+            i += 1
+    raise LexError("a hole of a string is not closed")
+
+
+RUBY_SINGLE = re.compile(r"'(?:[^'\\]|\\[\s\S])*'")
+RUBY_REGEX = re.compile(r"/(?![\s=])(?:[^/\\\[\n\r]|\\.|\[(?:[^\]\\\n\r]|\\.)*\])+/\w*")
+RUBY_CHAR = re.compile(r"\?[\"'`{}#](?!\w)")
+RUBY_PERCENT = re.compile(r"%([rqQwWiI]?)([{(\[])")
+RUBY_FLAGS = re.compile(r"\w*")
+CS_OPEN = re.compile(r'(?:\$@?|@\$)"(?!"")')
+CS_PLAIN = re.compile(rf'"""[\s\S]*?"""|@"(?:[^"]|"")*"|{DOUBLE}')
+CS_CHAR = re.compile(CHAR1)
+CS_COMMENT = re.compile(BLOCK)
+PAIRS = {"(": ")", "[": "]", "{": "}"}
+
 REGEX = re.compile(r"/(?:[^/\\\[\n\r]|\\.|\[(?:[^\]\\\n\r]|\\.)*\])+/\w*")
 HEREDOC = re.compile(r"<<([~-]?)[\"'`]?(\w+)")
 RUBY_CONTINUES = re.compile(r"(?:[ \t]*(?:#[^\n]*)?\r?\n)*[ \t]*(?:\.(?!\.)|&\.)")
@@ -196,7 +341,7 @@ RUST_OPS = r"\.\.\.|\.\.=|\.\.|->|=>|::|==|!=|<=|&&|\|\||[-+*/%&|^]=|[-+*/%&|^!~
 RUBY_OPS = r"<=>|===|\.\.\.|\.\.|\*\*=|\*\*|=>|->|==|!=|=~|!~|&\.|::|<<=|>>=|<=|>=|&&=|\|\|=|&&|\|\||[-+*/%&|^]=|<<|>>|[-+*/%&|^!~<>=?:;,.(){}\[\]]"
 
 DIRECTIVE = r"^[ \t]*#[ \t]*(?:include[ \t]*(?:<[^>\n]+>|\"[^\"\n]+\")|(?:define|undef|if|ifdef|ifndef|elif|else|endif|pragma|error|line|warning)\b(?:[^\n\\]|\\[^\n]|\\\r?\n)*|[ \t]*$)"
-CS_STRINGS = r'"""[\s\S]*?"""|\$@"(?:[^"]|"")*"|@\$?"(?:[^"]|"")*"|\$"(?:[^"\\{}\n]|\\.|\{\{|\}\}|\{[^{}\n]*\})*"|' + DOUBLE
+CS_STRINGS = r'"""[\s\S]*?"""|@"(?:[^"]|"")*"|' + DOUBLE
 RUBY_STRINGS = (
     r"<<[~-]?(?:[A-Z]\w*|\"\w+\"|'\w+')|\"(?:[^\"\\#]|\\[\s\S]|#(?!\{)|#\{[^{}]*\})*\"|'(?:[^'\\]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`"
     r"|%[rqQwWiI]?\{(?:[^{}\\]|\\[\s\S]|\{[^{}]*\})*\}\w*|%[rqQwWiI]?\((?:[^()\\]|\\[\s\S]|\([^()]*\))*\)\w*|%[rqQwWiI]?\[(?:[^\[\]\\]|\\[\s\S])*\]\w*|%[rqQwWiI](?P<rubyend>[!|/])(?:(?!(?P=rubyend))[^\\]|\\[\s\S])*(?P=rubyend)\w*"
@@ -206,10 +351,10 @@ RUBY_STRINGS = (
 LEXERS = {
     "javascript": Lexer(JS_WORDS, f"{DOUBLE}|{SINGLE}", ops=JS_OPS, ident=r"[^\W\d][\w$]*|[$][\w$]*|#[^\W\d]\w*", comments=rf"\A#![^\n]*|{BLOCK}|{LINE}", regex_words=JS_WORDS, template="`"),
     "java": Lexer(JAVA_WORDS, rf'"""[ \t]*\r?\n(?:[^\\]|\\[\s\S])*?"""|{DOUBLE}', chars=CHAR1, ops=JAVA_OPS, ident=r"[^\W\d]\w*|\$\w*"),
-    "csharp": Lexer(CS_WORDS, CS_STRINGS, chars=CHAR1, ops=CS_OPS, ident=r"@?[^\W\d]\w*", extra=r"^[ \t]*#[ \t]*(?:region|endregion|if|else|elif|endif|define|undef|nullable|pragma|warning|error|line)\b[^\n]*"),
+    "csharp": Lexer(CS_WORDS, CS_STRINGS, nested="$@", nesting=_csharp_string, chars=CHAR1, ops=CS_OPS, ident=r"@?[^\W\d]\w*", extra=r"^[ \t]*#[ \t]*(?:region|endregion|if|else|elif|endif|define|undef|nullable|pragma|warning|error|line)\b[^\n]*"),
     "c": Lexer(C_WORDS, rf"(?:u8|[uUL])?{DOUBLE}", chars=rf"[uUL]?{CHAR}", ops=C_OPS, extra=rf"^[ \t]*#[ \t]*ifdef[ \t]+__cplusplus\b[\s\S]*?^[ \t]*#[ \t]*endif[^\n]*|{DIRECTIVE}"),
     "cpp": Lexer(CPP_WORDS, rf'(?:u8|[uUL])?R"(?P<cppend>[^ ()\\\t\v\f\n]{{0,16}})\([\s\S]*?\)(?P=cppend)"|(?:u8|[uUL])?{DOUBLE}', chars=rf"(?:u8|[uUL])?{CHAR}", numbers=NUMBER.replace(r"\d[\d_]*(?:\.\d", r"\d(?:'?\d)*(?:\.\d"), ops=CPP_OPS, extra=DIRECTIVE),
     "go": Lexer(GO_WORDS, rf"`[^`]*`|{DOUBLE}", chars=CHAR1, ops=GO_OPS, semicolons=True),
-    "rust": Lexer(RUST_WORDS, comments=f"{NESTED}|{LINE}", strings=rf'[bc]?r(?P<rustend>#*)"[\s\S]*?"(?P=rustend)|[bc]?"(?:[^"\\]|\\[\s\S])*"', chars=r"b?'(?:[^'\\\n]|\\(?:u\{[\da-fA-F_]+\}|x[\da-fA-F]{2}|.))'", numbers=r"0[xob][\da-fA-F_]+\w*|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?\d+)?\w*", ops=rf"'[^\W\d]\w*(?!')|{RUST_OPS}", ident=r"r#[^\W\d]\w*|[^\W\d]\w*"),
-    "ruby": Lexer(RUBY_WORDS, RUBY_STRINGS, comments=r"#[^\n\r]*|^=begin\b[\s\S]*?^=end\b[^\n]*|^__END__[\s\S]*", ops=RUBY_OPS, ident=r"(?:@@|@|\$)[^\W\d]\w*|\$[\d!~&]|[^\W\d]\w*[?!]?(?==[=~>])|[^\W\d]\w*[?!](?!=)|[^\W\d]\w*", numbers=r"0[xob][\da-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?[ri]?", lines=True, regex_words=RUBY_WORDS),
+    "rust": Lexer(RUST_WORDS, comments=LINE, nested="/", nesting=_rust_comment, strings=rf'[bc]?r(?P<rustend>#*)"[\s\S]*?"(?P=rustend)|[bc]?"(?:[^"\\]|\\[\s\S])*"', chars=r"b?'(?:[^'\\\n]|\\(?:u\{[\da-fA-F_]+\}|x[\da-fA-F]{2}|.))'", numbers=r"0[xob][\da-fA-F_]+\w*|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?\d+)?\w*", ops=rf"'[^\W\d]\w*(?!')|{RUST_OPS}", ident=r"r#[^\W\d]\w*|[^\W\d]\w*"),
+    "ruby": Lexer(RUBY_WORDS, RUBY_STRINGS, nested="\"`%:", nesting=_ruby_string, comments=r"#[^\n\r]*|^=begin\b[\s\S]*?^=end\b[^\n]*|^__END__[\s\S]*", ops=RUBY_OPS, ident=r"(?:@@|@|\$)[^\W\d]\w*|\$[\d!~&]|[^\W\d]\w*[?!]?(?==[=~>])|[^\W\d]\w*[?!](?!=)|[^\W\d]\w*", numbers=r"0[xob][\da-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?[ri]?", lines=True, regex_words=RUBY_WORDS),
 }

@@ -47,6 +47,21 @@ def test_broken_programs(lang):
         pytest.fail(f"{lang}: {broken[-200:]}")
 
 
+NESTED = {
+    "ruby": ['a = "#{xs.map { |x| x.name }.join}"\n', 'puts "v #{h.fetch(:a) { 0 }} and #{h["k"]} #{"in #{"deep #{ {a: 1}[:a] }"}"}"\n', 'b = "#{s.gsub(/"/) { "}" }}"\nc = %Q{a #{xs.map { |x| { k: { v: x } } }} b}\nd = `ls #{x { 1 }}`\ne = { :"k#{y { 1 }}" => 1 }\n', "f = %w{a {b {c}}}\ng = 7 % x\n"],
+    "csharp": ['class A { string F() { return $"{xs.Select(x => new { x.N }).First()} {d:yyyy-MM-dd} {(a ? "b" : $"{c}")} {{ {n,5:0.0}"; } }', 'class A { string S = $@"a ""{h["k"]}"" {\'}\'} {global::B.C}\n{new[] { 1, 2 }}"; string T = @$"{x}"; }'],
+    "rust": ["/* " * 9 + "x" + " */" * 9 + "\nfn f() { g(a / b); }\n"],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(NESTED))
+def test_nesting_at_any_depth(lang):
+    for code in NESTED[lang]:
+        assert S.status(code, lang) == ("valid", lang), code
+    for broken in {"ruby": ['a = "#{xs.map { |x| x }"\n', 'a = "#{x\n'], "csharp": ['class A { string S = $"{x"; }', 'class A { string S = $"}"; }', 'class A { string S = $"{}"; }'], "rust": ["/* /* */ fn f() {}\n", "fn f() {} */\n"]}[lang]:
+        assert not S.is_valid(broken, lang), broken
+
+
 @pytest.mark.parametrize("lang", ["go", "java", "c", "rust", "csharp"])
 def test_wrong_extension(lang):
     code = max(VALID[lang], key=len)
