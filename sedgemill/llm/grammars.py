@@ -96,7 +96,8 @@ class: decorator* 'class' (!'extends' ID)? ('extends' operand)? '{' member* '}'
 """
 
 JAVA = r"""
-start: (annotation* 'package' qname ';')? import* (type_decl / ';')* EOF / annotation* "open"? "module" qname '{' ANY* EOF
+start: (annotation* 'package' qname ';')? import* (type_decl / ';')* EOF / import* annotation* "open"? "module" qname '{' directive* '}' EOF
+directive: "requires" ("transitive" !';' / 'static')* qname ';' / ("exports" / "opens") qname ("to" qname (',' qname)*)? ';' / "uses" qname ';' / "provides" qname "with" qname (',' qname)* ';'
 import: 'import' 'static'? ID ('.' ID)* ('.' '*')? ';'
 qname: ID ('.' ID)*
 annotation: '@' !'interface' qname ('(' (element (',' element)* ','?)? ')')?

@@ -2,7 +2,7 @@
 
 Method: every file is parsed against the grammar of its own language (by the extension of its path); what fails is parsed against
 all other supported grammars, in the order of a token-based ranking. A foreign parse that succeeds says that the extension is
-wrong; if all fail, the file is corrupt. Python is parsed by the interpreter's own grammar, nine others by ``grammars``.
+wrong; if all fail, the file is corrupt. Python is compiled by the interpreter, nine others are parsed by ``grammars``.
 
 Defined results: a null code is no file and gives no row; an empty or comment-only file is valid where the language allows an
 empty program; a byte order mark at the start and any line ends are fine; unknown extensions have the status ``unknown`` and
@@ -78,11 +78,13 @@ def _balanced_directives(code: str) -> bool:
     return depth == 0
 
 
-def parse_python(code: str) -> ast.Module:
+def parse_python(code: str, tree: bool = True) -> ast.Module | None:
+    """The tree, if it is asked for, of what the compiler takes; nothing is run."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            return ast.parse(code)
+            compile(code, "<file>", "exec", dont_inherit=True)
+            return ast.parse(code) if tree else None
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         raise Invalid(str(e)) from None
 
@@ -111,7 +113,7 @@ def parse_other(code: str, lang: str) -> tuple[Tokens, list[tuple[int, int, int]
 def is_valid(code: str, lang: str) -> bool:
     try:
         if lang == "python":
-            parse_python(code)
+            parse_python(code, tree=False)
         else:
             parse_other(code, lang)
         return True

@@ -47,6 +47,20 @@ def test_broken_programs(lang):
         pytest.fail(f"{lang}: {broken[-200:]}")
 
 
+@pytest.mark.parametrize("code", ["return 1\n", "break\n", "async def f():\n    pass\nawait f()\n", "def f(a, a):\n    pass\n", "def f():\n    x = 1\n    global x\n", "class A:\n    return 1\n", "def f():\n    nonlocal y\n"])
+def test_python_that_does_not_compile(code):
+    assert S.status(code, "python")[0] != "valid"
+    with pytest.raises(S.Invalid):
+        S.parse_python(code)
+
+
+def test_java_modules():
+    code = "import a.B;\n@Deprecated open module a.b {\n  requires transitive static c.d;\n  requires transitive;\n  exports a.b to c, d.e;\n  opens a.c;\n  uses a.S;\n  provides a.S with a.T, a.U;\n}\n"
+    assert S.status(code, "java") == ("valid", "java") and S.is_valid("module m { }", "java")
+    for broken in (code.rstrip()[:-1], code.replace("  uses", "<<<<<<< HEAD\n  uses"), code + "}", code.replace("uses a.S;", "uses ;"), code[: len(code) // 2]):
+        assert not S.is_valid(broken, "java"), broken
+
+
 NESTED = {
     "ruby": ['a = "#{xs.map { |x| x.name }.join}"\n', 'puts "v #{h.fetch(:a) { 0 }} and #{h["k"]} #{"in #{"deep #{ {a: 1}[:a] }"}"}"\n', 'b = "#{s.gsub(/"/) { "}" }}"\nc = %Q{a #{xs.map { |x| { k: { v: x } } }} b}\nd = `ls #{x { 1 }}`\ne = { :"k#{y { 1 }}" => 1 }\n', "f = %w{a {b {c}}}\ng = 7 % x\n"],
     "csharp": ['class A { string F() { return $"{xs.Select(x => new { x.N }).First()} {d:yyyy-MM-dd} {(a ? "b" : $"{c}")} {{ {n,5:0.0}"; } }', 'class A { string S = $@"a ""{h["k"]}"" {\'}\'} {global::B.C}\n{new[] { 1, 2 }}"; string T = @$"{x}"; }'],
