@@ -1,8 +1,9 @@
 """Personal information in free text: e-mail addresses, phone numbers, identity numbers, street addresses and names.
 
 Method: anchor expansion. One Aho-Corasick automaton finds at-signs, schemes, identifier cues, street words, number starts, forms of
-address and known names in a single pass over each text; at every anchor a small deterministic parser expands to the left and
-right and validates the boundaries. Overlaps go to the more specific kind (e-mail, identity number, address, phone, name).
+address and known names in a single pass over each text; at an at-sign, cue or digit a small deterministic parser expands to the
+left and right and validates the boundaries. Street words and names only tell whether the patterns of addresses and the parser of
+names go over the text, which they do as a whole. Overlaps go to the more specific kind (e-mail, identity number, address, phone, name).
 
 The list of known names is completed from the texts themselves: a capitalised word next to a listed name, in the place of a
 given or family name, is evidence for another name, and the words around two-part names tell where a single given name may stand.
@@ -30,7 +31,7 @@ KINDS = ("email", "id_number", "address", "phone", "name")
 
 # Cues in the languages of the texts.
 AT = ["@", "(at)", "[at]", "{at}", " at "]
-ID_CUES = ["ssn", "social security", "dni", "nie", "nif", "nir", "qq", "steuer-id", "steuer-idnr", "steuernummer", "passport", "reisepass", "passeport", "pasaporte"]
+ID_CUES = ["ssn", "social security", "dni", "nie", "nif", "nir", "steuer-id", "steuer-idnr", "steuernummer", "passport", "reisepass", "passeport", "pasaporte"]
 ID_CUES += ["national id", "tax number", "tax id", "id card", "id-card", "ausweis", "carte d'identité", "insurance number"]
 STREETS_AFTER = "street st avenue ave lane road rd drive dr court ct boulevard blvd place square terrace way close crescent".split()
 STREETS_BEFORE = "avenue rue calle avenida plaza paseo boulevard chemin place camino carrer via allée impasse".split()
@@ -46,7 +47,14 @@ PHONE = re.compile(
     r"|\(\d{2,5}\)[ ]?\d{3,4}[ .\-]?\d{3,4}|0\d{1,4}/\d{5,9}|0\d{2,4} \d{3,4} \d{3,5}|0\d(?:[ .]\d{2}){4}|\d{3}-\d{3}-\d{4}|\d{3}-\d{4})" + END
 )
 SSN = re.compile(r"\d{3}-\d{2}-\d{4}" + END)
-NINO = re.compile(r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b", re.I)
+# Shapes of identity numbers that need no cue: what stands before the first digit, what follows from it on
+NINO_LEFT, NINO = re.compile(r"(?<![^\W_])([A-Za-z]{2}) ?$"), re.compile(r"\d{2} ?\d{2} ?\d{2} ?[A-Da-d]\b")
+NINO_NEVER = {"BG", "GB", "NK", "KN", "TN", "NT", "ZZ"}
+NIE_LEFT, DNI = re.compile(r"(?<![^\W_])([XYZ])[ -]?$"), re.compile(r"(\d{7,8})[ -]?([A-Z])\b")
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+NIR = re.compile(r"[12] ?\d{2} ?\d{2} ?(?:\d{2}|2[AB]) ?\d{3} ?\d{3} ?\d{2}" + END)
+TAX_ID = re.compile(r"[1-9]\d ?\d{3} ?\d{3} ?\d{3}" + END)
+TAX_NUMBER = re.compile(r"(?:\d{2,3}/\d{3}/\d{5}|\d{3}/\d{4}/\d{4})(?![\w/]|[-.]\d)")
 ID_VALUE = re.compile(r"(?:[ .:#]|\bno\b|\bnr\b|\bnumber\b|\bn[º°])*([A-Z]{0,3}\d[\dA-Z]*(?:[ /.\-]\d[\dA-Z]*)*(?: [A-Z]\b)?)", re.I)
 W = r"[A-ZÀ-Þ][\w'’\-]*"
 TOWN = rf"(?:,? (?:{W} \d{{4,6}}|\d{{4,6}} {W}(?: {W})?)|, {W}(?: \d{{4,6}})?)"
@@ -111,8 +119,6 @@ def _email(text: str, a: int, b: int) -> tuple[int, int] | None:
 def _id(text: str, a: int, b: int) -> tuple[int, int] | None:
     if a and text[a - 1].isalnum():
         return None
-    if m := NINO.match(text, a):
-        return a, m.end()
     if b < len(text) and text[b].isalnum():
         return None
     m = ID_VALUE.match(text, b)
@@ -121,7 +127,46 @@ def _id(text: str, a: int, b: int) -> tuple[int, int] | None:
     return None
 
 
+def _tax_id(digits: str) -> bool:
+    """The check digit (ISO 7064, mod 11, 10) of a German tax id, and one digit of the first ten that occurs two or three times."""
+    times = sorted(digits[:10].count(c) for c in set(digits[:10]))
+    if times[-1] not in (2, 3) or times[-2] > 1:
+        return False
+    p = 10
+    for c in digits[:10]:
+        p = ((p + int(c)) % 10 or 10) * 2 % 11
+    return (11 - p) % 10 == int(digits[10])
+
+
+def _identity(text: str, a: int) -> tuple[int, int] | None:
+    """An identity number around the first digit at ``a``, by its shape and check digits alone."""
+    if a and text[a - 1].isdecimal():
+        return None
+    start, clear = max(0, a - 4), lambda i: not i or text[i - 1] not in "-/.#_+@"
+    if (left := NINO_LEFT.search(text[start:a])) and (m := NINO.match(text, a)):
+        letters, i = left.group(1), start + left.start()
+        real = letters.isupper() and not set(letters) & set("DFIQUV") and letters[1] != "O" and letters not in NINO_NEVER
+        if clear(i) and (letters.upper() == "QQ" or real):  # QQ is the prefix of examples
+            return i, m.end()
+    if (left := NIE_LEFT.search(text[start:a])) and (m := DNI.match(text, a)) and len(m.group(1)) == 7 and clear(start + left.start()):
+        if m.group(2) == DNI_LETTERS[int(str("XYZ".index(left.group(1))) + m.group(1)) % 23]:
+            return start + left.start(), m.end()
+    if a and text[a - 1].isalnum() or not clear(a):
+        return None
+    if (m := DNI.match(text, a)) and len(m.group(1)) == 8 and m.group(2) == DNI_LETTERS[int(m.group(1)) % 23]:
+        return a, m.end()
+    if m := NIR.match(text, a):
+        n = m.group().replace(" ", "")
+        if 97 - int(n[:-2].replace("2A", "19").replace("2B", "18")) % 97 == int(n[-2:]):
+            return a, m.end()
+    if (m := TAX_ID.match(text, a)) and _tax_id(m.group().replace(" ", "")) or (m := TAX_NUMBER.match(text, a)):
+        return a, m.end()
+    return None
+
+
 def _number(text: str, a: int) -> tuple[int, int, str] | None:
+    if text[a].isdecimal() and (s := _identity(text, a)):
+        return *s, "id_number"
     if a and (text[a - 1].isalnum() or text[a - 1] in "-/.#_+(" and text[a] != "("):
         return None
     if m := SSN.match(text, a):

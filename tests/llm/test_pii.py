@@ -45,6 +45,16 @@ def test_id(text, want):
     assert kinds(text) == [(want, "id_number")]
 
 
+@pytest.mark.parametrize("number", ["AB 12 34 56 C", "AB123456C", "QQ 12 34 56 A", "12345678Z", "12345678-Z", "X1234567L", "1 85 05 78 006 084 91", "2 55 08 2A 168 025 97", "86095742719", "86 095 742 719", "340/790/99234"])
+def test_id_without_cue(number):
+    assert kinds(f"It was {number} then.") == [(number, "id_number")]
+
+
+@pytest.mark.parametrize("text", ["part 12345678A", "build 12345678901", "GB 12 34 56 C", "ref KXAB123456C", "v-AB123456C", "took 1 85 05 78 006 084 92 bytes", "X1234567A seen", "commit ab123456c", "at 12/345/678"])
+def test_no_id_without_cue(text):
+    assert not [t for t, k in kinds(text) if k == "id_number"]
+
+
 @pytest.mark.parametrize(
     "address",
     ["340 West Damson Avenue", "356 Ostenmere Street, Apt 6B, Ostwick 33977", "247B Tamber Rd., Valdeoro", "avenue Damson 242, Ostwick", "31 bis, rue des Ostens, 56213 Fernau", "Calle Tamber 15, 3.º B, 47076 Brisolle", "Harrowweg 364", "Larkenstraße 99a, 83491 Brisolle", "P.O. Box 37005, Brisolle"],
