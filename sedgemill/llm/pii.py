@@ -7,7 +7,8 @@ names go over the text, which they do as a whole. Overlaps go to the more specif
 
 The list of known names is completed from the texts themselves: a capitalised word next to a listed name, in the place of a
 given or family name, is evidence for another name, and the words around two-part names tell where a single given name may stand.
-The evidence of all rows is counted in Spark; what has at least EVIDENCE_SHARE of it is kept, so at most 1 / EVIDENCE_SHARE entries reach the tasks.
+The evidence of all rows is counted in Spark; how much of it is enough does not depend on the number of rows. Of the words in small
+letters only those are kept that also occur with a capital, as no other is ever asked for.
 
 Defined results: null texts and null array elements stay null and hold nothing; empty texts stay as they are; repeated rows give
 their cases once; an empty name list still leaves all other kinds and names after forms of address; extra columns are kept.
@@ -24,7 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EVIDENCE_SHARE = 1e-6
+from sedgemill.session import cut
+
+#: Evidence that is enough, for any number of rows: once for names and small letters, twice for contexts.
+EVIDENCE = {"after": 2, "before": 2}
 FIELDS = ("summary", "title", "entities")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 KINDS = ("email", "id_number", "address", "phone", "name")
@@ -80,7 +84,7 @@ class Lexicon:
     family: set[str] = field(default_factory=set)
     after: set[str] = field(default_factory=set)
     before: set[str] = field(default_factory=set)
-    plain: set[str] = field(default_factory=set)  # also seen in small letters
+    plain: set[str] = field(default_factory=set)  # seen with a capital and in small letters
 
 
 def automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
@@ -308,6 +312,7 @@ def evidence(text: str, given: set[str], family: set[str]) -> list[tuple[str, st
         w, low = m.group(), m.group().lower()
         if not w[0].isupper():
             continue
+        out.append(("capital", low))
         k = i + 1
         if k + 1 < len(words) and len(words[k].group()) == 1 and text[words[k].end() : words[k + 1].start()] == ". ":
             k += 1
@@ -345,9 +350,10 @@ def learn(history: DataFrame, name_list: DataFrame) -> Lexicon:
 
     texts = history.select(F.explode(F.concat(F.array("title", "summary"), F.coalesce("entities", F.array().cast("array<string>")))).alias("text")).filter("text is not null")
     counts = texts.mapInPandas(run, "sort string, word string, n long").groupBy("sort", "word").agg(F.sum("n").alias("n"))
-    total = counts.groupBy("sort").agg(F.sum("n").alias("total"))
-    least = F.greatest(F.when(F.col("sort").isin("after", "before"), 2).otherwise(1), F.col("total") * EVIDENCE_SHARE)
-    kept = counts.join(F.broadcast(total), "sort").filter(F.col("n") >= least).select("sort", "word").collect()
+    least = F.coalesce(F.create_map(*[F.lit(x) for kv in EVIDENCE.items() for x in kv])[F.col("sort")], F.lit(1))
+    counts = cut(counts.filter(F.col("n") >= least).select("sort", "word"), "evidence")
+    capital = counts.filter("sort = 'capital'").select("word")
+    kept = counts.filter("sort not in ('capital', 'plain')").unionByName(counts.filter("sort = 'plain'").join(capital, "word", "left_semi").select("sort", "word")).collect()
     by = {s: {r["word"] for r in kept if r["sort"] == s} for s in ("given", "family", "after", "before", "plain")}
     plain = by["plain"]
     return Lexicon(given | by["given"] - plain, family | by["family"] - plain, by["after"], by["before"], plain)

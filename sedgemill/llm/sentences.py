@@ -33,8 +33,8 @@ from sedgemill.session import cut, spread
 SAMPLE = 40_000
 #: Size of the hashed feature space.
 SPACE = 1 << 16
-#: A token type is silent if it has at least this many candidates, and this share of all, and hardly ever ends a block.
-SILENT_LEAST, SILENT_SHARE, SILENT_RATE = 25, 1e-5, 0.004
+#: A token type is silent if it has at least this many candidates, for any number of documents, and hardly ever ends a block.
+SILENT_LEAST, SILENT_RATE = 25, 0.004
 
 # Marks, and abbreviations by what may follow them.
 TERMINATORS = ".!?…。！？｡।॥؟۔"
@@ -325,11 +325,10 @@ def candidates(documents: DataFrame, share: float = 1.0) -> DataFrame:
 
 
 def silent_types(found: DataFrame) -> set[str]:
-    """Types that hardly ever end a block; at most 1 / SILENT_SHARE of them, so the driver may hold them."""
+    """Types that hardly ever end a block."""
     counts = found.filter("names is null").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
     counts = counts.filter("kind <> ''")
-    rows = counts.filter((F.col("n") >= max(SILENT_LEAST, SILENT_SHARE * total)) & (F.col("ends") <= SILENT_RATE * F.col("n")))
+    rows = counts.filter((F.col("n") >= SILENT_LEAST) & (F.col("ends") <= SILENT_RATE * F.col("n")))
     return {r["kind"] for r in rows.select("kind").collect()}
 
 
@@ -355,9 +354,11 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     # about one candidate in forty characters; several times the sample, as not all are labelled
     found = cut(candidates(documents, min(1.0, 6 * sample * 40 / max(1, chars))), "candidates")
     silent = silent_types(found)
-    quiet = F.col("kind").isin(*sorted(silent)) if silent else F.lit(False)
+    kinds = found.sparkSession.createDataFrame([(k, True) for k in sorted(silent)], "kind string, quiet boolean")
+    found = found.filter("names is not null").join(kinds, "kind", "left")
+    quiet = F.coalesce("quiet", F.lit(False))
     sure = F.when(quiet & ~F.col("last"), False).otherwise(F.col("sure"))
-    labelled = found.filter("names is not null").select(F.col("names"), sure.alias("sure"), quiet.alias("quiet"), "order_key").filter("sure is not null")
+    labelled = found.select(F.col("names"), sure.alias("sure"), quiet.alias("quiet"), "order_key").filter("sure is not null")
     rows = labelled.orderBy("order_key", F.hash("names")).limit(sample).collect()
     extra = hashed(["silent"])
     names = [np.array(list(r["names"]) + extra * bool(r["quiet"])) for r in rows]

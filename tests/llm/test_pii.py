@@ -99,3 +99,12 @@ def test_tables(spark):
     assert clean["a"]["summary"] == "Mail [EMAIL] and [EMAIL]." and clean["a"]["entities"] == ["[NAME]", None, "[EMAIL]"] and clean["a"]["nth"] == 1
     assert clean["b"]["title"] is None and clean["b"]["entities"] is None and clean["c"]["entities"] == []
     assert P.occurrences(history.limit(0), P.learn(history.limit(0), names.limit(0))).count() == 0
+
+
+def test_rare_evidence_counts_in_large_data(spark):
+    """One small-letter word among 1.2 million, and a name seen once."""
+    names = spark.createDataFrame([("Norno", "given"), ("Kelmsson", "family")], "name string, role string")
+    rows = [("a", "the satchel", "Satchel open. Urla Kelmsson left. Norno Zolfeth met. never capital", ["x"])]
+    many = spark.range(600).selectExpr("string(id) as id", "repeat('word ', 2000) as title", "'' as summary", "array('Norno Kelmsson') as entities")
+    lexicon = P.learn(spark.createDataFrame(rows, "id string, title string, summary string, entities array<string>").unionByName(many), names)
+    assert "satchel" in lexicon.plain and "urla" in lexicon.given and "zolfeth" in lexicon.family and "never" not in lexicon.plain

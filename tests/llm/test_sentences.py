@@ -93,3 +93,9 @@ def test_table(spark, model):
     docs = spark.createDataFrame([(1, "One. Two.", 0), (2, None, 0), (None, "x", 0)], "doc_id long, text string, end_char int")
     assert S.sentence_units(docs, model).count() == 2
     assert S.sentence_units(docs.limit(0)).count() == 0
+
+
+def test_silent_types_do_not_depend_on_the_size(spark):
+    rows = [("vgl", 25, 0), ("end", 3_000_000, 3_000_000), ("rare", 24, 0), ("", 50, 0)]
+    found = spark.createDataFrame([(k, n, e, None) for k, n, e in rows], "kind string, n long, ends long, names array<int>")
+    assert S.silent_types(found) == {"vgl"}
