@@ -9,8 +9,8 @@ A document leaks an item if it holds, of one part of it, at least RUN consecutiv
 which at most one in ODD is replaced; of an item in Chinese, ZH_RUN consecutive characters. Phrases of four words are enough to lose
 none: with m replaced words in L >= 20, m <= L / 6, a diagonal has at least L - 4 m - 3 >= 5 phrases that match.
 
-Only words count: case, punctuation, mark-up, underscores and line breaks do not. Sentences that several items share (standing
-instructions) belong to no item. Test items are the stated query set; they reach the tasks in blocks of ITEM_CHARS characters.
+Only words count: case, punctuation, mark-up, underscores and line breaks do not. Sentences that open several texts which
+differ afterwards (standing instructions) belong to no item; shared sentences elsewhere do. Test items are the stated query set; they reach the tasks in blocks of ITEM_CHARS characters.
 
 Defined results: null or blank texts leak nothing; null or short items are never leaked; repeated rows give one case; no items
 or no documents give no rows; a text longer than a shard is a shard of its own; extra columns are ignored.
@@ -18,6 +18,7 @@ or no documents give no rows; a text longer than a shard is a shard of its own;
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgemill.session import spread
+from sedgemill.session import cut, spread
 
 RUN, NEAR, ODD, ZH_RUN, PHRASE, SHARED = 12, 20, 6, 20, 4, 3
 SHARD_CHARS, ITEM_CHARS = 3_000_000, 20_000_000
@@ -164,24 +165,46 @@ def phrases(parts: list[tuple[int, list[str]]], size: int) -> Phrases | None:
     return Phrases(ids, np.array([p[0] for p in parts]), coded, distinct, part[by], offset[by], first)
 
 
-def item_parts(rows: list, shared: set[str]) -> tuple[list, list]:
-    """Word parts and character parts of test items, without the shared sentences."""
+def item_parts(rows: list) -> tuple[list, list]:
+    """Word parts and character parts of test items, without the leading sentences that are no part of them."""
     words, chars = [], []
     for r in rows:
-        for text in (r["question"], r["text"]):
-            runs: list[list[str]] = [[]]
-            for sentence in re.split(SENTENCE_END, text or ""):
-                if sentence_key(sentence) in shared:
-                    runs.append([])
-                else:
-                    runs[-1].append(sentence)
-            for run in runs:
-                joined = fold(" ".join(run))
-                zh = (r["lang"] or "").lower().startswith("zh") or len(HAN.findall(joined)) > len(WORD.findall(joined))
-                (chars if zh else words).append((r["item_id"], (CHAR if zh else WORD).findall(joined)))
+        for text, lead in ((r["question"], r["question_lead"]), (r["text"], r["text_lead"])):
+            joined = fold(" ".join(re.split(SENTENCE_END, text or "")[lead:]))
+            zh = (r["lang"] or "").lower().startswith("zh") or len(HAN.findall(joined)) > len(WORD.findall(joined))
+            (chars if zh else words).append((r["item_id"], (CHAR if zh else WORD).findall(joined)))
     return words, chars
 
 
+def openings(text: str | None) -> list[tuple[int, str, str]]:
+    """Every way to part a text after k of its sentences: k, digest of the first part, digest of the rest; none with an empty part."""
+    keys = [sentence_key(x) for x in re.split(SENTENCE_END, text or "")]
+    rests, rest = [""] * len(keys), b""
+    for k in range(len(keys) - 1, 0, -1):
+        if keys[k]:
+            rest = hashlib.md5(keys[k].encode("utf-8", "surrogatepass") + b"\n" + rest).digest()
+        rests[k] = rest.hex()
+    out, head = [], hashlib.md5()
+    for k in range(1, len(keys)):
+        if keys[k - 1]:
+            head.update(keys[k - 1].encode("utf-8", "surrogatepass") + b"\n")
+            if rests[k]:
+                out.append((k, head.hexdigest(), rests[k]))
+    return out
+
+
+def with_leads(items: DataFrame) -> DataFrame:
+    """``items`` with question_lead and text_lead: how many sentences at the start are a standing instruction, which opens at least SHARED different texts."""
+    parted = F.udf(openings, "array<struct<k: int, head: string, rest: string>>")
+    texts = items.select(F.explode(F.array("question", "text")).alias("t")).filter("t is not null").distinct()
+    ways = cut(texts.select(F.md5("t").alias("key"), F.explode(parted("t")).alias("x")).select("key", "x.*"), "openings")
+    shared = ways.groupBy("head").agg(F.countDistinct("rest").alias("n")).filter(F.col("n") >= SHARED).select("head")
+    leads = cut(ways.join(shared, "head", "left_semi").groupBy("key").agg(F.max("k").alias("lead")), "leads")
+    for name in ("question", "text"):
+        items = items.withColumn("key", F.md5(name)).join(leads.withColumnRenamed("lead", f"{name}_lead"), "key", "left").drop("key").fillna(0, [f"{name}_lead"])
+    return items
+
+
 def sentence_key(sentence: str) -> str:
     return " ".join(WORD.findall(fold(sentence)))
 
@@ -261,16 +284,13 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]
 def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, start_char, end_char of every passage of a test item in a document."""
     items = items.select("item_id", "question", "lang", "text").filter("item_id is not null").distinct()
-    key = F.udf(sentence_key, "string")
-    sentences = items.select("item_id", F.explode(F.split(F.coalesce("text", F.lit("")), SENTENCE_END)).alias("s")).select("item_id", key("s").alias("s"))
-    shared = sentences.filter("s <> ''").groupBy("s").agg(F.countDistinct("item_id").alias("n")).filter(F.col("n") >= SHARED)
-    instructions = {r["s"] for r in shared.select("s").collect()}
+    items = cut(with_leads(items), "items")
     size = items.agg(F.sum(F.length(F.concat_ws(" ", "question", "text")))).first()[0] or 0
     blocks = max(1, -(-size // ITEM_CHARS))
     out = None
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        found = _search(documents, *item_parts(rows, instructions))
+        found = _search(documents, *item_parts(rows))
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -54,6 +54,18 @@ def test_shared_instructions_belong_to_no_item(spark):
     assert leaks(spark, [told, told + " " + " ".join(passage(15, 20))], items) == [(1, 1)]
 
 
+def test_questions_on_one_passage(spark):
+    text = " ".join(passage(20)).capitalize() + ". " + " ".join(passage(20, 20)).capitalize() + "."
+    assert leaks(spark, ["x " + text + " y"], [(f"q{i} is it so?", "en", text) for i in range(4)]) == [(0, i) for i in range(4)]
+
+
+def test_short_shared_sentence_inside(spark):
+    told = "Answer only from the text."
+    texts = [f"{told} " + " ".join(passage(7, 40 * i)).capitalize() + ". Thank you. " + " ".join(passage(8, 40 * i + 20)).capitalize() + "." for i in range(4)]
+    docs = [t[len(told) :] for t in texts] + [told]
+    assert leaks(spark, docs, [("q one?", "en", t) for t in texts]) == [(i, i) for i in range(4)]
+
+
 def test_chinese(spark):
     text = "春天的时候罗斯告诉大家那个箱子一共寄出了很多次却从来没有丢过任何印章"
     assert leaks(spark, ["他说：" + text[3:23] + "。", text[3:22], text[:12] + "，\n" + text[12:24]], [("？", "zh", text)]) == [(0, 0), (2, 0)]
