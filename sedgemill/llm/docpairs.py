@@ -37,17 +37,79 @@ BETWEEN = {
 }
 ARTICLES = set("a an the der die das den dem des ein eine einen einem einer le la les l un une du de el los las una o os as um uma".split())
 TAG = re.compile(r"^\s*(?:@\w+|:\w+(?:\s[^:\n]*)?:|\\(?:param|return|returns|brief)\b|<(?:param|returns?|exception|typeparam|value|seealso|permission)\b)", re.I)
-XML_TAG_BLOCK = re.compile(r"<(param|returns?|exception|typeparam|value|seealso|permission)\b[^>]*?(?:/>|>[\s\S]*?</\1>)", re.I)
-MARKUP = re.compile(r"</?(?:summary|remarks|para|c|code|example|list|item|description|see|paramref|p|b|i)\b[^>]*>|\{@\w+ |\}", re.I)
-MISSING = re.compile(
-    r"(?:(?:todo|fixme|tbd|tba|xxx|wip|hack|n/?a|none|nil|null|undocumented|no (?:docs?|documentation|description|comment)s?(?: (?:yet|available|provided))?"
-    r"|(?:missing|needs?|lacks?|add|write|insert|fill in) (?:\w+ )?(?:docs?|documentation|description|comment|docstring)s?(?: (?:here|later|me))?|document(?:ation)? (?:this|me|missing|later|pending|to follow|goes here|follows|needed)(?: \w+)?"
-    r"|to be (?:documented|written|done|described|added)(?: \w+)?|(?:description|docs?|documentation|docstring)(?: \w+){0,3}|not (?:yet )?documented(?: yet)?|placeholder|write docs|document this|self[- ]explanatory"
-    r"|see(?: also)?(?: the)? (?:above|below|base|parent|super|interface|docs?|documentation|readme|there|elsewhere|\S+)(?: \S+){0,4}|as above|same as \S+(?: \S+)?|inherit(?:ed|s)?(?: ?docs?)?(?: from \S+)?|inheritdoc|overrid\w+(?: \S+)?"
-    r"|(?:siehe|vgl) \S+(?: \S+){0,2}|dokumentation (?:folgt|fehlt)|noch zu \w+|voir \S+(?: \S+){0,2}|à (?:documenter|faire|compléter)|sans description|ver \S+(?: \S+){0,2}|por (?:documentar|hacer)|sin descripción|pendiente"
-    r"|待补充|待完善|暂无(?:说明|描述|文档)|见上文?|参见.*|无)[\s.!:;,…-]*)+",
-    re.I,
-)
+XML_TAG = re.compile(r"<(/?)(param|returns?|exception|typeparam|value|seealso|permission)\b[^<>]*>", re.I)
+MARKUP = re.compile(r"</?(?:summary|remarks|para|c|code|example|list|item|description|see|paramref|p|b|i)\b[^<>]*>|\{@\w+ |\}", re.I)
+# Phrases that say only that documentation is missing, still to be written or found elsewhere, one a line: places parted by blanks,
+# words of one place by bars; a place that ends in ``?`` may be left out; ``.`` is any word, ``~`` any but a question word, DOC a word for documentation.
+NOTHING = """
+todo|fixme|tbd|tba|xxx|wip|hack|n/a|none|nil|null|undocumented|placeholder|self-explanatory|inheritdoc|pendiente
+self explanatory
+no DOC yet|available|provided|here?
+missing|need|needs|lack|lacks|add|write|insert a|an|the|some|more|proper|real|this|function|method? DOC here|later|me|please?
+fill in a|an|the|some|this? DOC? here|later?
+document|documentation this|me|it function|method|later|soon|properly|please?
+DOC is|are? still? missing|pending|needed|later|soon|tbd|todo|follows|here|incomplete|absent ~?
+DOC to follow|come|do
+DOC to be written|added|done|provided ~?
+DOC goes|go|comes here
+DOC will|coming follow|come|soon|be? ~? ~?
+to be documented|written|done|described|added ~?
+not yet? documented yet?
+see also? the|a? ~ .? .? .? .?
+as above
+same as ~ .?
+inherit|inherited|inherits DOC? from? .?
+override|overrides|overridden|overriding ~?
+siehe|vgl|voir|ver ~ .? .?
+dokumentation folgt|fehlt
+noch zu .
+à documenter|faire|compléter
+sans description
+por documentar|hacer
+sin descripción
+"""
+DOC_WORDS = "doc docs documentation description descriptions comment comments docstring docstrings".split()
+QUESTION_WORDS = "if whether how what that which who why when where".split()
+NOTHING_ZH = re.compile(r"(?:(?:待补充|待完善|暂无(?:说明|描述|文档)|见上文?|无)\W*)*(?:参见.*)?")
+CLAUSE = re.compile(r"[.!?;:,](?=\s|$)|[…—]")
+
+
+def _phrases() -> dict[str, list]:
+    """Each phrase as places (words or None, optional), by the words that it may begin with."""
+    out: dict[str, list] = {}
+    for line in NOTHING.strip().splitlines():
+        places = []
+        for part in line.split():
+            words = part.rstrip("?")
+            places.append((words if words in (".", "~") else {x for w in words.split("|") for x in (DOC_WORDS if w == "DOC" else [w])}, part.endswith("?")))
+        for w in places[0][0]:
+            out.setdefault(w, []).append(places[1:])
+    return out
+
+
+PHRASES = _phrases()
+
+
+def says_nothing(text: str) -> bool:
+    """Only phrases of NOTHING, one after the other; walked once from left to right, each clause for itself."""
+    if NOTHING_ZH.fullmatch(text):
+        return True
+    for clause in CLAUSE.split(text.lower()):
+        words = [w for x in clause.split() if (w := x.strip(".,;:!?()[]{}<>@\"'`*#-"))]
+        ends = {0}
+        for i, word in enumerate(words):
+            if i not in ends:
+                continue
+            ends.remove(i)
+            for places in PHRASES.get(word, ()):
+                at = {i + 1}
+                for allowed, optional in places:
+                    step = {k + 1 for k in at if k < len(words) and (allowed == "." or (words[k] not in QUESTION_WORDS if allowed == "~" else words[k] in allowed))}
+                    at = at | step if optional else step
+                ends |= at
+        if len(words) not in ends:
+            return False
+    return True
 
 
 @dataclass
@@ -63,16 +125,32 @@ def name_words(name: str) -> set[str]:
     return {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+", name)} | {name.lower()}
 
 
+def _without_blocks(doc: str) -> str:
+    """Without the parameter, return and like elements and what they hold; an element that is not closed stays."""
+    out, at, opened = [], 0, None
+    for m in XML_TAG.finditer(doc):
+        closing, name = m.group(1), m.group(2).lower()
+        if opened is None and not closing:
+            if m.group().endswith("/>"):
+                out.append(doc[at : m.start()] + "\n")
+                at = m.end()
+            else:
+                opened = (name, m.start())
+        elif opened and closing and name == opened[0]:
+            out.append(doc[at : opened[1]] + "\n")
+            at, opened = m.end(), None
+    return "".join(out) + doc[at:]
+
+
 def description(doc: str) -> str:
     """Without tag lines and mark-up."""
-    doc = XML_TAG_BLOCK.sub("\n", doc)
-    lines = [line for line in BREAK.split(doc) if not TAG.match(line)]
+    lines = [line for line in BREAK.split(_without_blocks(doc)) if not TAG.match(line)]
     return "\n".join(line.strip() for line in MARKUP.sub(" ", "\n".join(lines)).splitlines()).strip()
 
 
 def is_trivial(doc: str | None, name: str) -> bool:
     text = description(doc or "")
-    if not text or MISSING.fullmatch(re.sub(r"\s+", " ", text.strip(" \t\r\n.*-:…"))):
+    if not text or says_nothing(" ".join(text.split())):
         return True
     han = re.findall(r"[㐀-鿿]", text)
     if len(han) >= CHARS:
@@ -95,14 +173,23 @@ def _line_starts(code: str) -> list[int]:
 
 
 def python_functions(code: str) -> list[Function]:
+    """From the mark of the first decorator, or ``def``, to the end of the last statement."""
     starts, out = None, []
+
+    def place(line: int, column: int) -> int:
+        """Columns of the tree count bytes of UTF-8."""
+        a = starts[line - 1]
+        text = code[a : starts[line] if line < len(starts) else len(code)]
+        return a + (column if text.isascii() else len(text.encode("utf-8", "surrogatepass")[:column].decode("utf-8", "surrogatepass")))
+
     for node in ast.walk(parse_python(code)):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             starts = starts or _line_starts(code)
-            first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-            # columns of the tree count bytes; whole lines are enough for a statement's range
-            end = starts[node.end_lineno] if node.end_lineno < len(starts) else len(code)
-            out.append(Function(node.name, node.lineno, starts[first - 1], end, ast.get_docstring(node)))
+            first = place(node.lineno, node.col_offset)
+            if node.decorator_list:
+                d = node.decorator_list[0]
+                first = code.rfind("@", 0, place(d.lineno, d.col_offset))
+            out.append(Function(node.name, node.lineno, first, place(node.end_lineno, node.end_col_offset), ast.get_docstring(node)))
     return out
 
 
