@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from sedgemill.llm.syntax import Invalid, language, parse_other, parse_python, without_mark
+from sedgemill.llm.syntax import Invalid, Untold, languages, parse_other, parse_python, ranked, without_mark
 from sedgemill.session import spread
 
 BREAK = re.compile(r"\r\n|\n|\r")
@@ -244,7 +244,7 @@ def functions(code: str, lang: str) -> list[Function]:
     code = without_mark(code)
     try:
         return python_functions(code) if lang == "python" else other_functions(code, lang)
-    except Invalid:
+    except (Invalid, Untold):
         return []
 
 
@@ -255,11 +255,10 @@ def documented_functions(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for i, path, code in zip(batch["file_id"], batch["path"], batch["code"]):
-                lang = language(path)
-                if lang is None:
-                    continue
-                text, seen = without_mark(code), set()
-                for f in functions(code, lang):
+                text, seen, own = without_mark(code), set(), languages(path)
+                if len(own) > 1:
+                    own = sorted(own, key=ranked(text).index)
+                for f in next((found for lang in own if (found := functions(code, lang))), ()):
                     if (f.name, f.line) not in seen and not is_trivial(f.doc, f.name):
                         seen.add((f.name, f.line))
                         rows.append((i, f.name, f.line, text[f.start : f.end], description(f.doc)))

@@ -33,7 +33,7 @@ sig: typeparams? '(' params ')' ret?
 params: (param (',' param)*)? ','?
 param: decorator* access* '...'? (pattern / 'this') '?'? ann? ('=' e)?
 access: ("public" / "private" / "protected" / "readonly" / "override") !(',' / ')' / ':' / '=' / '?')
-~pattern: ID / '[' (pattern_item? ',')* pattern_item? ']' / '{' (prop_pattern (',' prop_pattern)* ','?)? '}' / 'yield' / 'await'
+pattern: ID / '[' (pattern_item? ',')* pattern_item? ']' / '{' (prop_pattern (',' prop_pattern)* ','?)? '}' / 'yield' / 'await'
 pattern_item: '...'? (pattern / operand) ('=' e)?
 prop_pattern: '...' (pattern / operand) / propname ':' (pattern / operand) ('=' e)? / ID ('=' e)?
 class: decorator* 'class' (!'extends' !"implements" ID)? typeparams? ('extends' operand typeargs?)? ("implements" type (',' type)*)? '{' member* '}'
@@ -43,13 +43,13 @@ modifier: ("public" / "private" / "protected" / "readonly" / "override" / "abstr
 field: decorator* modifier* (propname / '[' ID ':' type ']') ('?' / '!')? ann? ('=' e)? EOS
 propname: NAME / STR / NUM / '[' es ']'
 es: e (',' e)*
-~e: operand (binop operand / '?' e ':' e / as_type)*
+e: operand (binop operand / '?' e ':' e / as_type)*
 binop: '+' / '-' / '*' / '/' / '%' / '**' / '&' / '|' / '^' / '&&' / '||' / '??' / '==' / '!=' / '===' / '!==' / '<<' / '<' '='? / '<=' / '>' '>'? '>'? ('=' / '==')? / 'instanceof' / 'in' / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '<<=' / '&=' / '|=' / '^=' / '&&=' / '||=' / '??='
 as_type: !NLB ("as" / "satisfies") ('const' / type)
 operand: arrow / prefix* primary postfix*
 prefix: '!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' / 'delete' / 'await' / 'yield' '*'? &(ID / NUM / STR / TPL / '(' / '[' / '{' / 'new' / 'this' / 'await' / '!' / '-' / 'null' / 'true' / 'false' / 'typeof') / cast
 cast: '<' type '>'
-~arrow: ("async" !NLB)? (ID / typeparams? '(' params ')' ret?) '=>' (block / e)
+arrow: ("async" !NLB)? (ID / typeparams? '(' params ')' ret?) '=>' (block / e)
 postfix: '.' NAME / '?.' (NAME / '[' es ']' / args) / '[' es ']' / args / TPL / typeargs (args / TPL) / !NLB ('++' / '--') / !NLB '!' !'='
 args: '(' ('...'? e (',' '...'? e)*)? ','? ')'
 primary: anon_func / ID / NUM / STR / TPL / 'this' / 'super' / 'null' / 'true' / 'false' / '(' es ')' / array / object / class / 'new' new_target / 'import' ('.' NAME / args) / 'yield'
@@ -62,7 +62,7 @@ ann: ':' type
 ret: ':' (("asserts")? (ID / 'this') "is" type / "asserts" ID / type)
 typeparams: '<' ('const'? ("in" / 'in' / "out")? ID ('extends' type)? ('=' type)? ','?)+ '>'
 typeargs: '<' type (',' type)* '>'
-~type: cond_type
+type: cond_type
 cond_type: ("infer" ID / union) ('extends' union '?' type ':' type)?
 union: ('|' / '&')? unary_type (('|' / '&') unary_type)*
 unary_type: ("keyof" / "readonly" / "unique" / "infer") unary_type / 'new'? typeparams? '(' params ')' '=>' ret_type / atom ('[' type? ']')*
@@ -120,7 +120,7 @@ array_init: '{' (init (',' init)*)? ','? '}'
 params: (param (',' param)*)?
 param: modifier* type ('...')? (ID '.')? (ID / 'this') ('[' ']')*
 typeparams: '<' annotation* ID ('extends' type ('&' type)*)? (',' annotation* ID ('extends' type ('&' type)*)?)* '>'
-~type: annotation* (prim / ID typeargs? ('.' annotation* ID typeargs?)*) (annotation* '[' ']')*
+type: annotation* (prim / ID typeargs? ('.' annotation* ID typeargs?)*) (annotation* '[' ']')*
 prim: 'int' / 'long' / 'short' / 'byte' / 'char' / 'boolean' / 'float' / 'double' / 'void'
 typeargs: '<' (typearg (',' typearg)*)? '>'
 typearg: annotation* '?' (('extends' / 'super') type)? / type
@@ -135,10 +135,10 @@ switch: 'switch' '(' e ')' '{' ((label ':')+ stmt* / label '->' (block / 'throw'
 label: 'case' ('default' / case_item) (',' ('default' / case_item))* ("when" e)? / 'default'
 case_item: type ID &('->' / ':' / ',' / ID) / e_case
 e_case: unary (binop unary)*
-~e: unary (binop unary / '?' e ':' e / 'instanceof' 'final'? type ID?)*
+e: unary (binop unary / '?' e ':' e / 'instanceof' 'final'? type ID?)*
 binop: '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '&&' / '||' / '==' / '!=' / '<<' / '<' / '<=' / '>' '>'? '>'? ('=' / '==')? / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<='
 unary: ('!' / '~' / '+' / '-' / '++' / '--') unary / lambda / '(' prim ('[' ']')* ')' unary / '(' type ('&' type)* ')' &(ID / STR / CHR / NUM / '(' / '!' / '~' / 'new' / 'this' / 'super' / 'null' / 'true' / 'false' / 'switch') unary / primary postfix*
-~lambda: (ID / '(' lambda_params ')') '->' (block / e)
+lambda: (ID / '(' lambda_params ')') '->' (block / e)
 lambda_params: (ID (',' ID)* !ID / params)
 primary: NUM / STR / CHR / 'true' / 'false' / 'null' / 'this' args? / 'super' args? / 'new' new_rest / switch / type ('::' (ID / 'new') / '.' 'class') / ID args? / '(' e ')' / array_init
 new_rest: annotation* (prim / ID typeargs? ('.' ID typeargs?)*) (dims array_init? / args class_body?)
@@ -184,8 +184,8 @@ body: block / '=>' e ';' / ';'
 params: (param (',' param)*)?
 param: attrs? ('this' / 'ref' / 'out' / 'in' / 'params' / "scoped")* type ID ('=' e)?
 prim: 'int' / 'uint' / 'long' / 'ulong' / 'short' / 'ushort' / 'byte' / 'sbyte' / 'char' / 'bool' / 'float' / 'double' / 'decimal' / 'string' / 'object' / 'void'
-~type: 'ref'? 'readonly'? (prim / tuple_type / (ID '::')? ID typeargs? ('.' ID typeargs?)*) ('?' / '*' / '[' ','* ']')*
-~type_is: (prim / tuple_type / (ID '::')? ID typeargs? ('.' ID typeargs?)*) ('[' ','* ']')*
+type: 'ref'? 'readonly'? (prim / tuple_type / (ID '::')? ID typeargs? ('.' ID typeargs?)*) ('?' / '*' / '[' ','* ']')*
+type_is: (prim / tuple_type / (ID '::')? ID typeargs? ('.' ID typeargs?)*) ('[' ','* ']')*
 tuple_type: '(' type ID? (',' type ID?)+ ')'
 typeargs: '<' (type (',' type)* / ','*) '>'
 block: '{' stmt* '}'
@@ -197,11 +197,11 @@ local: 'const'? type vars
 pattern: pattern_and ("or" pattern_and)*
 pattern_and: pattern_not ("and" pattern_not)*
 pattern_not: "not" pattern_not / ('<' '='? / '<=' / '>' '='?) unary / '(' pattern ')' / "var" ID / type_is? '{' (ID ('.' ID)* ':' pattern (',' ID ('.' ID)* ':' pattern)* ','?)? '}' ID? / type_is ID &(')' / ':' / '&&' / '||' / '=>' / ';' / '?' / ID / ',') / unary (('+' / '-' / '*' / '|') unary)*
-~e: unary (binop unary / '?' e ':' e / 'is' pattern / 'as' type_is / 'switch' '{' (arm (',' arm)* ','?)? '}' / "with" array_init)*
+e: unary (binop unary / '?' e ':' e / 'is' pattern / 'as' type_is / 'switch' '{' (arm (',' arm)* ','?)? '}' / "with" array_init)*
 arm: pattern ("when" e)? '=>' e
 binop: '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '&&' / '||' / '??' / '==' / '!=' / '<<' / '<' / '<=' / '>' '>'? '='? / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '??=' / '..'
 unary: ('!' / '~' / '+' / '-' / '++' / '--' / '&' / '*' / '^' / '..') unary / "await" !('.' / '=' / ';' / ')') unary / 'throw' e / 'ref' unary / lambda / '(' type ')' &(ID / STR / CHR / NUM / '(' / '!' / '~' / 'new' / 'this' / 'base' / 'null' / 'true' / 'false' / prim / 'typeof' / 'default') unary / query / primary postfix*
-~lambda: ("async" / 'static')* (ID / '(' lambda_params ')') '=>' (block / e) / "async"? 'delegate' ('(' params ')')? block
+lambda: ("async" / 'static')* (ID / '(' lambda_params ')') '=>' (block / e) / "async"? 'delegate' ('(' params ')')? block
 lambda_params: (ID (',' ID)* !ID / params)
 query: "from" range 'in' e clause+
 range: type ID / ID
@@ -230,7 +230,7 @@ balanced: '(' balanced* ')' / !'(' !')' ANY
 qual: 'const' / 'volatile' / 'restrict' / '_Atomic' !'(' / storage
 specs: qual* (basic (basic / qual)* / tagged qual* / ID qual*)
 basic: 'int' / 'char' / 'short' / 'long' / 'float' / 'double' / 'void' / 'signed' / 'unsigned' / '_Bool' / '_Complex' / '_Atomic' '(' typename ')'
-~tagged: ('struct' / 'union') attribute* (ID ('{' field* '}')? / '{' field* '}') / 'enum' (ID ('{' enumerators '}')? / '{' enumerators '}')
+tagged: ('struct' / 'union') attribute* (ID ('{' field* '}')? / '{' field* '}') / 'enum' (ID ('{' enumerators '}')? / '{' enumerators '}')
 enumerators: ID ('=' e)? (',' ID ('=' e)?)* ','?
 field: ';' / static_assert / specs (field_decl (',' field_decl)*)? ';'
 field_decl: declarator (':' e)? / ':' e
@@ -248,9 +248,9 @@ designated: (('.' ID / '[' e ']')+ '=')? init
 block: '{' stmt* '}'
 stmt: block / ';' / 'if' '(' e ')' stmt ('else' stmt)? / 'for' '(' (decl / e? ';') e? ';' e? ')' stmt / 'while' '(' e ')' stmt / 'do' stmt 'while' '(' e ')' ';' / 'switch' '(' e ')' stmt / 'case' e ('...' e)? ':' stmt? / 'default' ':' stmt? / 'return' e? ';' / 'break' ';' / 'continue' ';' / 'goto' ID ';' / ID ':' stmt / static_assert / decl / e ';'
 e: assign (',' assign)*
-~assign: unary (binop unary / '?' e ':' assign)*
+assign: unary (binop unary / '?' e ':' assign)*
 binop: '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '&&' / '||' / '==' / '!=' / '<<' / '>>' / '<' / '<=' / '>' / '>=' / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>='
-~unary: ('!' / '~' / '+' / '-' / '++' / '--' / '&' / '*') unary / 'sizeof' ('(' typename ')' / unary) / '_Alignof' '(' typename ')' / '(' typename ')' ('{' (designated (',' designated)* ','?)? '}' postfix* / unary) / primary postfix*
+unary: ('!' / '~' / '+' / '-' / '++' / '--' / '&' / '*') unary / 'sizeof' ('(' typename ')' / unary) / '_Alignof' '(' typename ')' / '(' typename ')' ('{' (designated (',' designated)* ','?)? '}' postfix* / unary) / primary postfix*
 primary: ID / NUM / CHR / STR+ / '(' e ')' / '(' block ')' / '_Generic' '(' assign (',' (typename / 'default') ':' assign)+ ')'
 postfix: '[' e ']' / '(' (assign (',' assign)*)? ')' / '.' ID / '->' ID / '++' / '--'
 """
@@ -288,7 +288,7 @@ qid: '::'? 'template'? ID targs? ('::' 'template'? ('~'? ID) targs?)*
 targs: '<' (targ (',' targ)*)? '>'
 targ: (type '...'? &(',' / '>') / shift)
 shift: unary (('+' / '-' / '*' / '/' / '%' / '&' / '|' / '==' / '!=' / '&&' / '||') unary)* '...'?
-~tagged: ('class' / 'struct' / 'union') attr* ((qid "final"?)? (':' base (',' base)*)? '{' member* '}' / qid) / 'enum' ('class' / 'struct')? attr* ID? (':' type)? '{' (enumerator (',' enumerator)* ','?)? '}' / 'enum' ('class' / 'struct')? qid (':' type)?
+tagged: ('class' / 'struct' / 'union') attr* ((qid "final"?)? (':' base (',' base)*)? '{' member* '}' / qid) / 'enum' ('class' / 'struct')? attr* ID? (':' type)? '{' (enumerator (',' enumerator)* ','?)? '}' / 'enum' ('class' / 'struct')? qid (':' type)?
 base: ('virtual' / 'public' / 'protected' / 'private')* qid '...'?
 enumerator: ID attr* ('=' shift_e)?
 shift_e: assign
@@ -303,7 +303,7 @@ params: ('void' &')' / param (',' param)* (',' '...')? / '...')?
 param: attr* ('this' &ID)? specs '...'? (declarator / abstract)? ('=' init)?
 abstract: pointer+ '...'? abstract_rest? / abstract_rest
 abstract_rest: ('(' abstract ')')? suffix+ / '(' abstract ')'
-~type: specs abstract?
+type: specs abstract?
 init: braces / assign
 braces: '{' (designated (',' designated)* ','?)? '}'
 designated: ('.' ID ('=' / &'{'))? (init '...'?)
@@ -314,9 +314,9 @@ cond: (decl / e ';')? (specs declarator ('=' init / braces) / e)
 for_head: (decl / e ';')? specs (pointer* '[' ID (',' ID)* ']' / declarator) ':' init / (decl / e? ';') e? ';' e?
 catch: 'catch' '(' ('...' / type declarator? / param) ')' block
 e: assign (',' assign)*
-~assign: unary (binop unary / '?' e ':' assign / ('=' / '+=' / 'or' / 'and') braces)* / 'throw' assign? / 'co_yield' assign
+assign: unary (binop unary / '?' e ':' assign / ('=' / '+=' / 'or' / 'and') braces)* / 'throw' assign? / 'co_yield' assign
 binop: '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '&&' / '||' / '==' / '!=' / '<=>' / '<<' / '<' / '<=' / '>' '>'? '='? / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / 'and' / 'or' / 'xor' / 'bitand' / 'bitor' / '.*' / '->*'
-~unary: ('!' / '~' / '+' / '-' / '++' / '--' / '&' / '&&' / '*' / 'not' / 'compl' / 'co_await') unary / 'sizeof' ('...' '(' ID ')' / '(' type ')' / unary) / 'alignof' '(' type ')' / 'noexcept' '(' e ')' / '::'? 'new' ('(' arglist ')')? ('(' type ')' / new_type) ('(' arglist? ')' / braces)? postfix* / '::'? 'delete' ('[' ']')? unary / '(' type ')' &(ID / NUM / STR / CHR / '(' / 'this' / 'new' / 'sizeof' / '-' / '*' / '&' / '!' / '~' / 'nullptr' / 'true' / 'false' / '::') unary / primary postfix*
+unary: ('!' / '~' / '+' / '-' / '++' / '--' / '&' / '&&' / '*' / 'not' / 'compl' / 'co_await') unary / 'sizeof' ('...' '(' ID ')' / '(' type ')' / unary) / 'alignof' '(' type ')' / 'noexcept' '(' e ')' / '::'? 'new' ('(' arglist ')')? ('(' type ')' / new_type) ('(' arglist? ')' / braces)? postfix* / '::'? 'delete' ('[' ']')? unary / '(' type ')' &(ID / NUM / STR / CHR / '(' / 'this' / 'new' / 'sizeof' / '-' / '*' / '&' / '!' / '~' / 'nullptr' / 'true' / 'false' / '::') unary / primary postfix*
 new_type: specs pointer* ('[' e? ']')*
 primary: lambda / NUM / CHR / (STR ID?)+ / 'this' / 'nullptr' / 'true' / 'false' / ('static_cast' / 'dynamic_cast' / 'const_cast' / 'reinterpret_cast') '<' type '>' '(' e ')' / 'typeid' '(' (type / e) ')' / 'requires' ('(' params ')')? '{' balanced* '}' / qid braces / basic+ ('(' arglist? ')' / braces) / 'typename' qid ('(' arglist? ')' / braces) / qid_e / operator_name / 'decltype' '(' e ')' / '(' e ')' / '(' fold ')'
 fold: unary? binop? '...' (binop unary)?
@@ -347,7 +347,7 @@ const: 'const' ('(' (const_spec ';')* const_spec? ')' / const_spec)
 const_spec: ID (',' ID)* (type? '=' exprs)?
 type_decl: 'type' ('(' (type_spec ';')* type_spec? ')' / type_spec)
 type_spec: ID '=' type / ID typeparams type / ID type
-~type: '*' type / '[' ('...' / e)? ']' type / 'map' '[' type ']' type / 'chan' '<-'? type / '<-' 'chan' type / 'func' sig / 'struct' '{' (field ';')* field? '}' / 'interface' '{' (elem ';')* elem? '}' / '(' type ')' / ID ('.' ID)? ('[' type (',' type)* ']')?
+type: '*' type / '[' ('...' / e)? ']' type / 'map' '[' type ']' type / 'chan' '<-'? type / '<-' 'chan' type / 'func' sig / 'struct' '{' (field ';')* field? '}' / 'interface' '{' (elem ';')* elem? '}' / '(' type ')' / ID ('.' ID)? ('[' type (',' type)* ']')?
 field: ID (',' ID)* type STR? / '*'? ID ('.' ID)? ('[' type (',' type)* ']')? STR?
 elem: ID sig / constraint
 block: '{' stmts '}'
@@ -363,8 +363,8 @@ types_or_exprs: (type &(',' / ':') / e) (',' (type &(',' / ':') / e))*
 select: 'select' '{' (('case' simple / 'default') ':' stmts)* '}'
 exprs: e (',' e)*
 exprs_n: e_n (',' e_n)*
-~e: unary (binop unary)*
-~e_n: unary_n (binop unary_n)*
+e: unary (binop unary)*
+e_n: unary_n (binop unary_n)*
 binop: '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '&&' / '||' / '==' / '!=' / '<<' / '>>' / '<' / '<=' / '>' / '>=' / '&^'
 unary: ('!' / '+' / '-' / '^' / '*' / '&' / '<-') unary / operand (literal / postfix)*
 unary_n: ('!' / '+' / '-' / '^' / '*' / '&' / '<-') unary_n / operand_n postfix*
@@ -410,12 +410,12 @@ bound: LIFE / '(' bound ')' / '?'? for_life? path / '~'? 'const' path
 for_life: 'for' generics
 where: 'where' (pred (',' pred)* ','?)?
 pred: LIFE ':' LIFE ('+' LIFE)* / for_life? type ':' bounds?
-~type: '&' LIFE? 'mut'? type / '&&' LIFE? 'mut'? type / '*' ('const' / 'mut') type / '[' type (';' e)? ']' / '(' (type (',' type)* ','?)? ')' / '!' / 'impl' bounds / 'dyn' bounds / for_life? ('unsafe' / 'extern' STR?)* 'fn' '(' (attr* ((ID / "_") ':')? type (',' attr* ((ID / "_") ':')? type)* ','?)? ')' ('->' type)? / '<' type ('as' path)? '>' '::' path / "_" / path '!' ('(' tree* ')' / '[' tree* ']' / '{' tree* '}') / for_life? path
+type: '&' LIFE? 'mut'? type / '&&' LIFE? 'mut'? type / '*' ('const' / 'mut') type / '[' type (';' e)? ']' / '(' (type (',' type)* ','?)? ')' / '!' / 'impl' bounds / 'dyn' bounds / for_life? ('unsafe' / 'extern' STR?)* 'fn' '(' (attr* ((ID / "_") ':')? type (',' attr* ((ID / "_") ':')? type)* ','?)? ')' ('->' type)? / '<' type ('as' path)? '>' '::' path / "_" / path '!' ('(' tree* ')' / '[' tree* ']' / '{' tree* '}') / for_life? path
 path: '::'? path_seg ('::' path_seg)*
 path_seg: (ID / 'self' / 'Self' / 'super' / 'crate') ('::'? path_args / '(' (type (',' type)* ','?)? ')' ('->' type)?)? / path_args
 path_args: '<' (path_arg (',' path_arg)* ','?)? '>'
 path_arg: LIFE / ID path_args? ('=' type / ':' bounds) / type / NUM / STR / CHR / '-' NUM / block / 'true' / 'false'
-~pattern: '|'? pattern_one ('|' pattern_one)*
+pattern: '|'? pattern_one ('|' pattern_one)*
 pattern_one: '&' 'mut'? pattern_one / '&&' 'mut'? pattern_one / '(' (pattern (',' pattern)* ','?)? ')' / '[' (pattern (',' pattern)* ','?)? ']' / '..' !NUM / ('ref')? 'mut'? ID '@' pattern_one / 'ref' 'mut'? ID / 'mut' ID / range_pattern / path '!' ('(' tree* ')' / '[' tree* ']' / '{' tree* '}') / (path / '<' type ('as' path)? '>' '::' path) ('{' (field_pattern (',' field_pattern)* ','?)? '}' / '(' (pattern (',' pattern)* ','?)? ')')? / "_"
 range_pattern: bound_value (('..=' / '...' / '..') (bound_value / path)?)? / ('..=' / '..') bound_value
 bound_value: '-'? NUM / STR / CHR / 'true' / 'false' / path &('..=' / '..' / '...')
@@ -428,9 +428,9 @@ cond: e_ns
 if: 'if' cond block ('else' (if / block))?
 match: 'match' e_ns '{' inner_attr* (arm)* '}'
 arm: attr* pattern ('if' e)? '=>' (block ','? !('.' / '?' / binop) / e (',' / &'}') / block_e ','?)
-~e: range_start? unary (binop unary / 'as' type / ('..=' / '..') unary?)* / ('..=' / '..') unary? / '..'
+e: range_start? unary (binop unary / 'as' type / ('..=' / '..') unary?)* / ('..=' / '..') unary? / '..'
 range_start: ('..=' / '..') &(NUM / ID / '(')
-~e_ns: unary_ns (binop unary_ns / 'as' type / ('..=' / '..') unary_ns?)* / ('..=' / '..') unary_ns?
+e_ns: unary_ns (binop unary_ns / 'as' type / ('..=' / '..') unary_ns?)* / ('..=' / '..') unary_ns?
 binop: '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '&&' / '||' / '==' / '!=' / '<' '<' / '<' '<=' / '<' / '<=' / '>' '>'? '='? / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^='
 unary: ('!' / '-' / '*' / '&' 'mut'? / '&&' 'mut'? / '&' "raw" ('const' / 'mut')) unary / 'let' pattern '=' unary / primary postfix*
 unary_ns: ('!' / '-' / '*' / '&' 'mut'? / '&&' 'mut'?) unary_ns / 'let' pattern '=' unary_ns / primary_ns postfix*
@@ -461,12 +461,12 @@ mlhs: mitem (',' mitem)+ ','? / '*' target / mitem ',' &'='
 mitem: '*' target? / '(' mlhs ')' / target
 target: ID &(',' / '=' / ')' / 'in' / '|') / primary postfix*
 mrhs: ('*'? e) (',' '*'? e)*
-~command: chain &cmd_start cmd_args block_do?
+command: chain &cmd_start cmd_args block_do?
 chain: (ID / 'self' / STR / 'super' / 'yield') (('.' / '&.' / '::') NAME args_adj? / args_adj / ADJ '[' index ']')*
 cmd_start: ID / STR / NUM / 'nil' / 'true' / 'false' / 'self' / '->' / 'not' / 'defined?' / 'super' / '__FILE__' / '__method__' / 'def' / UNA ('-' / '*' / '&' / '[' / '::' / '**' / '!')
 cmd_args: arg (',' nl arg)*
 arg: ('*' / '**' / '&') !NLB e? / NAME ':' !(':' ADJ) nl (e / &(',' / ')' / NL)) / STR ':' e / command / e ('=>' nl e)?
-~e: operand (binop nl operand / '?' nl e nl ':' nl e / assign_op nl (massign_rhs / command / e) / ('..' / '...') operand? / 'rescue' e)*
+e: operand (binop nl operand / '?' nl e nl ':' nl e / assign_op nl (massign_rhs / command / e) / ('..' / '...') operand? / 'rescue' e)*
 massign_rhs: ('*'? e) (',' '*'? e)+ 
 assign_op: '=' !'=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '||=' / '&&=' / '|=' / '&=' / '^=' / '<<=' / '>>='
 binop: '+' / '-' / '*' / '/' / '%' / '**' / '&' / '|' / '^' / '&&' / '||' / '<=>' / '===' / '==' / '!=' / '=~' / '!~' / '<<' / '>>' / '<' / '<=' / '>' / '>='
@@ -484,7 +484,7 @@ body: stmts ('rescue' rescue_types? ('=>' target_r)? ('then' / sep) stmts)* ('el
 rescue_types: '*'? ternary (',' nl '*'? ternary)*
 ternary: operand
 target_r: ID postfix*
-~primary: def / class / module / if / unless / while / for / case / begin / lambda / hash / array / '(' stmts ')' / NUM / STR+ / 'nil' / 'true' / 'false' / 'self' / '__FILE__' / '__LINE__' / '__method__' / '::' ID / ('return' / 'break' / 'next' / 'redo' / 'retry') (&cmd_start cmd_args)? / ('super' / 'yield') / '..' / '...' / ID
+primary: def / class / module / if / unless / while / for / case / begin / lambda / hash / array / '(' stmts ')' / NUM / STR+ / 'nil' / 'true' / 'false' / 'self' / '__FILE__' / '__LINE__' / '__method__' / '::' ID / ('return' / 'break' / 'next' / 'redo' / 'retry') (&cmd_start cmd_args)? / ('super' / 'yield') / '..' / '...' / ID
 array: '[' nl (arg (nl ',' nl arg)* nl ','?)? nl ']'
 hash: '{' nl (pair (nl ',' nl pair)* nl ','?)? nl '}'
 pair: '**' e / NAME ':' nl (e / &(',' / '}' / NL)) / STR ':' nl e / e nl '=>' nl e

@@ -2,7 +2,8 @@
 
 Grammar text has one rule per line: ``name: a b / c``. ``'x'`` is a token of that kind, ``"x"`` an identifier of that text, capitals
 are token kinds, small letters rules; ``* + ? & !`` and parentheses as usual. A rule named ``@x`` is a function node: its first FNAME
-is the function's name. A rule named ``~x`` keeps its results, so that nested alternatives stay linear.
+is the function's name. A rule that can come back to itself keeps its results by position, so that the time of a text is linear in
+its tokens however deep it nests.
 """
 
 from __future__ import annotations
@@ -32,18 +33,21 @@ class Grammar:
     def __init__(self, *sources: str) -> None:
         """Later sources replace rules of earlier ones."""
         self.rules: dict[str, tuple] = {}
-        self.marked: dict[str, str] = {}
+        self.marked: set[str] = set()
         for source in sources:
             for line in source.splitlines():
                 if line.strip() and not line.startswith("#"):
                     name, body = line.split(":", 1)
-                    name, mark = name.strip().lstrip("@~"), line.strip()[0]
-                    self.marked[name] = mark if mark in "@~" else ""
+                    name = name.strip()
+                    if name.startswith("@"):
+                        name = name[1:]
+                        self.marked.add(name)
                     parts = [m.groups() for m in PART.finditer(body)]
                     self.rules[name], rest = self._choice(parts, 0)
                     if rest != len(parts):
                         raise ValueError(f"{name}: {parts[rest]}")
         self.first = self._first_sets()
+        self.kept = self._recursive()
         self.compiled: dict = {}
         for name in reversed(self.rules):  # the lower rules come last; what is compiled is called directly
             self._rule(name)
@@ -117,14 +121,37 @@ class Grammar:
                 return new
             self._sets = new
 
+    def _recursive(self) -> dict[str, int]:
+        """A number for each rule that can come back to itself."""
+
+        def used(node) -> set[str]:
+            if node[0] == "rule":
+                return {node[1]}
+            parts = node[1] if isinstance(node[1], tuple) and node[0] in ("seq", "alt") else (node[1],) if isinstance(node[1], tuple) else ()
+            return set().union(*(used(x) for x in parts))
+
+        direct = {name: used(node) for name, node in self.rules.items()}
+        out: dict[str, int] = {}
+        for name in direct:
+            seen, todo = set(), list(direct[name])
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += direct.get(x, ())
+            if name in seen:
+                out[name] = len(out)
+        return out
+
     # tree -> closures over the parser's state
     def _rule(self, name: str) -> None:
-        body, mark = self._compile(self.rules[name]), self.marked[name]
-        if mark == "@":
+        body = self._compile(self.rules[name])
+        if name in self.marked:
+            inner = body
 
-            def run(s, i):
+            def body(s, i):
                 at = len(s.found)
-                j = body(s, i)
+                j = inner(s, i)
                 if j >= 0:
                     for k in range(at, len(s.found)):
                         if len(s.found[k]) == 1:
@@ -132,17 +159,20 @@ class Grammar:
                             break
                 return j
 
-        elif mark == "~":
+        if name in self.kept:
+            number = self.kept[name]
 
             def run(s, i):
-                key = (name, i)
-                hit = s.memo.get(key)
+                memo = s.memo[number]
+                hit = memo.get(i)
                 if hit is not None:
+                    if hit.__class__ is int:
+                        return hit
                     s.found.extend(hit[1])
                     return hit[0]
                 at = len(s.found)
                 j = body(s, i)
-                s.memo[key] = (j, s.found[at:] if j >= 0 else ())
+                memo[i] = (j, s.found[at:]) if j >= 0 and len(s.found) > at else j
                 return j
 
         else:
@@ -241,7 +271,7 @@ class Grammar:
 
     def parse(self, tokens: Tokens) -> list[tuple[int, int, int]] | None:
         """Function nodes as (token of the name, first token, end token), or None if the tokens are no program."""
-        s = _State(tokens)
+        s = _State(tokens, len(self.kept))
         if self.compiled["start"](s, 0) < 0:
             return None
         return [f for f in s.found if len(f) == 3]
@@ -250,10 +280,10 @@ class Grammar:
 class _State:
     __slots__ = ("kind", "text", "broken", "start", "end", "found", "memo")
 
-    def __init__(self, t: Tokens) -> None:
+    def __init__(self, t: Tokens, kept: int) -> None:
         self.kind, self.text, self.broken, self.start, self.end = t.kind, t.text, t.broken, t.start, t.end
         self.found: list = []
-        self.memo: dict = {}
+        self.memo: list[dict] = [{} for _ in range(kept)]
 
 
 class _Special:

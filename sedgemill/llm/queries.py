@@ -27,12 +27,13 @@ r(node, other) as (select a, a from l union select r.node, l.b from r join l on
 
 @reg.query("p1_found")
 def p1_found(spark, d):
-    return unparsable(table(spark, d, "source_files"))
+    return unparsable(table(spark, d, "source_files"), table(spark, d, "manifest"))
 
 
 @reg.query("p1_rates")
 def p1_rates(spark, d):
-    return rates(checked_files(table(spark, d, "source_files")), table(spark, d, "manifest"))
+    manifest = table(spark, d, "manifest")
+    return rates(checked_files(table(spark, d, "source_files"), manifest), manifest)
 
 
 @reg.query("p2_found")

@@ -1,4 +1,8 @@
+import sys
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from sedgemill.llm import syntax as S
 
@@ -93,8 +97,54 @@ def test_corrupt_and_unknown():
 def test_files(spark):
     rows = [(1, "r", "a.py", "x = 1", 0), (2, "r", "b.py", "x = (", 0), (2, "r", "b.py", "x = (", 0), (3, "r", "c.js", None, 0), (4, "q", "d.zz", "?", 0), (5, "q", "e.js", VALID["go"][0], 0)]
     files = spark.createDataFrame(rows, "file_id long, repo string, path string, code string, extra int")
-    assert sorted(r["file_id"] for r in S.unparsable(files).collect()) == [2, 5]
-    manifest = spark.createDataFrame([("./A.py",), (None,)], "path string")
-    got = {(r["repo"], r["lang"]): (r["files"], r["broken"], r["wrong_extension"], r["declared"], r["rate"]) for r in S.rates(S.checked_files(files), manifest).collect()}
+    manifest = spark.createDataFrame([("./A.py", "python"), (None, None)], "path string, lang string").withColumn("seen_at", F.lit(None).cast("timestamp"))
+    assert sorted(r["file_id"] for r in S.unparsable(files, manifest).collect()) == [2, 5]
+    got = {(r["repo"], r["lang"]): (r["files"], r["broken"], r["wrong_extension"], r["declared"], r["rate"]) for r in S.rates(S.checked_files(files, manifest), manifest).collect()}
     assert got == {("r", "python"): (2, 1, 0, 1, 0.5), ("q", "javascript"): (1, 1, 1, 0, 1.0)}
-    assert S.unparsable(files.limit(0)).count() == 0
+    assert S.unparsable(files.limit(0), manifest).count() == 0
+
+
+DEEP = {"javascript": ("x = ", ""), "typescript": ("x = ", ""), "java": ("class A { int f() { return ", "; } }"), "c": ("int f() { return ", "; }"), "cpp": ("int x = ", ";"), "go": ("package a\nvar x = ", "\n"), "rust": ("fn f() { g(", "); }"), "ruby": ("x = ", ""), "csharp": ("class A { int f() { return ", "; } }")}
+
+
+@pytest.mark.parametrize("lang", sorted(DEEP))
+def test_deep_brackets_are_no_error(lang):
+    a, b = DEEP[lang]
+    limit = sys.getrecursionlimit()
+    assert S.status(a + "(" * 5_000 + "1" + ")" * 5_000 + b, lang) == ("valid", lang)
+    assert S.status(a + "(" * 5_000 + "1" + ")" * 4_999 + b, lang)[0] == "corrupt"
+    assert sys.getrecursionlimit() == limit
+
+
+def test_what_overflows_the_parser_of_python_is_not_flagged():
+    assert S.status("x = " + "not " * 100_000 + "1\n", "python")[0] in ("valid", "unknown")
+    assert S.status("x = " + "1 + " * 50_000 + "1\n", "python")[0] in ("valid", "unknown")
+    assert S.status("x = " + "1 + " * 50_000 + "\n", "python")[0] != "valid"
+
+
+@pytest.mark.parametrize("lang", sorted(VALID))
+def test_ranking(lang):
+    code = max(VALID[lang], key=len)
+    assert lang in S.ranked(code)[:3]
+
+
+def test_headers_of_two_languages(spark):
+    c, cpp, both = VALID["c"][0], VALID["cpp"][0], "int f(int a);\n"
+    only_c = "int class = 1;\nint f(void) { int new = class; return new; }\n"
+    rows = [(1, "r", "a/c.h", only_c), (2, "r", "a/cpp.h", cpp), (3, "r", "a/both.h", both), (4, "r", "told/c.h", cpp), (5, "r", "told/cpp.H", cpp), (6, "r", "told/x.h", only_c), (7, "r", "bad.h", "int f( {"), (8, "r", "go.h", VALID["go"][0]), (9, "r", "x.hxx", cpp), (10, "r", "y.tsx", "?")]
+    files = spark.createDataFrame(rows, "file_id long, repo string, path string, code string")
+    told = [("told/c.h", "C", 1), ("told/cpp.H", "c", 1), ("./told/CPP.h", "C++", 2), ("told/x.h", "Cpp", 1), ("a/cpp.h", None, 1), ("a/c.h", "python", 1)]
+    manifest = spark.createDataFrame(told, "path string, lang string, n int").withColumn("seen_at", F.timestamp_seconds("n"))
+    got = {r["file_id"]: (r["lang"], r["status"], r["parses_as"]) for r in S.checked_files(files, manifest).collect()}
+    assert got[1] == ("c", "valid", "c") and got[2] == ("cpp", "valid", "cpp") and got[3][1] == "valid"
+    assert got[4] == ("c", "wrong_extension", "cpp") and got[5] == ("cpp", "valid", "cpp") and got[6] == ("cpp", "wrong_extension", "c")
+    assert got[7][1:] == ("corrupt", None) and got[8][1:] == ("wrong_extension", "go") and got[9] == ("cpp", "valid", "cpp") and got[10] == (None, "unknown", None)
+
+
+@pytest.mark.parametrize("lang, a, b", [("c", "f(", ")"), ("cpp", "f(", ")"), ("cpp", "(A<B>(", "))"), ("java", "(int) ", ""), ("ruby", "(", ")"), ("rust", "A<A<", ">>"), ("javascript", "(a) => ", ""), ("csharp", "(int) ", ""), ("typescript", "[", "]")])
+def test_nested_forms_take_linear_time(lang, a, b):
+    before, after = DEEP[lang]
+    began = time.time()
+    for tail in ("1", ""):
+        S.accepts(before + a * 500 + tail + b * 500 + after, lang)
+    assert time.time() - began < 5
