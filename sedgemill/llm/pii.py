@@ -1,14 +1,17 @@
 """Personal information in free text: e-mail addresses, phone numbers, identity numbers, street addresses and names.
 
 Method: anchor expansion. One Aho-Corasick automaton finds at-signs, schemes, identifier cues, street words, number starts, forms of
-address and known names in a single pass over each text; at an at-sign, cue or digit a small deterministic parser expands to the
-left and right and validates the boundaries. Street words and names only tell whether the patterns of addresses and the parser of
-names go over the text, which they do as a whole. Overlaps go to the more specific kind (e-mail, identity number, address, phone, name).
+address and cues of names in a single pass over each text. At each of them a small deterministic parser expands to the left and right
+and validates the boundaries: at-signs to e-mail addresses, schemes to the authority of an address on the web (whose user part is no
+e-mail address), cues and digits to identity, account and phone numbers, street words to postal addresses. Names are expanded from forms of address,
+cues and the words that the lexicon holds. Overlaps go to the more specific kind (e-mail, identity number, address, phone, name).
 
 The list of known names is completed from the texts themselves: a capitalised word next to a listed name, in the place of a
 given or family name, is evidence for another name, and the words around two-part names tell where a single given name may stand.
-The evidence of all rows is counted in Spark; how much of it is enough does not depend on the number of rows. Of the words in small
-letters only those are kept that also occur with a capital, as no other is ever asked for.
+The evidence of all rows is counted in Spark into a table of words; how much of it is enough does not depend on the number of rows. Of the words
+in small letters only those are kept that also occur with a capital, as no other is ever asked for. While that table has at most LEXICON_WORDS rows the
+tasks hold it; beyond, the words of each text are joined to it, hot words by broadcast, and every text comes with the part of the lexicon that it asks for.
+Both ways give the same rows.
 
 Defined results: null texts and null array elements stay null and hold nothing; empty texts stay as they are; repeated rows give
 their cases once; an empty name list still leaves all other kinds and names after forms of address; extra columns are kept.
@@ -17,6 +20,7 @@ their cases once; an empty name list still leaves all other kinds and names afte
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,16 +29,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgemill.session import cut
+from sedgemill.session import cut, heavy_keys, lookup
 
 #: Evidence that is enough, for any number of rows: once for names and small letters, twice for contexts.
 EVIDENCE = {"after": 2, "before": 2}
+#: Rows of the lexicon that each task may hold (a few megabytes); a larger one is joined instead.
+LEXICON_WORDS = 200_000
 FIELDS = ("summary", "title", "entities")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 KINDS = ("email", "id_number", "address", "phone", "name")
 
 # Cues in the languages of the texts.
 AT = ["@", "(at)", "[at]", "{at}", " at "]
+SCHEMES = ["://"]
 ID_CUES = ["ssn", "social security", "dni", "nie", "nif", "nir", "steuer-id", "steuer-idnr", "steuernummer", "passport", "reisepass", "passeport", "pasaporte"]
 ID_CUES += ["national id", "tax number", "tax id", "id card", "id-card", "ausweis", "carte d'identité", "insurance number"]
 STREETS_AFTER = "street st avenue ave lane road rd drive dr court ct boulevard blvd place square terrace way close crescent".split()
@@ -60,19 +67,25 @@ NIR = re.compile(r"[12] ?\d{2} ?\d{2} ?(?:\d{2}|2[AB]) ?\d{3} ?\d{3} ?\d{2}" + E
 TAX_ID = re.compile(r"[1-9]\d ?\d{3} ?\d{3} ?\d{3}" + END)
 TAX_NUMBER = re.compile(r"(?:\d{2,3}/\d{3}/\d{5}|\d{3}/\d{4}/\d{4})(?![\w/]|[-.]\d)")
 ID_VALUE = re.compile(r"(?:[ .:#]|\bno\b|\bnr\b|\bnumber\b|\bn[º°])*([A-Z]{0,3}\d[\dA-Z]*(?:[ /.\-]\d[\dA-Z]*)*(?: [A-Z]\b)?)", re.I)
+AUTHORITY = re.compile(r"[^\s/?#<>\"]*")
+IBAN = re.compile(r"\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?(?![A-Za-z\d])")
+CARD = re.compile(r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}" + END)
 W = r"[A-ZÀ-Þ][\w'’\-]*"
 TOWN = rf"(?:,? (?:{W} \d{{4,6}}|\d{{4,6}} {W}(?: {W})?)|, {W}(?: \d{{4,6}})?)"
 UNIT = r"(?:,? (?:Apt|Suite|Unit|Flat|Floor|#)\.? ?\w+|, \d{1,2}\.?[ºª°](?: \w\b)?)"
 TAIL = rf"{UNIT}?{TOWN}?"
-ADDRESSES = [
-    re.compile(rf"\d{{1,5}}[A-Za-z]? (?:{W} ){{1,3}}(?:{'|'.join(x.capitalize() for x in STREETS_AFTER)})\b\.?{TAIL}"),
-    re.compile(rf"\d{{1,4}}(?: (?:bis|ter))?,? (?i:{'|'.join(STREETS_BEFORE)}) (?:(?:de|des|du|la|le|les|d['’]|l['’]) ?)*{W}(?: {W})?{TAIL}"),
-    re.compile(rf"(?i:{'|'.join(STREETS_BEFORE)}) (?:(?:de|del|des|du|la|las|los|el) )*{W}(?: {W})?,? \d{{1,4}}[A-Za-z]?\b{TAIL}"),
-    re.compile(rf"{W}(?:{'|'.join(map(re.escape, STREETS_JOINED))}) \d{{1,4}} ?[a-z]?\b{TAIL}"),
-    re.compile(rf"(?:P\. ?O\. ?|PO )Box \d{{1,6}}\b{TAIL}|Postfach \d{{1,6}}\b{TAIL}", re.I),
-]
+# What follows a street word, and what stands before it: a number, a street word, words, a number
+AFTER_LEFT = re.compile(rf"\d{{1,5}}[A-Za-z]? (?:{W} ){{1,3}}")
+AFTER_RIGHT = re.compile(rf"\b\.?{TAIL}")
+BEFORE_LEFT = re.compile(r"\d{1,4}(?: (?:bis|ter))?,? ")
+BEFORE_WORDS = re.compile(rf" (?:(?:de|des|du|la|le|les|d['’]|l['’]) ?)*{W}(?: {W})?{TAIL}")
+BEFORE_NUMBER = re.compile(rf" (?:(?:de|del|des|du|la|las|los|el) )*{W}(?: {W})?,? \d{{1,4}}[A-Za-z]?\b{TAIL}")
+JOINED_RIGHT = re.compile(rf" \d{{1,4}} ?[a-z]?\b{TAIL}")
+JOINED_LEFT = re.compile(W)
+BOX_LEFT, BOX_RIGHT = re.compile(r"(?:P\. ?O\. ?|PO )$", re.I), re.compile(rf" \d{{1,6}}\b{TAIL}", re.I)
 TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 
+FOLLOWS = re.compile(r" ([^\W\d_]+)")
 GLUED = re.compile(r"[@._+/\\<:]")
 
 
@@ -87,17 +100,14 @@ class Lexicon:
     plain: set[str] = field(default_factory=set)  # seen with a capital and in small letters
 
 
-def automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
+def automaton(before: set[str] = frozenset()) -> ahocorasick.Automaton:
+    """Anchors of all kinds; ``before`` are learned contexts of names."""
     a = ahocorasick.Automaton()
     anchors: dict[str, set[str]] = {}
-    for kind, words in (("at", AT), ("id", ID_CUES), ("num", list("0123456789+(")), ("name", [*lexicon.given, *lexicon.family])):
+    for kind, words in (("at", AT), ("scheme", SCHEMES), ("id", ID_CUES), ("num", list("0123456789+(")), ("after", STREETS_AFTER), ("before", STREETS_BEFORE), ("joined", STREETS_JOINED), ("box", ["box", "postfach"])):
         for w in words:
             anchors.setdefault(w, set()).add(kind)
-    for w in STREETS_AFTER + STREETS_BEFORE + STREETS_JOINED + ["box", "postfach"]:
-        anchors.setdefault(w, set()).add("street")
-    for w in TITLES:
-        anchors.setdefault(w, set()).add("title")
-    for w in [*CUES, *(f"{x} " for x in lexicon.before)]:
+    for w in [*CUES, *(f"{x} " for x in before)]:
         anchors.setdefault(w, set()).add("cue")
     for w, kinds in anchors.items():
         a.add_word(w, (len(w), kinds))
@@ -111,7 +121,11 @@ def _low(text: str) -> str:
 
 
 def _email(text: str, a: int, b: int) -> tuple[int, int] | None:
-    left = EMAIL_LEFT.search(text, max(0, a - 80), a)
+    """An e-mail address around the at-sign; what stands before it is read to its first character, however long it is."""
+    i = a - 1 if a and text[a - 1].isspace() else a
+    while i and (text[i - 1].isalnum() or text[i - 1] in "_.+%-"):
+        i -= 1
+    left = EMAIL_LEFT.search(text, i, a)
     right = EMAIL_RIGHT.match(text, b)
     if not left or not right:
         return None
@@ -168,8 +182,26 @@ def _identity(text: str, a: int) -> tuple[int, int] | None:
     return None
 
 
+def _iban(text: str, a: int) -> tuple[int, int, bool] | None:
+    """What has the shape of a bank account around the first digit at ``a`` (two letters before it), and whether its check digits (mod 97) hold."""
+    letters = text[max(0, a - 2) : a]
+    if len(letters) < 2 or not (letters.isascii() and letters.isalpha() and letters.isupper()) or a > 2 and text[a - 3].isalnum() or not (m := IBAN.match(text, a)):
+        return None
+    n = m.group().replace(" ", "")
+    return a - 2, m.end(), int("".join(str(int(c, 36)) for c in n[2:] + letters + n[:2])) % 97 == 1
+
+
+def _card(text: str, a: int) -> tuple[int, int] | None:
+    """A payment card (Luhn) that begins at ``a``."""
+    if a and (text[a - 1].isalnum() or text[a - 1] in "-/.#_+") or not (m := CARD.match(text, a)):
+        return None
+    digits = [int(c) for c in m.group() if c.isdecimal()]
+    good = 13 <= len(digits) <= 19 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+    return (a, m.end()) if good else None
+
+
 def _number(text: str, a: int) -> tuple[int, int, str] | None:
-    if text[a].isdecimal() and (s := _identity(text, a)):
+    if text[a].isdecimal() and (s := _card(text, a) or _identity(text, a)):
         return *s, "id_number"
     if a and (text[a - 1].isalnum() or text[a - 1] in "-/.#_+(" and text[a] != "("):
         return None
@@ -180,61 +212,131 @@ def _number(text: str, a: int) -> tuple[int, int, str] | None:
     return None
 
 
-def _address_end(text: str, m: re.Match) -> int:
-    """Without blanks and the full stop of the sentence."""
-    end = m.start() + len(m.group().rstrip())
-    return end - 1 if text[end - 1] == "." and not re.search(r"\b(?:rd|st|ave|dr|ct|blvd)\.$", m.group().rstrip(), re.I) else end
+def _words_left(text: str, a: int, n: int) -> list[int]:
+    """Where the up to ``n`` words before ``a`` begin, the nearest first."""
+    out: list[int] = []
+    while a > 0 and text[a - 1] == " " and len(out) < n:
+        i = text.rfind(" ", 0, a - 1) + 1
+        a = i = max(i, text.rfind("\n", 0, a - 1) + 1)
+        out.append(i)
+    return out
+
+
+def _address(text: str, a: int, b: int, kinds: set[str]) -> tuple[int, int] | None:
+    """A postal address around a street word, the longest of its forms."""
+    found: list[tuple[int, int]] = []
+    alone = not (a and text[a - 1].isalnum())
+    if "after" in kinds and alone and text[a].isupper() and (right := AFTER_RIGHT.match(text, b)):
+        for i in _words_left(text, a, 4)[1:]:
+            # the number may be glued to an opening mark
+            while i < a and not text[i].isdecimal() and not text[i].isalnum():
+                i += 1
+            if AFTER_LEFT.fullmatch(text, i, a):
+                found.append((i, right.end()))
+    if "before" in kinds and alone:
+        for i in _words_left(text, a, 2):
+            while i < a and not text[i].isalnum():
+                i += 1
+            if BEFORE_LEFT.fullmatch(text, i, a) and (m := BEFORE_WORDS.match(text, b)):
+                found.append((i, m.end()))
+        if m := BEFORE_NUMBER.match(text, b):
+            found.append((a, m.end()))
+    if "joined" in kinds and (m := JOINED_RIGHT.match(text, b)):
+        i = a
+        while i and (text[i - 1].isalnum() or text[i - 1] in "_'’-"):
+            i -= 1
+        if i < a and JOINED_LEFT.fullmatch(text, i, a):
+            found.append((i, m.end()))
+    if "box" in kinds and (m := BOX_RIGHT.match(text, b)):
+        if text[a:b].lower() == "postfach":
+            found.append((a, m.end()))
+        elif left := BOX_LEFT.search(text, max(0, a - 6), a):
+            found.append((left.start(), m.end()))
+    found = [(i, j) for i, j in found if not (i and text[i - 1].isalnum())]
+    if not found:
+        return None
+    i, j = min(found, key=lambda s: (s[0], -s[1]))
+    tail = text[i:j].rstrip()
+    # without the full stop of the sentence
+    return i, i + len(tail) - (tail.endswith(".") and not re.search(r"\b(?:rd|st|ave|dr|ct|blvd)\.$", tail, re.I))
 
 
 class Finder:
-    """All occurrences in one text, by the anchors of one automaton."""
+    """All occurrences in one text, by the anchors of one automaton; the lexicon is that of the task, or comes with the text."""
 
-    def __init__(self, lexicon: Lexicon) -> None:
-        self.lexicon, self.automaton = lexicon, automaton(lexicon)
+    def __init__(self, lexicon: Lexicon | None = None) -> None:
+        self.lexicon = lexicon or Lexicon()
+        self.automaton = automaton(self.lexicon.before)
 
-    def find(self, text: str, whole: bool = False) -> list[tuple[int, int, str]]:
+    def find(self, text: str, whole: bool = False, lexicon: Lexicon | None = None) -> list[tuple[int, int, str]]:
         """start, end, kind in order; ``whole`` for a text that is an entity of its own."""
-        low, found, names, streets = _low(text), [], whole, False
+        low, found, cues, hosts, account = _low(text), [], [0] if whole else [], [], 0
         for end, (size, kinds) in self.automaton.iter(low):
             a, b = end - size + 1, end + 1
-            if "at" in kinds and (s := _email(text, a, b)):
+            if "scheme" in kinds:
+                hosts.append((b, AUTHORITY.match(text, b).end()))
+            if "at" in kinds and not (hosts and hosts[-1][0] <= a < hosts[-1][1]) and (s := _email(text, a, b)):
                 found.append((*s, "email"))
             if "id" in kinds and (s := _id(text, a, b)):
                 found.append((*s, "id_number"))
-            if "num" in kinds and (n := _number(text, a)):
-                found.append(n)
-            streets |= "street" in kinds
-            names |= bool(kinds & {"name", "title", "cue"})
-        if streets:
-            found += [(m.start(), _address_end(text, m), "address") for r in ADDRESSES for m in r.finditer(text) if not (m.start() and text[m.start() - 1].isalnum())]
+            if "num" in kinds and a >= account:
+                if text[a].isdecimal() and (s := _iban(text, a)):
+                    account = s[1]  # no number begins within it, whether its check digits hold or not
+                    if s[2]:
+                        found.append((s[0], s[1], "id_number"))
+                elif n := _number(text, a):
+                    found.append(n)
+            if kinds & {"after", "before", "joined", "box"} and (s := _address(text, a, b, kinds)):
+                found.append((*s, "address"))
+            if "cue" in kinds:
+                cues.append(b)
+        if lexicon is not None:
+            self.lexicon = lexicon
+            cues += [m.end() for c in lexicon.before for m in re.finditer(re.escape(f"{c} "), low)]
         found = _without_overlaps(found)
-        if names:
-            found = _without_overlaps(found + [(a, b, "name") for a, b in self.names(text, found, whole)])
-        return sorted(found)
-
-    def names(self, text: str, taken: list, whole: bool) -> list[tuple[int, int]]:
-        words = [m for m in TOKEN.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in taken)]
-        out, i = [], 0
-        while i < len(words):
-            n = self._name_at(text, words, i, whole)
-            if n:
+        return _without_overlaps(found + [(a, b, "name") for a, b in self.names(text, found, whole, cues)])
+
+    def names(self, text: str, taken: list, whole: bool, cues: list[int]) -> list[tuple[int, int]]:
+        """Names around the anchors: words of the lexicon, forms of address, and the word after a cue."""
+        words, k = [], 0
+        for m in TOKEN.finditer(text):
+            while k < len(taken) and taken[k][1] <= m.start():
+                k += 1
+            if k == len(taken) or m.end() <= taken[k][0]:
+                words.append(m)
+        given, family, at, self.chain = self.lexicon.given, self.lexicon.family, set(), (0, 0)
+        for i, m in enumerate(words):
+            low = m.group().lower()
+            if low in given or low in family:
+                at |= {i - 2, i - 1, i}  # it may be the first part, or the second one, after an initial or not
+            elif low in TITLES:
+                at.add(i)
+        starts = [m.start() for m in words]
+        for b in cues:
+            i = bisect_left(starts, b)
+            if i < len(words) and not text[b : starts[i]].strip():
+                at.add(i)
+        out, done = [], 0
+        for i in sorted(at):
+            if i >= done and (n := self._name_at(text, words, i, whole)):
                 out.append((words[i].start(), words[i + n - 1].end()))
-            i += n or 1
+                done = i + n
         return out
 
     def _name_at(self, text: str, words: list, i: int, whole: bool) -> int:
         """How many words from word i on are a name (forms of address count as part of it)."""
         lex, w = self.lexicon, words[i].group()
         low = w.lower()
-        glue = text[words[i - 1].end() : words[i].start()] if i else text[: words[i].start()]
-        if i and glue in ("-", "_", "/", ".") or words[i].end() < len(text) and text[words[i].end()] in "_/" or not w[0].isupper():
+        glue = text[words[i - 1].end() : words[i].start()] if i else ""
+        if glue in ("-", "_", "/", ".") or words[i].end() < len(text) and text[words[i].end()] in "_/" or not w[0].isupper():
             return 0
         caps = lambda k: k < len(words) and words[k].group()[0].isupper()
         gap = lambda k: text[words[k - 1].end() : words[k].start()]
         if low in TITLES and not (len(w) > 2 and w.isupper() and not text.isupper()):
-            k = i + 1
+            k = self.chain[1] if self.chain[0] < i < self.chain[1] else i + 1
             while k < len(words) and words[k].group().lower() in TITLES and gap(k) in (". ", " "):
                 k += 1
+            self.chain = i, k
             if caps(k) and gap(k) in (". ", " ", ".") and len(words[k].group()) > 1 and not (low == "m" and gap(k) != ". "):
                 n = k - i + 1
                 while caps(i + n) and n < 6 and (gap(i + n) == " " or gap(i + n) == ". " and len(words[i + n - 1].group()) == 1):
@@ -260,7 +362,7 @@ class Finder:
                 return k - i + 1
             if low not in lex.plain and second not in lex.plain and self._cued(text, words, i) and self._goes_on(text, words, k):
                 return k - i + 1
-            if whole and low not in lex.plain and second not in lex.plain and not text[: words[i].start()].strip() and not text[words[k].end() :].strip():
+            if whole and low not in lex.plain and second not in lex.plain and _alone(text, words, i, k):
                 return k - i + 1
         # family, given
         if caps(i + 1) and gap(i + 1) == ", ":
@@ -275,39 +377,50 @@ class Finder:
 
     def _cued(self, text: str, words: list, i: int) -> bool:
         """A cue or a learned context stands before word i."""
-        before = text[max(0, words[i].start() - 40) : words[i].start()].lower()
-        if any(before.endswith(c + " ") for c in CUES):
-            return True
-        m = re.search(r"(\S+ )?(\S+) $", before)
-        return bool(m) and (m.group().strip() in self.lexicon.before)
+        before = _context(text, words[i].start())
+        return any(before.endswith(c) for c in CUES) or before in self.lexicon.before
 
     def _goes_on(self, text: str, words: list, k: int) -> bool:
         """Nothing follows word k, or punctuation, or a word that follows names."""
-        rest = text[words[k].end() :]
-        m = re.match(r" ([^\W\d_]+)", rest)
+        m = FOLLOWS.match(text, words[k].end())
         return not m or m.group(1).lower() in self.lexicon.after
 
     def _slot(self, text: str, words: list, i: int, k: int, whole: bool) -> bool:
-        alone = not text[: words[i].start()].strip() and not text[words[k].end() :].strip()
-        followed = bool(re.match(r" [^\W\d_]", text[words[k].end() :])) and self._goes_on(text, words, k)
-        return whole and alone or self._cued(text, words, i) or followed
+        followed = bool(FOLLOWS.match(text, words[k].end())) and self._goes_on(text, words, k)
+        return whole and _alone(text, words, i, k) or self._cued(text, words, i) or followed
+
+
+def _alone(text: str, words: list, i: int, k: int) -> bool:
+    """Words i to k are all that the text holds."""
+    return i == 0 and not text[: words[i].start()].strip() and not text[words[k].end() :].strip()
+
+
+def _context(text: str, a: int) -> str:
+    """The two words before ``a``, or one, in small letters."""
+    left = _words_left(text, a, 2)
+    return text[left[-1] : a - 1].lower() if left else ""
 
 
 def _without_overlaps(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """In order of their places; of two that overlap, the more specific kind, then the one that begins first, then the longer one."""
     kept: list[tuple[int, int, str]] = []
-    for a, b, kind in sorted(found, key=lambda s: (KINDS.index(s[2]), s[0], -s[1])):
-        if not any(a < y and x < b for x, y, _ in kept):
-            kept.append((a, b, kind))
+    for one in sorted(set(found), key=lambda s: (KINDS.index(s[2]), s[0], -s[1])):
+        i = bisect_left(kept, one)
+        if (i == 0 or kept[i - 1][1] <= one[0]) and (i == len(kept) or one[1] <= kept[i][0]):
+            kept.insert(i, one)
     return kept
 
 
 def evidence(text: str, given: set[str], family: set[str]) -> list[tuple[str, str]]:
     """What one text tells about names: (sort, word)."""
-    low = _low(text)
-    emails = [e for at in AT for m in re.finditer(re.escape(at), low) if (e := _email(text, m.start(), m.end()))]
-    free = lambda m: not any(a < m.end() and m.start() < b for a, b in emails) and not GLUED.search(text, max(0, m.start() - 1), m.start())
-    out = [("plain", m.group()) for m in TOKEN.finditer(text) if m.group().islower() and free(m)]
-    words = list(TOKEN.finditer(text))
+    low, out = _low(text), []
+    emails = sorted(e for at in AT for m in re.finditer(re.escape(at), low) if (e := _email(text, m.start(), m.end())))
+    words, k = list(TOKEN.finditer(text)), 0
+    for m in words:
+        while k < len(emails) and emails[k][1] <= m.start():
+            k += 1
+        if m.group().islower() and (k == len(emails) or m.end() <= emails[k][0]) and not GLUED.search(text, max(0, m.start() - 1), m.start()):
+            out.append(("plain", m.group()))
     for i, m in enumerate(words):
         w, low = m.group(), m.group().lower()
         if not w[0].isupper():
@@ -328,17 +441,21 @@ def evidence(text: str, given: set[str], family: set[str]) -> list[tuple[str, st
         if low in given:
             out.append(("family", second))
         if low in given and second in family:
-            if n := re.match(r" ([^\W\d_]+)", text[words[k].end() :]):
+            if n := FOLLOWS.match(text, words[k].end()):
                 out.append(("after", n.group(1).lower()))
-            if b := re.search(r"(?:^|[.!?] )((?:\S+ )?\S+) $", text[: m.start()]):
-                out.append(("before", b.group(1).lower()))
+            # what opens the text or a sentence
+            for j in reversed(_words_left(text, m.start(), 2)):
+                if j == 0 or text[j - 2 : j] in (". ", "! ", "? "):
+                    out.append(("before", text[j : m.start() - 1].lower()))
+                    break
     return out
 
 
-def learn(history: DataFrame, name_list: DataFrame) -> Lexicon:
-    """The given names completed from the texts. The list is the stated set of known names; all rows give evidence."""
-    rows = name_list.filter("name is not null").select(F.lower("name").alias("n"), "role").distinct().collect()
-    given, family = {r["n"] for r in rows if r["role"] == "given"}, {r["n"] for r in rows if r["role"] != "given"}
+def learn(history: DataFrame, name_list: DataFrame) -> DataFrame:
+    """sort (given, family, after, before, plain), word: the lexicon. The list is the stated, fixed set of known names; all rows give evidence."""
+    listed = name_list.filter("name is not null").select(F.when(F.col("role") == "given", "given").otherwise("family").alias("sort"), F.lower("name").alias("word")).distinct()
+    rows = listed.collect()
+    given, family = ({r["word"] for r in rows if r["sort"] == s} for s in ("given", "family"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -351,12 +468,62 @@ def learn(history: DataFrame, name_list: DataFrame) -> Lexicon:
     texts = history.select(F.explode(F.concat(F.array("title", "summary"), F.coalesce("entities", F.array().cast("array<string>")))).alias("text")).filter("text is not null")
     counts = texts.mapInPandas(run, "sort string, word string, n long").groupBy("sort", "word").agg(F.sum("n").alias("n"))
     least = F.coalesce(F.create_map(*[F.lit(x) for kv in EVIDENCE.items() for x in kv])[F.col("sort")], F.lit(1))
-    counts = cut(counts.filter(F.col("n") >= least).select("sort", "word"), "evidence")
-    capital = counts.filter("sort = 'capital'").select("word")
-    kept = counts.filter("sort not in ('capital', 'plain')").unionByName(counts.filter("sort = 'plain'").join(capital, "word", "left_semi").select("sort", "word")).collect()
-    by = {s: {r["word"] for r in kept if r["sort"] == s} for s in ("given", "family", "after", "before", "plain")}
-    plain = by["plain"]
-    return Lexicon(given | by["given"] - plain, family | by["family"] - plain, by["after"], by["before"], plain)
+    sorts = counts.filter(F.col("n") >= least).groupBy("word").agg(F.collect_set("sort").alias("sorts"))  # at most six of them
+    has = lambda x: F.array_contains("sorts", x)
+    plain = has("plain") & has("capital")
+    kept = F.filter("sorts", lambda x: F.when(x == "plain", plain).when(x.isin("given", "family"), ~plain).otherwise(x != "capital"))
+    return cut(sorts.select(F.explode(kept).alias("sort"), "word").unionByName(listed).distinct(), "lexicon")
+
+
+def asked_words(text: str) -> set[str]:
+    """Every word and context that the finder may look up for one text."""
+    out = set()
+    for m in TOKEN.finditer(text):
+        low = m.group().lower()
+        out |= {low, re.split(r"['’\-]", low, maxsplit=1)[0]}
+        if m.group()[0].isupper():
+            out.add(_context(text, m.start()))
+    return out
+
+
+def with_lexicon(history: DataFrame, words: DataFrame) -> DataFrame:
+    """``history`` with ``_lexicon``: the rows of ``words`` that the texts of each row ask for. Hot words and hot (repeated) rows are not shuffled."""
+    history = history.withColumn("_row", F.sha2(F.to_json(F.struct(*FIELDS)), 256))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                asked = {w for name in FIELDS for t in _texts(getattr(row, name)) if isinstance(t, str) for w in asked_words(t)}
+                rows += [(row.row, w) for w in asked]
+            yield pd.DataFrame(rows, columns=["row", "word"])
+
+    distinct = history.select(F.col("_row").alias("row"), *FIELDS).dropDuplicates(["row"])
+    asked = cut(distinct.mapInPandas(run, "row string, word string"), "asked")
+    known = words.groupBy("word").agg(F.collect_set("sort").alias("sorts"))
+    hits = lookup(asked, known, "word", heavy_keys(asked, "word")).filter("sorts is not null")
+    per_row = cut(hits.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("word", "sorts")).alias("_lexicon")), "lexicons")
+    return lookup(history, per_row, "_row", heavy_keys(history, "_row")).drop("_row")
+
+
+def lexicon_of(rows) -> Lexicon:
+    """From pairs of a word and its sorts."""
+    out = Lexicon()
+    for word, sorts in rows:
+        for sort in sorts:
+            getattr(out, sort).add(word)
+    return out
+
+
+def prepared(history: DataFrame, words: DataFrame, bound: int) -> tuple[DataFrame, Lexicon | None]:
+    """The rows and the lexicon for all tasks, or rows that bring their own and None, if it has more than ``bound`` rows."""
+    if words.count() <= bound:
+        return history.withColumn("_lexicon", F.lit(None).cast("array<struct<word:string,sorts:array<string>>>")), lexicon_of((r["word"], [r["sort"]]) for r in words.collect())
+    return with_lexicon(history, words), None
+
+
+def _own(value) -> Lexicon:
+    return lexicon_of((x["word"], x["sorts"]) for x in (value if value is not None else ()))
 
 
 def _texts(value) -> list:
@@ -369,36 +536,40 @@ def redacted(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
     return text
 
 
-def occurrences(history: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """id, field, kind, nth of every occurrence."""
+def occurrences(history: DataFrame, words: DataFrame, bound: int = LEXICON_WORDS) -> DataFrame:
+    """id, field, kind, nth of every occurrence; ``words`` is the lexicon."""
+    rows, lexicon = prepared(history.select("id", *FIELDS).filter("id is not null"), words, bound)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(lexicon)
         for batch in batches:
             rows = []
-            for row in batch.itertuples(index=False):
-                for name in FIELDS:
-                    value, count = getattr(row, name), {}
+            for i, own, *values in zip(batch["id"], batch["_lexicon"], *(batch[name] for name in FIELDS)):
+                own = _own(own) if lexicon is None else None
+                for name, value in zip(FIELDS, values):
+                    count = {}
                     for text in _texts(value):
-                        for _, _, kind in finder.find(text, name == "entities") if isinstance(text, str) else ():
+                        for _, _, kind in finder.find(text, name == "entities", own) if isinstance(text, str) else ():
                             count[kind] = count.get(kind, 0) + 1
-                            rows.append((row.id, name, kind, count[kind]))
+                            rows.append((i, name, kind, count[kind]))
             yield pd.DataFrame(rows, columns=["id", "field", "kind", "nth"])
 
-    return history.select("id", *FIELDS).filter("id is not null").mapInPandas(run, "id string, field string, kind string, nth int").distinct()
+    return rows.mapInPandas(run, "id string, field string, kind string, nth int").distinct()
 
 
-def redact(history: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``history`` with typed placeholders in title, summary and entities, else unchanged."""
+def redact(history: DataFrame, words: DataFrame, bound: int = LEXICON_WORDS) -> DataFrame:
+    """``history`` with typed placeholders in title, summary and entities, else unchanged; ``words`` is the lexicon."""
     columns = history.columns
+    rows, lexicon = prepared(history, words, bound)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(lexicon)
-        clean = lambda t, whole: redacted(t, finder.find(t, whole)) if isinstance(t, str) else None
+        clean = lambda t, whole, own: redacted(t, finder.find(t, whole, own)) if isinstance(t, str) else None
         for batch in batches:
-            batch["title"] = [clean(t, False) for t in batch["title"]]
-            batch["summary"] = [clean(t, False) for t in batch["summary"]]
-            batch["entities"] = [None if e is None else [clean(t, True) for t in e] for e in batch["entities"]]
+            own = [_own(x) if lexicon is None else None for x in batch["_lexicon"]]
+            batch["title"] = [clean(t, False, o) for t, o in zip(batch["title"], own)]
+            batch["summary"] = [clean(t, False, o) for t, o in zip(batch["summary"], own)]
+            batch["entities"] = [None if e is None else [clean(t, True, o) for t in e] for e, o in zip(batch["entities"], own)]
             yield batch[columns]
 
-    return history.mapInPandas(run, history.schema)
+    return rows.mapInPandas(run, history.schema)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from sedgemill.llm import pii as P
@@ -88,14 +90,17 @@ def test_tables(spark):
         ("b", None, "Urla approved it. Norno Kelmsson approved it. Norno Kelmsson approved that.", None, 1), ("c", "", "", [], 1),
     ]
     history = spark.createDataFrame(rows, "id string, title string, summary string, entities array<string>, nth int")
-    lexicon = P.learn(history, names)
+    words = P.learn(history, names)
+    lexicon = P.lexicon_of((r["word"], [r["sort"]]) for r in words.collect())
     assert "urla" in lexicon.given and lexicon.after == {"approved"}
-    got = sorted(map(tuple, P.occurrences(history, lexicon).collect()))
+    got = sorted(map(tuple, P.occurrences(history, words).collect()))
+    assert sorted(map(tuple, P.occurrences(history, words, bound=0).collect())) == got
     assert got == [
         ("a", "entities", "email", 1), ("a", "entities", "name", 1), ("a", "summary", "email", 1), ("a", "summary", "email", 2), ("a", "title", "phone", 1),
         ("b", "summary", "name", 1), ("b", "summary", "name", 2), ("b", "summary", "name", 3),
     ]
-    clean = {r["id"]: r for r in P.redact(history, lexicon).collect()}
+    clean = {r["id"]: r for r in P.redact(history, words).collect()}
+    assert {r["id"]: r for r in P.redact(history, words, bound=0).collect()} == clean
     assert clean["a"]["summary"] == "Mail [EMAIL] and [EMAIL]." and clean["a"]["entities"] == ["[NAME]", None, "[EMAIL]"] and clean["a"]["nth"] == 1
     assert clean["b"]["title"] is None and clean["b"]["entities"] is None and clean["c"]["entities"] == []
     assert P.occurrences(history.limit(0), P.learn(history.limit(0), names.limit(0))).count() == 0
@@ -106,5 +111,34 @@ def test_rare_evidence_counts_in_large_data(spark):
     names = spark.createDataFrame([("Norno", "given"), ("Kelmsson", "family")], "name string, role string")
     rows = [("a", "the satchel", "Satchel open. Urla Kelmsson left. Norno Zolfeth met. never capital", ["x"])]
     many = spark.range(600).selectExpr("string(id) as id", "repeat('word ', 2000) as title", "'' as summary", "array('Norno Kelmsson') as entities")
-    lexicon = P.learn(spark.createDataFrame(rows, "id string, title string, summary string, entities array<string>").unionByName(many), names)
+    words = P.learn(spark.createDataFrame(rows, "id string, title string, summary string, entities array<string>").unionByName(many), names)
+    lexicon = P.lexicon_of((r["word"], [r["sort"]]) for r in words.collect())
     assert "satchel" in lexicon.plain and "urla" in lexicon.given and "zolfeth" in lexicon.family and "never" not in lexicon.plain
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("see https://user:pw@host.example.com/x?y now", []), ("see https://host.example/?mail=z@ostwick.test now", [("z@ostwick.test", "email")]), ("ftp://z@ostwick.test", []),
+        ("pay to DE89 3704 0044 0532 0130 00 today", [("DE89 3704 0044 0532 0130 00", "id_number")]), ("GB29NWBK60161331926819.", [("GB29NWBK60161331926819", "id_number")]), ("card 4111 1111 1111 1111,", [("4111 1111 1111 1111", "id_number")]),
+        ("build 4111 1111 1111 1112,", []), ("code DE89 3704 0044 0532 0130 01", []),
+    ],
+)
+def test_schemes_and_accounts(text, want):
+    assert kinds(text) == want
+
+
+def test_an_address_is_expanded_at_its_street_word_only():
+    assert kinds("The street was long. Ship to 340 West Damson Avenue, then (Harrowweg 364) or Larkenstraße 99a.") == [("340 West Damson Avenue", "address"), ("Harrowweg 364", "address"), ("Larkenstraße 99a", "address")]
+    assert kinds("12 Long Names Here And Street") == []
+
+
+@pytest.mark.parametrize("part", ["a@b.test ", "Norno Kelmsson ", "street ", "12 West Street ", "Dr. ", "https://", "a.", "DE89 ", "1234 ", "x@", "Calle "])
+def test_long_texts_take_linear_time(part):
+    times = []
+    for n in (1_000, 4_000):
+        began = time.time()
+        FIND.find(part * n)
+        P.evidence(part * n, LEX.given, LEX.family)
+        times.append(time.time() - began)
+    assert times[1] < 10 * times[0] + 0.5
