@@ -3,11 +3,12 @@
 Method: structure (blank lines, fenced blocks, list and role marks) gives hard limits; within them every terminator gives a
 candidate boundary, which a maximum-entropy classifier accepts or refuses by its neighbouring tokens, their case, length, digits
 and script. It is trained on reliable boundaries only: a terminator at the end of a block is one, a terminator before a small
-letter or a comma, or after a token that is never seen at the end of a block (counted over all documents), is none.
+letter or a comma, or after a token that is never seen at the end of a block (counted over all documents), is none. A blank between two
+Thai letters is a candidate too, reliable by whether a conjunction follows.
 
 1. ``candidates``: all documents -> counts of all candidates by token type, features of a share of them with what is sure about each;
-2. ``silent_types``: token types that never end a block, from counts over all candidates;
-3. ``train``: weights from at most SAMPLE labelled candidates, the first ones in the order of a hash;
+2. ``silent_types``: token types that never end a block, from counts over all candidates, in a filter of fixed size;
+3. ``train``: weights from at most SAMPLE labelled candidates, the first ones in the order of a hash, a quarter of them at most Thai blanks;
 4. ``sentence_units``: all documents -> units.
 
 Defined results: null and blank texts have no units; a text without any terminator is one unit per block; repeated rows give
@@ -20,7 +21,7 @@ import functools
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ SAMPLE = 40_000
 SPACE = 1 << 16
 #: A token type is silent if it has at least this many candidates, for any number of documents, and hardly ever ends a block.
 SILENT_LEAST, SILENT_RATE = 25, 0.004
+#: Places of the filter of silent types, whatever their number: 2 MB at most, and one type in a hundred meets another at 160,000 of them.
+SILENT_PLACES = 1 << 24
 
 # Marks, and abbreviations by what may follow them.
 TERMINATORS = ".!?…。！？｡।॥؟۔"
@@ -50,6 +53,7 @@ FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})")
 LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|$)")
 RUN = re.compile("[" + re.escape(TERMINATORS) + "]+")
 THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])[  ]+(?=[ก-ฺเ-๎])")
+CLOSING = re.compile("[" + re.escape(CLOSERS) + " \u00a0\u202f]*")
 ENCLOSING = re.compile("[" + re.escape("".join([*OPENERS, *CLOSERS])) + "]")
 DIGITS = re.compile(r"\d+")
 BLANK = re.compile(r"\s")
@@ -88,25 +92,36 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
 
 
 def pairs(s: str) -> list[tuple[int, int]]:
-    """Outermost quotes and brackets that are closed within ``s``: first and last position."""
-    open_, done = [], []
+    """Outermost quotes and brackets that are closed within ``s``: first and last position. Each mark is put on and taken off once."""
+    open_: list[int] = []  # places of open marks
+    by_mark: dict[str, list[int]] = {}  # for each closing mark, which of them it would close
+    done: list[tuple[int, int]] = []
+
+    def opens(i: int, closing: str) -> None:
+        by_mark.setdefault(closing, []).append(len(open_))
+        open_.append(i)
+
+    def closes(i: int, c: str) -> bool:
+        if not by_mark.get(c):
+            return False
+        k = by_mark[c][-1]
+        done.append((open_[k], i))
+        del open_[k:]
+        for places in by_mark.values():
+            while places and places[-1] >= k:
+                places.pop()
+        return True
+
     for m in ENCLOSING.finditer(s):
         i, c = m.start(), m.group()
         if c == '"':
-            j = next((k for k in range(len(open_) - 1, -1, -1) if s[open_[k]] == '"'), None)
             before = s[i - 1] if i else " "
-            if j is not None and not (before.isspace() and i + 1 < len(s) and not s[i + 1].isspace()):
-                done.append((open_[j], i))
-                del open_[j:]
+            if by_mark.get(c) and not (before.isspace() and i + 1 < len(s) and not s[i + 1].isspace()):
+                closes(i, c)
             elif before.isspace() or not before.isalnum():
-                open_.append(i)
-            continue
-        j = next((k for k in range(len(open_) - 1, -1, -1) if OPENERS.get(s[open_[k]]) == c), None)
-        if j is not None:
-            done.append((open_[j], i))
-            del open_[j:]
-        elif c in OPENERS:
-            open_.append(i)
+                opens(i, c)
+        elif not closes(i, c) and c in OPENERS:
+            opens(i, OPENERS[c])
     outer: list[tuple[int, int]] = []
     for a, b in sorted(done):
         if not outer or a > outer[-1][1]:
@@ -170,7 +185,7 @@ class Candidate:
     kind: str  # token type that the counts go by, empty for marks that are never part of a token
     sure: bool | None  # what is reliable about it
     last: bool  # the block ends here
-    words: tuple[str, str] | None = None  # the two tokens before; None where no decision is to be made
+    words: tuple[str, str] = ("", "")  # the two tokens before
     run: str = ""
     tail: str = ""
     pair: str = ""
@@ -180,6 +195,8 @@ class Candidate:
 
     def names(self) -> list[str]:
         """Features of the classifier."""
+        if not self.run:
+            return ["thai", *self.extra]
         _, word = self.words
         mark = "." if self.run[0] == "." else self.run[-1]
         head, follow, kind = shape(self.nxt), plain(self.nxt)[:12], self.kind
@@ -226,13 +243,15 @@ def scan(text: str) -> Iterator[tuple[int, int, list[Candidate]]]:
                     continue  # dots of omission alone end nothing
                 pair = opened = tail = ""
                 if inside:
-                    q = outer[p][1]
-                    if s[b:q].strip(CLOSERS + "   "):
+                    x, y = outer[p]
+                    if b < y and CLOSING.match(s, b, y).end() < y:
                         continue  # within a quotation or bracket
-                    before = s[: outer[p][0]].rstrip()
-                    pair, tail = s[outer[p][0]], s[q]
-                    opened = "start" if len(before) <= lead or before[-1] in TERMINATORS + CLOSERS else "colon" if before[-1] in ":：," else "mid"
-                    b = q + 1
+                    before = x
+                    while before > lead and s[before - 1].isspace():
+                        before -= 1
+                    pair, tail = s[x], s[y]
+                    opened = "start" if before <= lead or s[before - 1] in TERMINATORS + CLOSERS else "colon" if s[before - 1] in ":：," else "mid"
+                    b = y + 1
                 if b < len(s) and not s[b].isspace():
                     if pair or run[-1] not in "。！？｡।॥؟۔" or s[b] in CLOSERS + "，、；：,;:":
                         continue
@@ -253,9 +272,13 @@ def scan(text: str) -> Iterator[tuple[int, int, list[Candidate]]]:
                 if goes_on and not last:
                     extra += ("goes on",)
                 found.append(Candidate(b, kind, sure, last, words, run, tail, pair, opened, nxt, extra))
+            q = 0
             for m in THAI_GAP.finditer(s, lead):
-                if not s.startswith(THAI_JOINS, m.end()) and not any(x < m.start() < y for x, y in outer):
-                    found.append(Candidate(m.start(), "", True, False))
+                while q < len(outer) and outer[q][1] < m.start():
+                    q += 1
+                if q == len(outer) or m.start() < outer[q][0]:
+                    joined = s.startswith(THAI_JOINS, m.end())
+                    found.append(Candidate(m.start(), "", not joined, False, extra=("thai joined" if joined else "thai apart",)))
             found.sort(key=lambda c: c.end)
         yield start, start + len(s), found
 
@@ -265,6 +288,12 @@ def slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % SPACE
 
 
+@functools.lru_cache(maxsize=1 << 17)
+def place(kind: str) -> int:
+    """Where a token type stands in the filter of silent types; ``F.crc32`` gives the same."""
+    return zlib.crc32(kind.encode("utf-8", "surrogatepass")) % SILENT_PLACES
+
+
 def hashed(names: list[str]) -> list[int]:
     return [slot(x) for x in names]
 
@@ -272,12 +301,16 @@ def hashed(names: list[str]) -> list[int]:
 @dataclass
 class Model:
     weights: list[float]
-    silent: set[str] = field(default_factory=set)
+    silent: bytes = b""  # one bit for each place
+
+    def is_silent(self, kind: str) -> bool:
+        if not self.silent or not kind:
+            return False
+        k = place(kind)
+        return bool(self.silent[k >> 3] >> (k & 7) & 1)
 
     def accepts(self, c: Candidate) -> bool:
-        if c.words is None:
-            return True
-        names = c.names() + ["silent"] * (c.kind in self.silent)
+        names = c.names() + ["silent"] * self.is_silent(c.kind)
         w = self.weights
         return sum(w[slot(x)] for x in names) > 0
 
@@ -310,8 +343,6 @@ def candidates(documents: DataFrame, share: float = 1.0) -> DataFrame:
                 for start, _, found in scan(text):
                     key = zlib.crc32(text[start : start + 200].encode("utf-8", "surrogatepass"))
                     for c in found:
-                        if c.words is None:
-                            continue
                         n = counts.setdefault(c.kind, [0, 0])
                         n[0] += 1
                         n[1] += c.last
@@ -324,12 +355,18 @@ def candidates(documents: DataFrame, share: float = 1.0) -> DataFrame:
     return spread(documents.select("text").filter("text is not null")).mapInPandas(run, "kind string, n long, ends long, names array<int>, sure boolean, last boolean, order_key long")
 
 
-def silent_types(found: DataFrame) -> set[str]:
-    """Types that hardly ever end a block."""
-    counts = found.filter("names is null").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-    counts = counts.filter("kind <> ''")
-    rows = counts.filter((F.col("n") >= SILENT_LEAST) & (F.col("ends") <= SILENT_RATE * F.col("n")))
-    return {r["kind"] for r in rows.select("kind").collect()}
+def silent_types(found: DataFrame) -> DataFrame:
+    """kind of the types that hardly ever end a block."""
+    counts = found.filter("names is null and kind <> ''").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    return counts.filter((F.col("n") >= SILENT_LEAST) & (F.col("ends") <= SILENT_RATE * F.col("n"))).select("kind")
+
+
+def silent_filter(kinds: DataFrame) -> bytes:
+    """One bit for each of SILENT_PLACES; at most so many numbers, and no words, reach the driver."""
+    rows = kinds.select(F.pmod(F.crc32(F.encode("kind", "UTF-8")), F.lit(SILENT_PLACES)).cast("int").alias("k")).distinct().toPandas()
+    bits = np.zeros(SILENT_PLACES, np.uint8)
+    bits[rows["k"].to_numpy()] = 1
+    return np.packbits(bits, bitorder="little").tobytes() if len(rows) else b""
 
 
 def fit(names: list[np.ndarray], labels: np.ndarray, rounds: int = 60, penalty: float = 1e-5) -> np.ndarray:
@@ -353,16 +390,19 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
     chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
     # about one candidate in forty characters; several times the sample, as not all are labelled
     found = cut(candidates(documents, min(1.0, 6 * sample * 40 / max(1, chars))), "candidates")
-    silent = silent_types(found)
-    kinds = found.sparkSession.createDataFrame([(k, True) for k in sorted(silent)], "kind string, quiet boolean")
-    found = found.filter("names is not null").join(kinds, "kind", "left")
-    quiet = F.coalesce("quiet", F.lit(False))
-    sure = F.when(quiet & ~F.col("last"), False).otherwise(F.col("sure"))
-    labelled = found.select(F.col("names"), sure.alias("sure"), quiet.alias("quiet"), "order_key").filter("sure is not null")
-    rows = labelled.orderBy("order_key", F.hash("names")).limit(sample).collect()
+    silent = silent_filter(silent_types(found))
+    model = Model([], silent)
+    rows = []
+    features = found.filter("names is not null").withColumn("thai", (F.col("kind") == "") & F.array_contains("names", slot("thai")))
+    sure = F.col("sure").isNotNull() | ~F.col("last")
+    for thai, most in ((True, sample // 4), (False, sample - sample // 4)):
+        # twice the share at first: what is unsure about a type that is not silent drops out
+        some = features.filter((F.col("thai") == thai) & sure).orderBy("order_key", F.hash("names")).limit(2 * most).select("kind", "names", "sure", "last").collect()
+        labelled = [(r, False if model.is_silent(r["kind"]) and not r["last"] else r["sure"]) for r in some]
+        rows += [(r, label) for r, label in labelled if label is not None][:most]
     extra = hashed(["silent"])
-    names = [np.array(list(r["names"]) + extra * bool(r["quiet"])) for r in rows]
-    return Model(fit(names, np.array([float(r["sure"]) for r in rows])).tolist(), silent)
+    names = [np.array(list(r["names"]) + extra * model.is_silent(r["kind"])) for r, _ in rows]
+    return Model(fit(names, np.array([float(label) for _, label in rows])).tolist(), silent)
 
 
 def sentence_units(documents: DataFrame, model: Model | None = None) -> DataFrame:

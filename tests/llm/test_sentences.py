@@ -1,5 +1,7 @@
 import os
 
+import time
+
 import pytest
 
 from sedgemill.llm import sentences as S
@@ -82,8 +84,8 @@ def test_held_out_boundaries(spark):
     for r in docs.filter("doc_id % 3 = 0 and text is not null").select("text").collect():
         for _, _, found in S.scan(r["text"]):
             for c in found:
-                sure = False if c.kind in model.silent and not c.last else c.sure
-                if c.words is not None and sure is not None:
+                sure = False if model.is_silent(c.kind) and not c.last else c.sure
+                if sure is not None:
                     n += 1
                     right += model.accepts(c) == sure
     assert n > 2000 and right / n > 0.98
@@ -98,4 +100,21 @@ def test_table(spark, model):
 def test_silent_types_do_not_depend_on_the_size(spark):
     rows = [("vgl", 25, 0), ("end", 3_000_000, 3_000_000), ("rare", 24, 0), ("", 50, 0)]
     found = spark.createDataFrame([(k, n, e, None) for k, n, e in rows], "kind string, n long, ends long, names array<int>")
-    assert S.silent_types(found) == {"vgl"}
+    silent = S.silent_types(found)
+    assert [r["kind"] for r in silent.collect()] == ["vgl"]
+    model = S.Model([], S.silent_filter(silent))
+    assert model.is_silent("vgl") and not model.is_silent("end") and not model.is_silent("") and not S.Model([]).is_silent("vgl")
+    words = spark.createDataFrame([("abb",), ("с",), ("ص",), ("ing 9",)], "kind string")
+    assert all(S.Model([], S.silent_filter(words)).is_silent(r["kind"]) for r in words.collect())
+
+
+@pytest.mark.parametrize("text", ["(" * 100_000, "(]" * 50_000, "(“„«" * 30_000, '" ' * 50_000, "(a. " * 30_000 + ")" * 30_000, "“a.” " * 20_000, "ก ข " * 30_000, "((ก ข. " * 20_000])
+def test_marks_take_linear_time(model, text):
+    began = time.time()
+    S.units(text, model)
+    assert time.time() - began < 10
+
+
+def test_thai_blanks_are_classified(model):
+    gaps = [c for _, _, found in S.scan("ใครเป็นคนเปิดแฟ้มนี้ ผู้ใช้เปิดเอกสารได้ แต่แก้ไขไม่ได้") for c in found]
+    assert [(c.sure, model.accepts(c)) for c in gaps] == [(True, True), (False, False)]
