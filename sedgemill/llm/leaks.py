@@ -2,15 +2,17 @@
 
 Method: an FM-index per shard of the corpus. Each task takes its documents in shards of SHARD_CHARS characters, maps the words that
 occur in test items to numbers (all other words are gaps), sorts the suffixes, and keeps the Burrows-Wheeler transform in a
-wavelet matrix with sampled suffix positions. All phrases of the test items are searched backward at once and located. Occurrences
-on one diagonal (same document, same part of an item, same offset) are counted and then verified word by word.
+wavelet matrix with sampled suffix positions. All phrases of the test items are searched backward at once, counted, and located. Rare
+phrases give diagonals (same document, same part of an item, same offset); a phrase that stands in many places of both sides gives one only
+together with two more words at the same distance in both (``paired``), so that stock phrases are not multiplied out. Diagonals are then verified word by word.
 
 A document leaks an item if it holds, of one part of it, at least RUN consecutive words, or at least NEAR consecutive words of
 which at most one in ODD is replaced; of an item in Chinese, ZH_RUN consecutive characters. Phrases of four words are enough to lose
 none: with m replaced words in L >= 20, m <= L / 6, a diagonal has at least L - 4 m - 3 >= 5 phrases that match.
 
 Only words count: case, punctuation, mark-up, underscores and line breaks do not. Sentences that open several texts which
-differ afterwards (standing instructions) belong to no item; shared sentences elsewhere do. Test items are the stated query set; they reach the tasks in blocks of ITEM_CHARS characters.
+differ afterwards (standing instructions) belong to no item; shared sentences elsewhere do. Test items are the stated query set; they reach the
+driver and the tasks in blocks of ITEM_CHARS characters, and each shard is indexed once for all blocks.
 
 Defined results: null or blank texts leak nothing; null or short items are never leaked; repeated rows give one case; no items
 or no documents give no rows; a text longer than a shard is a shard of its own; extra columns are ignored.
@@ -33,6 +35,10 @@ from sedgemill.session import cut, spread
 
 RUN, NEAR, ODD, ZH_RUN, PHRASE, SHARED = 12, 20, 6, 20, 4, 3
 SHARD_CHARS, ITEM_CHARS = 3_000_000, 20_000_000
+#: A phrase is multiplied out only if it occurs at most so often in the shard, or has at most so many places in the items.
+COMMON = 64
+#: Words that a passage need not exceed to be found: of a longer one that is within the threshold, one half is too.
+REACH = 2 * NEAR
 WORD = re.compile(r"[^\W_]+")
 CHAR = re.compile(r"[^\W_]")
 HAN = re.compile(r"[㐀-鿿]")
@@ -139,9 +145,8 @@ class FmIndex:
 
 @dataclass
 class Phrases:
-    """Of one kind of token: vocabulary, the parts of items, their phrases."""
+    """Of one kind of token and one block of items: their parts and the phrases of these. Tokens are numbered alike in all blocks."""
 
-    ids: dict[str, int]
     items: np.ndarray  # item of each part
     parts: list[np.ndarray]
     grams: np.ndarray  # distinct phrases
@@ -150,11 +155,11 @@ class Phrases:
     first: np.ndarray  # of each phrase, its first place; one more at the end
 
 
-def phrases(parts: list[tuple[int, list[str]]], size: int) -> Phrases | None:
+def phrases(parts: list[tuple[int, list[str]]], size: int, ids: dict[str, int]) -> Phrases | None:
+    """``ids`` takes up the tokens of the parts."""
     parts = [p for p in parts if len(p[1]) >= size]
     if not parts:
         return None
-    ids: dict[str, int] = {}
     coded = [np.array([ids.setdefault(t, len(ids) + 1) for t in tokens], np.int64) for _, tokens in parts]
     grams = np.concatenate([np.lib.stride_tricks.sliding_window_view(c, size) for c in coded])
     part = np.concatenate([np.full(len(c) - size + 1, k) for k, c in enumerate(coded)])
@@ -162,7 +167,7 @@ def phrases(parts: list[tuple[int, list[str]]], size: int) -> Phrases | None:
     distinct, which = np.unique(grams, axis=0, return_inverse=True)
     by = np.argsort(which.ravel(), kind="stable")
     first = np.r_[0, np.cumsum(np.bincount(which.ravel()))]
-    return Phrases(ids, np.array([p[0] for p in parts]), coded, distinct, part[by], offset[by], first)
+    return Phrases(np.array([p[0] for p in parts]), coded, distinct, part[by], offset[by], first)
 
 
 def item_parts(rows: list) -> tuple[list, list]:
@@ -213,57 +218,141 @@ def verified(doc: np.ndarray, item: np.ndarray, shift: int, run: int, near: int)
     """First and last word in the document of what it holds of the item on this diagonal, or None."""
     a, b = max(0, shift), min(len(doc), len(item) + shift)
     same = doc[a:b] == item[a - shift : b - shift]
-    hold = np.zeros(len(same), bool)
+    hold = []
     edges = np.flatnonzero(np.diff(np.r_[0, same.astype(np.int8), 0]))
-    for x, y in zip(edges[::2], edges[1::2]):
-        if y - x >= run:
-            hold[x:y] = True
+    long = np.flatnonzero(edges[1::2] - edges[::2] >= run)
+    if len(long):
+        hold += [int(edges[2 * long[0]]), int(edges[2 * long[-1] + 1]) - 1]
     if near and len(same) >= near:
         score = np.r_[0, np.cumsum(np.where(same, 1, 1 - ODD))]
-        for y in range(near, len(score)):
-            good = np.flatnonzero(score[y] >= score[: y - near + 1])
-            if len(good):
-                hold[good[0] : y] = True
-    at = np.flatnonzero(hold)
-    return (a + int(at[0]), a + int(at[-1])) if len(at) else None
-
-
-def search_shard(texts: list[str], p: Phrases, token: re.Pattern, run: int, near: int, least: int) -> list[tuple[int, int, int, int]]:
+        # for each end the first start from which the words in between are within the threshold: the first prefix that is no greater
+        least = np.minimum.accumulate(score)
+        first = np.searchsorted(-least, -score, side="left")
+        good = np.flatnonzero(np.arange(len(score)) - first >= near)
+        if len(good):
+            hold += [int(first[good].min()), int(good[-1]) - 1]
+    return (a + min(hold), a + max(hold)) if hold else None
+
+
+class Shard:
+    """The documents of one shard as numbers of known tokens, and their index."""
+
+    def __init__(self, texts: list[str], ids: dict[str, int], token: re.Pattern) -> None:
+        self.texts, self.token, self.spans = texts, token, {}
+        self.coded, symbols, place, owner = [], [], [], []
+        for k, text in enumerate(texts):
+            coded = np.fromiter((ids.get(t, 0) for t in token.findall(text)), np.int64)
+            known = np.flatnonzero(coded)
+            self.coded.append(coded)
+            gap = np.r_[np.diff(known) > 1, True] if len(known) else np.zeros(0, bool)
+            # each known word, and one separator after those that are followed by a gap
+            at = np.repeat(known, 1 + gap)
+            value = coded[at]
+            value[np.cumsum(1 + gap)[gap] - 1] = 0
+            symbols.append(value)
+            place.append(at)
+            owner.append(np.full(len(at), k))
+        self.place, self.owner = np.concatenate(place), np.concatenate(owner)
+        s = np.concatenate(symbols)
+        self.index = FmIndex(s, len(ids) + 1) if len(s) else None
+
+    def span(self, k: int, first: int, last: int) -> tuple[int, int]:
+        """Characters of words ``first`` to ``last`` of text k."""
+        if k not in self.spans:
+            self.spans[k] = [m.span() for m in self.token.finditer(self.texts[k])]
+        return self.spans[k][first][0], self.spans[k][last][1]
+
+
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... n of them, for each pair."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All rows in one array with REACH zeros around each, and where each begins."""
+    gap = np.zeros(REACH + 1, np.int64)
+    begins = np.cumsum([len(gap)] + [len(r) + len(gap) for r in rows[:-1]])
+    return np.concatenate([x for r in rows for x in (gap, r)] + [gap]), begins
+
+
+def paired(shard: Shard, p: Phrases, gram: np.ndarray, pos: np.ndarray, common: np.ndarray, run: int) -> np.ndarray:
+    """Diagonals (text, part, shift) of common phrases that agree in two more words, outside of the stretch of common phrases, within REACH.
+
+    A passage within the thresholds that has only common phrases left has such a pair: at most ``run`` - 1 of its words lie in the stretch of
+    any of them, and of the others more match than there are runs of them. A longer stretch is a case of its own if it is there as a whole.
+    """
+    where = ranges(p.first[:-1][common], (p.first[1:] - p.first[:-1])[common])
+    of = np.repeat(np.flatnonzero(common), (p.first[1:] - p.first[:-1])[common])
+    by = np.lexsort((p.offset[where], p.part[where]))
+    where, of = where[by], of[by]
+    part, offset = p.part[where], p.offset[where]
+    # stretches of places that follow each other
+    new = np.r_[True, (part[1:] != part[:-1]) | (offset[1:] != offset[:-1] + 1)]
+    at, ends = np.cumsum(new) - 1, np.r_[np.flatnonzero(new)[1:], len(new)] - 1
+    size = p.grams.shape[1]
+    low, high = offset[np.flatnonzero(new)][at], offset[ends][at] + size - 1
+    whole = high - low + 1 >= run
+    low, high = np.where(whole, offset, low), np.where(whole, offset + size - 1, high)
+    here = common[gram]
+    gram, pos = gram[here], pos[here]
+    items, item_at = padded(p.parts)
+    docs, doc_at = padded(shard.coded)
+    i0, d0 = item_at[part] + offset, doc_at[shard.owner[pos]] + shard.place[pos]
+    shift = shard.place[pos]
+    base, out = max(int(items.max()), int(docs.max())) + 1, []
+    for delta in range(-REACH, REACH + 1):
+        y = offset + delta
+        one, two = items[i0 + delta], items[i0 + delta + 1]
+        fits = (one > 0) & (two > 0) & ((y + 1 < low) | (y > high))
+        left, right = docs[d0 + delta], docs[d0 + delta + 1]
+        seen = (left > 0) & (right > 0)
+        if not fits.any() or not seen.any():
+            continue
+        pairs, codes = np.unique(np.r_[one[fits] * base + two[fits], left[seen] * base + right[seen]], return_inverse=True)
+        a, b = of[fits] * len(pairs) + codes[: fits.sum()], gram[seen] * len(pairs) + codes[fits.sum() :]
+        order = np.argsort(a, kind="stable")
+        start, stop = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
+        hit = np.flatnonzero(fits)[order][ranges(start, stop - start)]
+        doc = np.repeat(np.flatnonzero(seen), stop - start)
+        out.append(np.unique(np.stack([shard.owner[pos[doc]], part[hit], shift[doc] - offset[hit]], 1), axis=0))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+
+
+def diagonals(shard: Shard, p: Phrases, run: int, near: int, least: int) -> np.ndarray:
+    """text, part, shift of all diagonals that may hold a passage. ``least`` phrases of a passage match."""
+    low, high = shard.index.search(p.grams)
+    n, m = high - low, p.first[1:] - p.first[:-1]
+    gram = np.repeat(np.arange(len(n)), n)
+    pos = shard.index.locate(ranges(low, n))
+    common = (np.minimum(n, m) > COMMON) & bool(near)
+    # every occurrence of a phrase that is not common with every place of it
+    rare = ~common[gram]
+    g = gram[rare]
+    where, at = ranges(p.first[g], m[g]), np.repeat(pos[rare], m[g])
+    hits = np.stack([shard.owner[at], p.part[where], shard.place[at] - p.offset[where]], 1)
+    found, count = np.unique(hits, axis=0, return_counts=True)
+    if not common.any():
+        return found[count >= least]
+    # where common phrases may be part of a passage, fewer of the others are needed
+    of = np.repeat(common, m)
+    need = np.full(len(p.parts), least)
+    for k in np.unique(p.part[of]):
+        flags = np.zeros(len(p.parts[k]) + REACH, np.int64)
+        flags[p.offset[of & (p.part == k)]] = 1
+        total = np.r_[0, np.cumsum(flags)]
+        need[k] = max(1, least - int((total[REACH:] - total[:-REACH]).max()))
+    found = found[count >= need[found[:, 1]]]
+    return np.unique(np.concatenate([found, paired(shard, p, gram, pos, common, run)]), axis=0)
+
+
+def search_shard(shard: Shard, p: Phrases, run: int, near: int, least: int) -> list[tuple[int, int, int, int]]:
     """text, item, start_char, end_char of every verified diagonal in one shard."""
-    coded, symbols, place, owner = [], [], [], []
-    for k, text in enumerate(texts):
-        ids = np.fromiter((p.ids.get(t, 0) for t in token.findall(text)), np.int64)
-        known = np.flatnonzero(ids)
-        coded.append(ids)
-        gap = np.r_[np.diff(known) > 1, True] if len(known) else np.zeros(0, bool)
-        # each known word, and one separator after those that are followed by a gap
-        at = np.repeat(known, 1 + gap)
-        value = ids[at]
-        value[np.cumsum(1 + gap)[gap] - 1] = 0
-        symbols.append(value)
-        place.append(at)
-        owner.append(np.full(len(at), k))
-    s = np.concatenate(symbols) if symbols else np.zeros(0, np.int64)
-    if len(s) <= p.grams.shape[1]:
+    if shard.index is None:
         return []
-    place_, owner_ = np.concatenate(place), np.concatenate(owner)
-    index = FmIndex(s, len(p.ids) + 1)
-    low, high = index.search(p.grams)
-    n = high - low
-    gram = np.repeat(np.arange(len(n)), n)
-    rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    pos = index.locate(rows)
-    # every occurrence with every place of its phrase
-    m = p.first[gram + 1] - p.first[gram]
-    where = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(p.first[gram], m)
-    pos = np.repeat(pos, m)
-    hits = np.stack([owner_[pos], p.part[where], place_[pos] - p.offset[where]], 1)
-    diagonals, count = np.unique(hits, axis=0, return_counts=True)
     found = []
-    for k, part, shift in diagonals[count >= least].tolist():
-        if held := verified(coded[k], p.parts[part], shift, run, near):
-            spans = [m.span() for m in token.finditer(texts[k])]
-            found.append((k, int(p.items[part]), spans[held[0]][0], spans[held[1]][1]))
+    for k, part, shift in diagonals(shard, p, run, near, least).tolist():
+        if held := verified(shard.coded[k], p.parts[part], shift, run, near):
+            found.append((k, int(p.items[part]), *shard.span(k, *held)))
     return found
 
 
@@ -281,32 +370,32 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]
         yield ids, texts
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, item_chars: int = ITEM_CHARS) -> DataFrame:
     """doc_id, item_id, start_char, end_char of every passage of a test item in a document."""
     items = items.select("item_id", "question", "lang", "text").filter("item_id is not null").distinct()
     items = cut(with_leads(items), "items")
     size = items.agg(F.sum(F.length(F.concat_ws(" ", "question", "text")))).first()[0] or 0
-    blocks = max(1, -(-size // ITEM_CHARS))
-    out = None
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        found = _search(documents, *item_parts(rows))
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _search(documents: DataFrame, words: list, chars: list) -> DataFrame:
-    of_words, of_chars = phrases(words, PHRASE), phrases(chars, ZH_RUN)
+    n = max(1, -(-size // item_chars))
+    share = documents.sparkSession.sparkContext.broadcast
+    word_ids, char_ids, blocks = {}, {}, []
+    for b in range(n):
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).orderBy("item_id").collect()
+        words, chars = item_parts(rows)
+        blocks.append(share((phrases(words, PHRASE, word_ids), phrases(chars, ZH_RUN, char_ids))))
+    ids = share((word_ids, char_ids))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, texts in _shards(batches):
-            rows = search_shard(texts, of_words, WORD, RUN, NEAR, 5) if of_words else []
-            found = [(ids[k], *rest) for k, *rest in rows]
-            if of_chars:
-                han = [k for k, text in enumerate(texts) if HAN.search(text)]
-                rows = search_shard([texts[k] for k in han], of_chars, CHAR, ZH_RUN, 0, 1)
-                found += [(ids[han[k]], *rest) for k, *rest in rows]
-            yield pd.DataFrame(found, columns=["doc_id", "item_id", "start_char", "end_char"])
+        words, chars = ids.value
+        for doc_ids, texts in _shards(batches):
+            han = [k for k, text in enumerate(texts) if HAN.search(text)] if chars else []
+            in_words = Shard(texts, words, WORD) if words else None
+            in_chars = Shard([texts[k] for k in han], chars, CHAR) if han else None
+            for block in blocks:
+                of_words, of_chars = block.value
+                found = [(doc_ids[k], *rest) for k, *rest in search_shard(in_words, of_words, RUN, NEAR, 5)] if of_words else []
+                if of_chars and in_chars:
+                    found += [(doc_ids[han[k]], *rest) for k, *rest in search_shard(in_chars, of_chars, ZH_RUN, 0, 1)]
+                yield pd.DataFrame(found, columns=["doc_id", "item_id", "start_char", "end_char"])
 
     texts = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
     return spread(texts).mapInPandas(run, "doc_id long, item_id long, start_char int, end_char int")
