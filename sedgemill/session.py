@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,26 +28,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the session (``spark.checkpoint.dir``); one of our own only where none is set."""
+    """The shared folder of the session (``spark.checkpoint.dir``). One of our own only where none is set and all tasks run on this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.conf.get("sedgemill.work.dir", None)
     if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="sedgemill-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="sedgemill-", dir="/tmp")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        shared = f"file://{folder}"
         spark.conf.set("sedgemill.work.dir", shared)
     return shared.rstrip("/")
 
 
+#: Tables of ``cut`` that have not been removed yet.
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back: lineage ends there and survives lost executors.
 
-    The table is removed when the driver's interpreter ends.
+    The table is removed by ``release``, or when the driver's interpreter ends.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``cut`` that nothing reads any more, as those of the round before in a loop; other tables are left alone."""
+    for t in tables:
+        path = _written.pop(t, None)
+        if path:
+            _remove(t.sparkSession, path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -61,8 +81,9 @@ def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone
-        pass
+    except Exception:  # the session is gone; what lies on this machine can still be removed
+        if path.startswith(("file:", "/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def trimmed(c: Column) -> Column:
@@ -74,18 +95,20 @@ def node_key(c: Column) -> Column:
     return F.replace(F.replace(trimmed(c), F.lit("::"), F.lit("/")), F.lit("."), F.lit("/"))
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, weight: str | None = None, least: int = HEAVY_LEAST) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, weight: str | None = None, least: int = HEAVY_LEAST, total: int | None = None) -> DataFrame:
     """The keys with at least ``share`` of all rows (of the sum of ``weight``, if ``df`` is pre-aggregated), as a local table.
 
-    There are at most 1 / share of them, so the driver may hold them. A key with fewer than ``least`` rows is never heavy.
+    There are at most 1 / share of them, so the driver may hold them. A key with fewer than ``least`` rows is never heavy. Where the
+    caller knows the number of rows, or a bound of it, ``total`` saves counting them, and anything at all if it is below ``least``.
     """
     n = F.sum(weight) if weight else F.count("*")
-    total = df.agg(n.alias("n")).first()["n"] or 0
+    if total is None:
+        total = df.agg(n.alias("n")).first()["n"] or 0
     rows = []
     if total >= least:
         per_key = df.filter(F.col(key).isNotNull()).groupBy(key).agg(n.alias("_n"))
         rows = per_key.filter(F.col("_n") >= max(float(least), total * share)).select(key).collect()
-    return df.sparkSession.createDataFrame(rows, df.select(key).schema)
+    return df.sparkSession.createDataFrame(rows, df.select(key).schema) if rows else df.select(key).limit(0)
 
 
 def lookup(facts: DataFrame, dim: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
