@@ -49,7 +49,8 @@ def test_hubs_split(spark, monkeypatch):
     import sedgemill.llm.components as C
     from sedgemill.session import heavy_keys
 
-    monkeypatch.setattr(C, "heavy_keys", lambda df, key: heavy_keys(df, key, share=0.1, least=2))
+    monkeypatch.setattr(C, "heavy_keys", lambda df, key, total: heavy_keys(df, key, share=0.1, least=2))
+    monkeypatch.setattr(C, "HEAVY_LEAST", 2)
     pairs = [("hub", f"s{i:02}") for i in range(30)] + [("s03", "zz"), ("p", "q")]
     assert result(spark, pairs) == model(pairs)
 
