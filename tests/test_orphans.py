@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -62,3 +63,28 @@ def test_lookup_keeps_all_rows(spark):
 @pytest.mark.parametrize("n", [0, 5])
 def test_heavy_keys_of_small_tables(spark, n):
     assert heavy_keys(spark.range(n).selectExpr("id as k"), "k").isEmpty()
+
+
+def brute(edges, manifest):
+    """States by looking at every life of the key."""
+    out = {}
+    for i, _, dst, _, seen, _ in edges:
+        lives = [(b or datetime(1, 1, 1), g) for m, b, g, _ in manifest if m == dst]
+        if not lives:
+            out[i] = "missing"
+        elif seen and not any(b <= seen and (g is None or g > seen) for b, g in lives):
+            out[i] = "deleted" if any(b <= seen for b, _ in lives) else "late"
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lives_of_all_kinds(spark, seed):
+    """Overlapping, repeated, reborn, never living and open lives; references at their very ends, one key with a third of all rows."""
+    r = random.Random(seed)
+    time = lambda: datetime(2025, r.choice([1, 1, 2]), r.randrange(1, 4), r.randrange(3), r.choice([0, 30])) if r.random() > 0.05 else None
+    key = lambda: "hot" if r.random() < 0.33 else f"k{r.randrange(12)}"
+    manifest = [(key(), time(), time() if r.random() < 0.7 else None, "") for _ in range(30)]
+    manifest += manifest[:8]
+    edges = [(i, "s", key(), "calls", time(), "") for i in range(200)] + [(900, "s", "none", "calls", None, "")]
+    got = {x["ref_id"]: x["state"] for x in run(spark, edges, (), manifest).collect()}
+    assert got == brute(edges, manifest)
