@@ -27,6 +27,13 @@ HOLIDAYS = {
 LEFT, RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
+def ascii_words(pattern: str) -> str:
+    """The pattern with word boundaries between ASCII letters, digits and underscores and anything else, whatever the version of Java takes them to be."""
+    return pattern.replace(r"\b", "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+
+
+
+
 def _window(label: Column | str, start: Column, end: Column) -> Column:
     label = F.lit(label) if isinstance(label, str) else label
     return F.struct(label.alias("label"), start.cast("date").alias("start"), end.cast("date").alias("end"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sedgemill.functions import routing as R
 from sedgemill.functions import text as T
 from sedgemill.plans.registry import Registry
+from sedgemill.plans.routing import MEMORY_ROUTE
 from sedgemill.plans.text import ESTIMATE, WORDS
 from sedgemill.session import table
 
@@ -15,8 +16,7 @@ WANTED = {
     "single-session-user": "lookup", "single-session-assistant": "lookup", "single-session-preference": "advice",
     "temporal-reasoning": "timeline", "multi-session": "tally", "knowledge-update": "lookup",
 }
-ROUTE = rf"case when regexp_matches(q, '{R.ADVICE}') then 'advice' when regexp_matches(q, '{R.TALLY}') then 'tally' when regexp_matches(q, '\b(?:{R.TIMELINE_WORDS}|{R.TIMELINE_WHOLE})\b|{R.TIMELINE}') then 'timeline' else 'lookup' end"
-LABELS = f"l as (select item_id, question_type, ({ROUTE}) = case question_type " + " ".join(f"when '{k}' then '{v}'" for k, v in WANTED.items()) + " end hit from (select distinct item_id, question_type, lower(question) q from test_items))"
+LABELS = f"l as (select item_id, question_type, ({MEMORY_ROUTE}) = case question_type " + " ".join(f"when '{k}' then '{v}'" for k, v in WANTED.items()) + " end hit from (select distinct item_id, question_type, lower(question) q from test_items))"
 
 
 def _labels(spark, d):

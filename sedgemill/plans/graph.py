@@ -35,12 +35,14 @@ def callees(spark, d):
     return _edges(spark, d).filter("type = 'calls'").groupBy(G.short_name(F.col("src")).alias("name")).agg(F.countDistinct("dst").alias("callees"), F.min("dst").alias("first_callee"))
 
 
-USES = ("calls", "indirect_call", "references", "extends", "imports")
+# Fixed value: edges by which a symbol is used.
+USES = ("calls", "references", "indirect_call", "method", "imports_from")
 
 
-@reg.query("usages", f"with {E} select dst, type, count(distinct src) as users from e where type in {USES} group by all")
+@reg.query("usages", f"with {E} select distinct {SHORT.format('dst')} as name, src as used_by from e where type in ('calls', 'references', 'indirect_call', 'method', 'imports_from')")
 def usages(spark, d):
-    return _edges(spark, d).filter(F.col("type").isin(*USES)).groupBy("dst", "type").agg(F.countDistinct("src").alias("users"))
+    """Everything that uses a name (the last part of the target) by any of five kinds of edges: what a rename touches."""
+    return _edges(spark, d).filter(F.col("type").isin(*USES)).select(G.short_name(F.col("dst")).alias("name"), F.col("src").alias("used_by")).distinct()
 
 
 @reg.query("imports_internal", "with m as (select distinct module, unnest(imports) imported from manifest where module is not null) select module, imported from m where imported in (select module from manifest)")
@@ -97,18 +99,22 @@ def closure_imports(spark, d):
     return G.reach(seeds, imports).select("seed", "node")
 
 
+def _callers_of(spark, d):
+    return _edges(spark, d).filter("type = 'calls'").select(G.short_name(F.col("dst")).alias("src"), G.short_name(F.col("src")).alias("dst"))
+
+
 @reg.query(
     "impact",
-    f"""with {E}, c as (select distinct {SHORT.format('dst')} callee, {SHORT.format('src')} caller from e where type = 'calls'),
-s as (select distinct name from symbols where symbol_id % 50 = 0 and name is not null),
-r0 as (select name seed, name node, 0 hops from s), r1 as (select seed, caller node, 1 hops from r0 join c on callee = node), r2 as (select r1.seed, c.caller, 2 from r1 join c on c.callee = r1.node)
-select seed, node, cast(min(hops) as integer) as hops from (select * from r0 union all select * from r1 union all select * from r2) group by seed, node""",
+    f"""with recursive {E}, c as (select distinct {SHORT.format('dst')} callee, {SHORT.format('src')} caller from e where type = 'calls'),
+r(seed, node) as (select name, c.caller from (select distinct name from symbols where symbol_id % 50 = 0 and name is not null) join c on c.callee = name union select r.seed, c.caller from r join c on c.callee = r.node)
+select seed, count(*) as affected, min(node) as first_affected from r group by seed""",
 )
 def impact(spark, d):
-    """Callers within two calls, by short names, of every fiftieth symbol."""
-    calls = _edges(spark, d).filter("type = 'calls'").select(G.short_name(F.col("dst")).alias("src"), G.short_name(F.col("src")).alias("dst"))
-    seeds = table(spark, d, "symbols").filter("symbol_id % 50 = 0 and name is not null").select(F.col("name").alias("seed"), F.col("name").alias("node"))
-    return G.reach(seeds, calls, rounds=2)
+    """How many names call every fiftieth symbol, directly or over others, and the first of them."""
+    calls = _callers_of(spark, d)
+    names = table(spark, d, "symbols").filter("symbol_id % 50 = 0 and name is not null").select(F.col("name").alias("src")).distinct()
+    seeds = names.join(calls, "src").select(F.col("src").alias("seed"), F.col("dst").alias("node"))
+    return G.reach(seeds, calls).groupBy("seed").agg(F.count("*").alias("affected"), F.min("node").alias("first_affected"))
 
 
 @reg.query(
@@ -119,8 +125,8 @@ r(seed, node) as (select name, name from s union select r.seed, c.caller from r
 select seed, node from r""",
 )
 def impact_closure(spark, d):
-    """All callers, direct or not, by short names, of every fiftieth symbol; ``impact`` is its part within two calls."""
-    calls = _edges(spark, d).filter("type = 'calls'").select(G.short_name(F.col("dst")).alias("src"), G.short_name(F.col("src")).alias("dst"))
+    """All callers, direct or not, by short names, of every fiftieth symbol, and the symbol itself."""
+    calls = _callers_of(spark, d)
     seeds = table(spark, d, "symbols").filter("symbol_id % 50 = 0 and name is not null").select(F.col("name").alias("seed"), F.col("name").alias("node"))
     return G.reach(seeds, calls).select("seed", "node")
 
@@ -141,15 +147,15 @@ def import_paths(spark, d):
 
 @reg.query(
     "shortest_hops",
-    f"""with recursive {E}, c as (select distinct src, dst from e where type in ('imports', 'calls', 'contains')), s as (select src from c group by src order by count(*) desc, src limit 1),
-r(node, hops) as (select src, 0 from s union select c.dst, r.hops + 1 from r join c on c.src = r.node where r.hops < 12)
-select node, cast(min(hops) as integer) as hops from r group by node""",
+    f"""with recursive {E}, c as (select distinct src, dst from e where type in ('imports', 'contains')), s as (select distinct module from symbols where symbol_id % 50 = 0 and module is not null),
+r(seed, node, hops) using key (seed, node) as (select module, module, 0 from s union select r.seed, c.dst, r.hops + 1 from r join c on c.src = r.node left join recurring.r k on k.seed = r.seed and k.node = c.dst where k.hops is null)
+select seed, node, cast(hops as integer) as hops from r""",
 )
 def shortest_hops(spark, d):
-    """Least number of imports, calls and containments from the node with most of them, within twelve."""
-    links = _edges(spark, d).filter("type in ('imports', 'calls', 'contains')").select("src", "dst").distinct()
-    first = links.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(1)
-    return G.reach(first.select(F.col("src").alias("seed"), F.col("src").alias("node")), links, rounds=12).select("node", "hops")
+    """Least number of imports and containments from the module of every fiftieth symbol to everything that it reaches."""
+    links = _edges(spark, d).filter("type in ('imports', 'contains')").select("src", "dst").distinct()
+    seeds = table(spark, d, "symbols").filter("symbol_id % 50 = 0 and module is not null").select(F.col("module").alias("seed"), F.col("module").alias("node"))
+    return G.reach(seeds, links)
 
 
 @reg.query(

@@ -14,7 +14,7 @@ from sedgemill.plans.ledger import FACTS
 from sedgemill.plans.ranking import ASKED, ENTRIES, asked, entries
 from sedgemill.plans.registry import Registry
 from sedgemill.plans.text import ESTIMATE, TOKENS, WORDS
-from sedgemill.session import table
+from sedgemill.session import cut, table
 
 reg = Registry()
 
@@ -208,15 +208,16 @@ def export_graph(spark, d):
     "change_impact",
     f"""with recursive {E}, u as (select distinct dst node, src user from e where type in ('calls', 'indirect_call', 'references', 'extends', 'imports')),
 s as (select distinct module || '.' || name seed from symbols where symbol_id % 50 = 0 and module is not null and name is not null),
-r0 as (select seed, seed node, 0 hops from s), r1 as (select seed, u.user node, 1 hops from r0 join u using (node)), r2 as (select seed, u.user node, 2 hops from r1 join u using (node))
-select seed, count(distinct node) as touched, count(distinct node) filter (where hops = 1) as direct from (select * from r0 union all select * from r1 union all select * from r2) where node <> seed group by seed""",
+r(seed, node, hops) using key (seed, node) as (select seed, seed, 0 from s union select r.seed, u.user, r.hops + 1 from r join u on u.node = r.node left join recurring.r k on k.seed = r.seed and k.node = u.user where k.hops is null)
+select b.seed, b.node, cast(b.hops as integer) as hops, min(a.node) as via from r b join u on u.user = b.node join r a on a.seed = b.seed and a.node = u.node and a.hops = b.hops - 1 where b.hops > 0 group by all""",
 )
 def change_impact(spark, d):
-    """How many nodes use a symbol, directly and within two steps over five kinds of edges, for every fiftieth symbol."""
-    uses = typed_edges(table(spark, d, "edges")).filter("type in ('calls', 'indirect_call', 'references', 'extends', 'imports')").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    """Every node that a change of every fiftieth symbol touches, over five kinds of edges and any number of steps, and the node by which it is reached first."""
+    uses = cut(typed_edges(table(spark, d, "edges")).filter("type in ('calls', 'indirect_call', 'references', 'extends', 'imports')").select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), "uses")
     seeds = table(spark, d, "symbols").filter("symbol_id % 50 = 0 and module is not null and name is not null").select(F.concat_ws(".", "module", "name").alias("seed"))
-    found = reach(seeds.select("seed", F.col("seed").alias("node")), uses, rounds=2).filter("node <> seed")
-    return found.groupBy("seed").agg(F.count("*").alias("touched"), F.count_if(F.col("hops") == 1).alias("direct"))
+    found = cut(reach(seeds.select("seed", F.col("seed").alias("node")), uses), "touched")
+    before = found.select("seed", F.col("node").alias("src"), (F.col("hops") + 1).alias("hops")).join(uses, "src").select("seed", "hops", F.col("dst").alias("node"), "src")
+    return found.filter("hops > 0").join(before, ["seed", "node", "hops"]).groupBy("seed", "node", "hops").agg(F.min("src").alias("via"))
 
 
 @reg.query(
@@ -228,7 +229,7 @@ d as (select seed, count(distinct user) n from s join u on u.node = s.seed where
 select seed, count(*) as touched, coalesce(any_value(d.n), 0) as direct from r left join d using (seed) where node <> seed group by seed""",
 )
 def change_impact_closure(spark, d):
-    """How many nodes use a symbol, directly and over any number of steps; ``change_impact`` counts those within two."""
+    """How many nodes use a symbol, directly and over any number of steps."""
     uses = typed_edges(table(spark, d, "edges")).filter("type in ('calls', 'indirect_call', 'references', 'extends', 'imports')").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     seeds = table(spark, d, "symbols").filter("symbol_id % 50 = 0 and module is not null and name is not null").select(F.concat_ws(".", "module", "name").alias("seed"))
     found = reach(seeds.select("seed", F.col("seed").alias("node")), uses).filter("node <> seed")

@@ -12,6 +12,17 @@ reg = Registry()
 _has = lambda cues: " or ".join(f"contains(q, '{c}')" for c in cues)
 
 
+#: The route of a question q in small letters, in SQL of its own.
+MEMORY_ROUTE = """case
+  when regexp_matches(q, 'recommend|suggest|prefer|gift|advice|advise') or q like '%should i%' or q like '%should you%' or q like '%idea for%' or q like '%ideas for%'
+    or q like '%what would i%' or q like '%what would you%' or q like '%help me choose%' or q like '%help me pick%' or q like '%help me plan%' then 'advice'
+  when q like '%how many%' or q like '%how much%' or q like '%how often%' or q like '%total%' or q like '%all the%' or q like '%all of%' or q like '%all my%' or q like '%list %' or q like '%count%'
+    or q like '%which % did i go%' or q like '%which % did i attend%' or q like '%which % did i visit%' or q like '%which % did i buy%' or q like '%what %have i%' then 'tally'
+  when list_has_any(regexp_split_to_array(q, '[^a-z0-9_]+'), ['first', 'last', 'before', 'after', 'since']) or q like '%latest%' or q like '%earliest%' or q like '%most recent%' or q like '%right before%' or q like '%right after%'
+    or q like '%between % and%' or q like '%when did%' or q like '%how long ago%' or q like '%how long after%' or q like '%how long before%' or q like '%in what order%' or q like '%sequence%' then 'timeline'
+  else 'lookup' end"""
+
+
 def _questions(spark, d):
     return table(spark, d, "test_items").select("item_id", "question", "question_type").distinct()
 
@@ -19,8 +30,7 @@ def _questions(spark, d):
 @reg.query(
     "classify_memory",
     rf"""
-select item_id, case when regexp_matches(q, '{R.ADVICE}') then 'advice' when regexp_matches(q, '{R.TALLY}') then 'tally'
-  when regexp_matches(q, '\b(?:{R.TIMELINE_WORDS}|{R.TIMELINE_WHOLE})\b|{R.TIMELINE}') then 'timeline' else 'lookup' end as kind
+select item_id, {MEMORY_ROUTE} as kind
 from (select distinct item_id, lower(question) q from test_items)
 """,
 )
@@ -42,8 +52,7 @@ def classify_history(spark, d):
 @reg.query(
     "document_kinds",
     rf"""
-select kind, route, count(*) as n from (select kind, case when regexp_matches(q, '{R.ADVICE}') then 'advice' when regexp_matches(q, '{R.TALLY}') then 'tally'
-  when regexp_matches(q, '\b(?:{R.TIMELINE_WORDS}|{R.TIMELINE_WHOLE})\b|{R.TIMELINE}') then 'timeline' else 'lookup' end as route
+select kind, route, count(*) as n from (select kind, {MEMORY_ROUTE} as route
 from (select kind, lower(regexp_extract(text, '^[^\n\r]*', 0)) q from documents where text is not null)) group by all
 """,
 )
@@ -57,8 +66,7 @@ def document_kinds(spark, d):
 @reg.query(
     "router_confusion",
     rf"""
-with k as (select question_type, lang, case when regexp_matches(q, '{R.ADVICE}') then 'advice' when regexp_matches(q, '{R.TALLY}') then 'tally'
-  when regexp_matches(q, '\b(?:{R.TIMELINE_WORDS}|{R.TIMELINE_WHOLE})\b|{R.TIMELINE}') then 'timeline' else 'lookup' end as kind
+with k as (select question_type, lang, {MEMORY_ROUTE} as kind
 from (select distinct item_id, question_type, lang, lower(question) q from test_items))
 select want, got, n, round(n / sum(n) over (partition by want), 6) as share from (select question_type as want, kind as got, count(*) as n from k group by 1, 2)
 """,
@@ -85,15 +93,17 @@ def route_files(spark, d):
     return routed.groupBy("repo", "kind").agg(F.count("*").alias("files"), F.sum("n_bytes").alias("bytes"))
 
 
-IGNORES = ["bench/", "**/mod*/**", "*_silo.??", "store/*/ledger_*"]
+IGNORES = ["bench/", "**/mod*/**", "*/*_silo.??", "store/*/ledger_*"]
 
 
 @reg.query(
     "ignore_match",
-    "select path, cast(" + " + ".join(f"regexp_matches(path, '{R.glob_regex(p)}')::int" for p in IGNORES) + " as integer) as rules from (select distinct path from source_files) where " + " or ".join(f"regexp_matches(path, '{R.glob_regex(p)}')" for p in IGNORES),
+    r"""select path, cast(list_contains(string_split(path, '/'), 'bench')::int + regexp_matches(path, '^.*/mod[^/]*/.*(/|$)')::int + regexp_matches(path, '^[^/]*/[^/]*_silo[.][^/][^/](/|$)')::int
+  + regexp_matches(path, '^store/[^/]*/ledger_[^/]*(/|$)')::int as integer) as rules from (select distinct path from source_files) where rules > 0""",
 )
 def ignore_match(spark, d):
-    hits = [F.col("path").rlike(R.glob_regex(p)).cast("int") for p in IGNORES]
+    """How many of four rules of an ignore file cover each path."""
+    hits = [R.ignored(F.col("path"), p).cast("int") for p in IGNORES]
     return table(spark, d, "source_files").select("path").distinct().withColumn("rules", sum(hits[1:], hits[0])).filter("rules > 0")
 
 

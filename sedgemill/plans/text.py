@@ -37,6 +37,7 @@ def top_words(spark, d):
 
 @reg.query("proper_nouns")
 def proper_nouns(spark, d):
+    # fixed value: runs of one to three capitalised words, not at the start of a line or sentence
     runs = F.regexp_extract_all("text", F.lit(r"(?m)(?<![.!?]\s)(?<!^)\b([A-Z][a-z]{2,}(?:\s[A-Z][a-z]{2,}){0,2})\b"), 1)
     found = table(spark, d, "documents").select("doc_id", F.posexplode(runs).alias("pos", "noun")).filter(~F.lower("noun").isin(*T.STOP))
     counts = found.groupBy("doc_id", "noun").agg(F.count("*").alias("n"), F.min("pos").alias("first")).filter("n > 1")
