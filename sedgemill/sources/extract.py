@@ -19,25 +19,111 @@ from pyspark.sql import functions as F
 EDGE = "path string, src string, dst string, type string"
 
 
-def ddl_tables(files: DataFrame) -> DataFrame:
-    """path, name, body of every CREATE TABLE statement."""
-    pattern = r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[\"`\[]?(\w+)[\"`\]]?\s*\((.*?)\);"
-    whole = F.regexp_extract_all("text", F.lit(pattern), 0)
-    found = files.select("path", F.explode(whole).alias("s"))
-    return found.select("path", F.regexp_extract("s", pattern, 1).alias("name"), F.regexp_extract("s", pattern, 2).alias("body"))
+SQL_TOKEN = re.compile(r"""--[^\n]*|/\*[\s\S]*?\*/|'(?:[^']|'')*'|"(?P<dq>(?:[^"]|"")*)"|`(?P<bq>[^`]*)`|\[(?P<sq>[^\]\n]*)\]|(?P<word>[^\W\d][\w$]*)|(?P<mark>[(),.;])|\d[\w.]*|\S""")
+# Words that open a table constraint instead of a column.
+CONSTRAINTS = {"constraint", "primary", "foreign", "unique", "check", "exclude", "key", "index", "like", "period"}
+
+
+def _sql_tokens(text: str) -> list[tuple[str, str]]:
+    """kind (word, name, mark or other) and text; names are quoted identifiers without their quotes, comments are left out."""
+    out = []
+    for m in SQL_TOKEN.finditer(text):
+        kind, token = m.lastgroup, m.group()
+        if kind in ("dq", "bq", "sq"):
+            out.append(("name", m.group(kind)))
+        elif kind:
+            out.append((kind, token))
+        elif not token.startswith(("--", "/*")):
+            out.append(("other", token))
+    return out
+
+
+class _Sql:
+    """A walk over the tokens of a script, for its table definitions."""
+
+    def __init__(self, text: str) -> None:
+        self.tokens, self.i = _sql_tokens(text), 0
+
+    def is_word(self, *words: str) -> bool:
+        return self.i < len(self.tokens) and self.tokens[self.i][0] == "word" and self.tokens[self.i][1].lower() in words
+
+    def skip(self, *words: str) -> None:
+        while self.is_word(*words):
+            self.i += 1
+
+    def name(self) -> str | None:
+        """The last part of a dotted name."""
+        found = None
+        while self.i < len(self.tokens) and self.tokens[self.i][0] in ("word", "name"):
+            found, self.i = self.tokens[self.i][1], self.i + 1
+            if self.tokens[self.i : self.i + 1] != [("mark", ".")]:
+                break
+            self.i += 1
+        return found
+
+    def parts(self) -> list[list[tuple[str, str]]] | None:
+        """What commas part within the brackets that open here; None if they never close."""
+        depth, out = 0, [[]]
+        while self.i < len(self.tokens):
+            token = self.tokens[self.i]
+            self.i += 1
+            depth += (token == ("mark", "(")) - (token == ("mark", ")"))
+            if not depth:
+                return [p for p in out if p]
+            if depth == 1 and token == ("mark", ","):
+                out.append([])
+            elif depth > 1 or token != ("mark", "("):
+                out[-1].append(token)
+        return None
+
+    def tables(self) -> Iterator[tuple[str, list]]:
+        while self.i < len(self.tokens):
+            if not self.is_word("create"):
+                self.i += 1
+                continue
+            self.i += 1
+            self.skip("or", "replace", "global", "local", "temporary", "temp", "unlogged", "external")
+            if not self.is_word("table"):
+                continue
+            self.i += 1
+            self.skip("if", "not", "exists")
+            name = self.name()
+            if name and self.tokens[self.i : self.i + 1] == [("mark", "(")] and (parts := self.parts()) is not None:
+                yield name, parts
+
+
+def _ddl(text: str) -> Iterator[tuple[str, str, str]]:
+    """table, what (column or references), name of each column and foreign key."""
+    for table, parts in _Sql(text).tables():
+        for part in parts:
+            (kind, first), rest = part[0], part[1:]
+            if rest and (kind == "name" or kind == "word" and first.lower() not in CONSTRAINTS):
+                yield table, "column", first
+            for k, token in enumerate(part):
+                if token[0] == "word" and token[1].lower() == "references":
+                    walk = _Sql("")
+                    walk.tokens, walk.i = part, k + 1
+                    if target := walk.name():
+                        yield table, "references", target
+
+
+def _definitions(files: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, *x) for p, t in zip(b["path"], b["text"]) if isinstance(t, str) for x in _ddl(t)]
+            yield pd.DataFrame(rows, columns=["path", "name", "what", "found"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, name string, what string, found string")
 
 
 def ddl_columns(files: DataFrame) -> DataFrame:
-    """path, name, column of every column definition."""
-    part = F.explode(F.split("body", ","))
-    named = ddl_tables(files).select("path", "name", part.alias("p")).select("path", "name", F.regexp_extract("p", r"^\s*[\"`\[]?(\w+)[\"`\]]?\s+\w", 1).alias("column"))
-    return named.filter((F.col("column") != "") & ~F.lower("column").isin("foreign", "primary", "constraint", "unique", "key"))
+    """path, name, column of every column definition of a CREATE TABLE statement."""
+    return _definitions(files).filter("what = 'column'").select("path", "name", F.col("found").alias("column"))
 
 
 def ddl_references(files: DataFrame) -> DataFrame:
     """path, src, dst, type of every foreign key."""
-    dst = F.explode(F.regexp_extract_all("body", F.lit(r"(?i)references\s+[\"`\[]?(\w+)[\"`\]]?"), 1))
-    return ddl_tables(files).select("path", F.col("name").alias("src"), dst.alias("dst"), F.lit("references").alias("type"))
+    return _definitions(files).filter("what = 'references'").select("path", F.col("name").alias("src"), F.col("found").alias("dst"), F.col("what").alias("type"))
 
 
 def symbol_index(files: DataFrame) -> DataFrame:
@@ -45,7 +131,8 @@ def symbol_index(files: DataFrame) -> DataFrame:
     schema = "documents array<struct<symbols:array<struct<symbol:string,relationships:array<struct<symbol:string,is_implementation:boolean,is_definition:boolean>>>>>>"
     symbols = files.select("path", F.explode(F.from_json("text", schema)["documents"]).alias("d")).select("path", F.explode("d.symbols").alias("s"))
     rel = symbols.select("path", F.col("s.symbol").alias("symbol"), F.explode("s.relationships").alias("r"))
-    short = lambda c: F.split_part(F.element_at(F.split(F.rtrim(c, F.lit(".")), "/"), -1), F.lit("("), F.lit(1))
+    # the name in the last descriptor: after the last slash, before brackets and closing dots
+    short = lambda c: F.regexp_extract(c, r"([^/(]*?)(?:\([^/]*)?\.*$", 1)
     kind = F.when(F.col("r.is_implementation"), "scip_impl").when(F.col("r.is_definition"), "scip_def").otherwise("scip_ref")
     return rel.select("path", short("symbol").alias("src"), short("r.symbol").alias("dst"), kind.alias("type")).filter("dst <> ''")
 
@@ -64,20 +151,54 @@ def tool_servers(files: DataFrame) -> DataFrame:
     return servers.select("path", "src", F.explode(out).alias("e")).select("path", "src", "e.dst", "e.type").filter("dst is not null")
 
 
+def _node_package(text: str) -> Iterator[str]:
+    data = json.loads(text)
+    for group in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies"):
+        yield from data.get(group) or ()
+
+
+def _compiler_settings(text: str) -> Iterator[str]:
+    base = json.loads(text).get("extends")
+    yield from [base] if isinstance(base, str) else base or ()
+
+
+def _python_project(text: str) -> Iterator[str]:
+    project = tomllib.loads(text).get("project", {})
+    for asked in [project.get("dependencies", ()), *project.get("optional-dependencies", {}).values()]:
+        for one in asked:
+            yield re.match(r"\s*([\w.-]*)", one).group(1)
+
+
+def _rust_package(text: str) -> Iterator[str]:
+    data = tomllib.loads(text)
+    for group in ("dependencies", "dev-dependencies", "build-dependencies"):
+        yield from data.get(group, ())
+
+
+def _go_module(text: str) -> Iterator[str]:
+    listed = False
+    for line in text.splitlines():
+        words = line.split("//")[0].split()
+        if words[:1] == ["require"]:
+            words, listed = words[1:], words[1:] == ["("]
+        elif not listed:
+            continue
+        if words[:1] == [")"]:
+            listed = False
+        elif len(words) == 2 and words[1].startswith("v"):
+            yield words[0].rsplit("/", 1)[-1]
+
+
+READERS = {"package.json": _node_package, "tsconfig.json": _compiler_settings, "pyproject.toml": _python_project, "cargo.toml": _rust_package, "go.mod": _go_module}
+
+
 def _dependencies(path: str, text: str) -> list[str]:
-    base = path.rsplit("/", 1)[-1].lower()
+    """What the manifest asks for, once each; nothing if it cannot be read or is of no known name."""
+    read = READERS.get(path.rsplit("/", 1)[-1].lower())
     try:
-        if base.endswith(".json"):
-            data = json.loads(text)
-            extends = data.get("extends") or []
-            return [*data.get("dependencies", {}), *data.get("devDependencies", {}), *([extends] if isinstance(extends, str) else extends)]
-        if base == "pyproject.toml":
-            return [re.split(r"[<>=!~ \[;]", x)[0] for x in tomllib.loads(text).get("project", {}).get("dependencies", [])]
-        if base == "cargo.toml":
-            return list(tomllib.loads(text).get("dependencies", {}))
+        return list(dict.fromkeys(read(text))) if read else []
     except (ValueError, AttributeError, TypeError):
         return []
-    return [m.rsplit("/", 1)[-1] for m in re.findall(r"(?m)^\s*(?:require\s+)?([\w./-]+)\s+v[\d.]", text)] if base == "go.mod" else []
 
 
 def dependencies(files: DataFrame) -> DataFrame:
@@ -91,29 +212,56 @@ def dependencies(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, EDGE)
 
 
+HCL_TOKEN = re.compile(r'#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|<<[-~]?(?P<doc>\w+)\n[\s\S]*?\n[ \t]*(?P=doc)\b|"(?P<text>(?:[^"\\]|\\.|(?<=\$)\{[^}]*\})*)"|(?P<word>[\w-]+(?:\.[\w-]+)*)|(?P<mark>[{}])|[^\s\w]')
+DOTTED = re.compile(r"[\w-]+(?:\.[\w-]+)+")
+#: How a block is called by others, by its kind and labels.
+BLOCK_NAMES = {"resource": "{0}.{1}", "data": "{0}.{1}", "module": "module.{0}", "variable": "var.{0}", "output": "output.{0}", "provider": "{0}"}
+
+
+def _hcl_blocks(text: str) -> Iterator[tuple[str, list[str]]]:
+    """Name and dotted words of each block at the top, whatever nests in it; comments count for nothing, a block that is not closed for what it holds."""
+    depth, head, name, held = 0, [], None, []
+    for m in HCL_TOKEN.finditer(text):
+        kind, token = m.lastgroup, m.group()
+        if not depth and kind in ("word", "text"):
+            head.append(m.group(kind))
+        elif token == "{" and kind == "mark":
+            if not depth:
+                form, labels = BLOCK_NAMES.get(head[0] if head else ""), head[1:]
+                name = form.format(*labels) if form and len(labels) >= form.count("{") else None
+                held = []
+            depth += 1
+        elif token == "}" and kind == "mark":
+            depth -= depth > 0
+            if not depth:
+                if name:
+                    yield name, held
+                head, name = [], None
+        elif not depth:
+            head = []
+        elif kind == "word" and "." in token:
+            held.append(token)
+        elif kind in ("text", "doc"):
+            held += DOTTED.findall(token)
+    if depth and name:
+        yield name, held
+
+
 def terraform(files: DataFrame) -> DataFrame:
-    """path, src, dst, type: references between the blocks of a Terraform file, by their bodies within balanced braces."""
-    head = re.compile(r'(?m)^\s*(resource|data|module|variable|output|provider)\s+"([^"]+)"(?:\s+"([^"]+)")?\s*\{')
+    """path, src, dst, type: references between the blocks of a Terraform file, each once."""
 
-    def blocks(text: str) -> list[tuple[str, str]]:
-        out = []
-        for m in head.finditer(text):
-            depth, i = 1, m.end()
-            while i < len(text) and depth:
-                depth += (text[i] == "{") - (text[i] == "}")
-                i += 1
-            kind, a, b = m.groups()
-            name = f"{a}.{b}" if b else a if kind in ("module", "provider") else f"var.{a}" if kind == "variable" else f"{kind}.{a}"
-            out.append((f"module.{a}" if kind == "module" else name, text[m.end() : i]))
-        return out
+    def refers(word: str, names: set[str]) -> str | None:
+        """The block that a dotted word begins with."""
+        parts = word.split(".")
+        return next((x for n in (2, 1) if (x := ".".join(parts[:n])) in names), None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for p, t in zip(b["path"], b["text"]):
-                found = blocks(t) if isinstance(t, str) else []
+                found = list(_hcl_blocks(t)) if isinstance(t, str) else []
                 names = {n for n, _ in found}
-                rows += [(p, n, r, "references") for n, body in found for r in dict.fromkeys(re.findall(r"[\w-]+\.[\w-]+", body)) if r in names and r != n]
+                rows += [(p, n, r, "references") for n, held in found for r in dict.fromkeys(refers(w, names) for w in held) if r and r != n]
             yield pd.DataFrame(rows, columns=["path", "src", "dst", "type"])
 
     return files.select("path", "text").mapInPandas(run, EDGE)

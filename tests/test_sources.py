@@ -72,3 +72,20 @@ def test_sinks(spark, tmp_path):
     assert [r["date"] for r in sinks.anti(new, old, "date").collect()] == ["d3"]
     sinks.write_jsonl(old, str(tmp_path / "o"))
     assert spark.read.json(str(tmp_path / "o")).count() == 2
+
+
+def test_definitions_with_nested_brackets(spark):
+    ddl = """-- create table not_real (a int);
+    CREATE TEMP TABLE "my shop".[Order Lines] (id numeric(10, 2) default (1), note text default ');', /* x, */ `weird name` varchar(3),
+      qty int check (qty in (1, 2)) references dbo.stock (id), constraint c foreign key (id, qty) references "Parent Rows" (a, b));
+    create table open_ended (a int"""
+    rows = files(spark, ("a.sql", ddl), ("e.sql", ""))
+    assert sorted((r["name"], r["column"]) for r in extract.ddl_columns(rows).collect()) == [("Order Lines", c) for c in ("id", "note", "qty", "weird name")]
+    assert sorted((r["src"], r["dst"]) for r in extract.ddl_references(rows).collect()) == [("Order Lines", "Parent Rows"), ("Order Lines", "stock")]
+
+
+def test_nested_blocks(spark):
+    tf = files(spark, ("m.tf", '# resource "x" "y" {\nmodule "net" { source = "./n" }\nvariable "size" {}\nresource "vm" "a" {\n  net = "${module.net.id}-}" # }\n  dyn { n = var.size }\n  t = <<EOT\n  module.net {\n  EOT\n}\noutput "o" { value = vm.a.id }\n'))
+    assert sorted((r["src"], r["dst"]) for r in extract.terraform(tf).collect()) == [("output.o", "vm.a"), ("vm.a", "module.net"), ("vm.a", "var.size")]
+    deps = files(spark, ("a/go.mod", "module x\nrequire (\n\tgithub.com/q/w v1.2 // indirect\n\tgo.y/z v0.1\n)\n"), ("tsconfig.json", '{"extends": ["a", "b"]}'), ("Cargo.toml", "[dev-dependencies]\nq='1'"), ("other.json", '{"dependencies": {"no": "1"}}'))
+    assert sorted(r["dst"] for r in extract.dependencies(deps).collect()) == ["a", "b", "q", "w", "z"]
