@@ -27,19 +27,19 @@ OPERATIONS = [
 ]
 
 
-def relevance(events: DataFrame, asked: DataFrame) -> DataFrame:
-    """item_id, id, score, date, fact: BM25 of each question over events (id, date, fact), topic rows left out."""
+def relevance(events: DataFrame, asked: DataFrame, k: int | None = None, share: float = 0.0) -> DataFrame:
+    """item_id, id, score, date, fact: BM25 of each question over events (id, date, fact), topic rows left out; of the ``k`` best at least, or all of ``share`` of the best."""
     real = events.filter(F.col("fact").isNotNull() & ~F.lower("fact").rlike(TOPIC_ROWS))
     tokens = T.identifier_tokens(F.col("fact"))
     n, mean = R.collection_size(real, tokens)
     wanted = asked.select("item_id", F.explode(T.identifier_tokens(F.col("question"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("n"))
-    scored = R.bm25(R.postings(real, "id", tokens, wanted), "id", n, mean, wanted, "item_id").withColumn("score", F.round("score", 6))
+    scored = R.bm25(R.postings(real, "id", tokens, wanted), "id", n, mean, wanted, "item_id", k, share).withColumn("score", F.round("score", 6))
     return scored.filter("score > 0").join(real.select("id", "date", "fact"), "id")
 
 
 def tally(events: DataFrame, asked: DataFrame) -> DataFrame:
     """item_id, occurrences: events with at least half the best score, once per date and wording."""
-    scored = relevance(events, asked)
+    scored = relevance(events, asked, share=0.5)
     best = scored.groupBy("item_id").agg(F.max("score").alias("top"))
     kept = scored.join(best, "item_id").filter(F.col("score") >= F.round(0.5 * F.col("top"), 6))
     return kept.select("item_id", "date", F.lower(F.trim("fact"))).distinct().groupBy("item_id").agg(F.count("*").alias("occurrences"))
@@ -48,7 +48,7 @@ def tally(events: DataFrame, asked: DataFrame) -> DataFrame:
 def timeline(events: DataFrame, asked: DataFrame, k: int = 8) -> DataFrame:
     """item_id, first_date, last_date, best_date, days of the k most relevant events."""
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "id"))
-    hits = relevance(events, asked).withColumn("r", rank).filter(F.col("r") <= k)
+    hits = relevance(events, asked, k).withColumn("r", rank).filter(F.col("r") <= k)
     first, last = F.min(F.nullif("date", F.lit(""))), F.max("date")
     spans = hits.groupBy("item_id").agg(first.alias("first_date"), last.alias("last_date"), F.min_by("date", "r").alias("best_date"))
     day = lambda c: F.when(F.length(c) == 10, F.expr(f"try_cast({c} as date)"))  # noqa: E731  (dates of month precision have no day)

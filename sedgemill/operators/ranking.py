@@ -1,7 +1,8 @@
 """Ranking: weighted overlap, BM25 over candidates, fields with weights, fusion of ranks, vectors, cut-offs.
 
-Scores come from joins of term tables, so the work follows the postings of the asked terms; the asked questions are a stated
-query set, small beside the collection, and are broadcast where a size bound is known.
+Scores come from joins of term tables, so the work follows the postings of the asked terms. Terms that would join too many entries to
+too many questions are left out of the candidate search wherever their greatest possible share cannot decide what is asked for
+(``best_sums``); the result stays exact. Vectors are searched in blocks of queries by matrix products with a running top k.
 
 Defined results: null texts and arrays count as empty; questions without known terms have no hits; repeated entries count once where
 the caller takes distinct rows; ties go by id; an empty collection gives no rows; very long texts only lengthen their postings.
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,8 +29,43 @@ def top(scored: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def entry_scores(entries: DataFrame, asked: DataFrame) -> DataFrame:
-    """item_id, id, score: overlap of question words with title and summary, twice with topics, three times with entities and attributes."""
+#: A term that joins at least so many pairs of an entry and a question is not multiplied out if the others settle the result.
+HOT_PAIRS = 2_000_000
+
+
+def best_sums(parts: DataFrame, wanted: DataFrame, query: str, doc: str, k: int | None = None, share: float = 0.0, pairs: int = HOT_PAIRS) -> DataFrame:
+    """query, doc, score: sums of ``w * x`` over the terms that a question (query, term, w, most) and an entry (doc, term, x) share.
+
+    All entries come out that can be among the ``k`` best of a question, or reach ``share`` of its best one, and each with its whole sum.
+    ``most`` bounds ``w * x``. Where the sums of the other terms already give a threshold above what all hot terms can add, an
+    entry with hot terms only cannot reach it: the hot terms are then looked up for the candidates, instead of joining their postings.
+    Questions without such a threshold are joined as a whole.
+    """
+    total = F.sum(F.col("w") * F.col("x"))
+    asks = wanted.groupBy("term").agg(F.count("*").alias("asks"))
+    hot = cut(parts.groupBy("term").agg(F.count("*").alias("df")).join(asks, "term").filter(F.col("df") * F.col("asks") >= pairs).select("term"), "hot")
+    if hot.isEmpty():
+        return parts.join(wanted, "term").groupBy(query, doc).agg(total.alias("score"))
+    of_hot = wanted.join(hot, "term", "left_semi")
+    first = cut(parts.join(wanted.join(hot, "term", "left_anti"), "term").groupBy(query, doc).agg(total.alias("s")), "first")
+    if k:
+        rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("s")))
+        bar = first.select(query, "s", rank.alias("r")).filter(F.col("r") <= k).groupBy(query).agg(F.min("s").alias("bar"), F.count("*").alias("n")).filter(F.col("n") == k)
+    else:
+        bar = first.groupBy(query).agg((F.max("s") * share).alias("bar"))
+    bounds = wanted.select(query).distinct().join(of_hot.groupBy(query).agg(F.sum("most").alias("rest")), query, "left").join(bar.select(query, "bar"), query, "left")
+    bounds = cut(bounds.select(query, "bar", F.coalesce("rest", F.lit(0.0)).alias("rest")), "bounds")
+    settled = (F.col("rest") == 0) | (F.coalesce(F.col("bar"), F.lit(-1.0)) > F.col("rest") + 1e-5)
+    # a little is left for sums in another order
+    near = first.join(bounds.filter(settled), query).filter(F.col("bar").isNull() | (F.col("s") + F.col("rest") >= F.col("bar") * (1 - 1e-9) - 1e-5)).select(query, doc, "s")
+    added = near.select(query, doc).join(parts.join(hot, "term", "left_semi"), doc).join(of_hot, [query, "term"]).groupBy(query, doc).agg(total.alias("h"))
+    done = near.join(added, [query, doc], "left").select(query, doc, (F.col("s") + F.coalesce("h", F.lit(0))).alias("score"))
+    whole = parts.join(wanted.join(bounds.filter(~settled), query, "left_semi"), "term").groupBy(query, doc).agg(total.alias("score"))
+    return done.unionByName(whole)
+
+
+def entry_parts(entries: DataFrame) -> DataFrame:
+    """id, term, x: how much each word of an entry counts: once in title and summary, twice in topics, three times in entities and attributes."""
     none = F.array().cast("array<string>")
     fields = [
         (1, F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))),
@@ -41,9 +77,18 @@ def entry_scores(entries: DataFrame, asked: DataFrame) -> DataFrame:
         return F.transform(F.array_distinct(T.content_words(c)), lambda w: F.struct(F.lit(n).alias("weight"), w.alias("w")))
 
     words = F.flatten(F.array(*[weighted(n, c) for n, c in fields]))
-    terms = entries.select("id", "title", "summary", "topics", "entities", "attrs").distinct().select("id", F.explode(words).alias("x")).select("id", "x.weight", "x.w")
-    wanted = asked.select("item_id", F.explode(F.array_distinct(T.content_words(F.col("question")))).alias("w"))
-    return terms.join(wanted, "w").groupBy("item_id", "id").agg(F.sum("weight").cast("long").alias("score"))
+    terms = entries.select("id", "title", "summary", "topics", "entities", "attrs").distinct().select("id", F.explode(words).alias("x")).select("id", "x.weight", F.col("x.w").alias("term"))
+    return terms.groupBy("id", "term").agg(F.sum("weight").cast("long").alias("x"))
+
+
+def entry_scores(entries: DataFrame, asked: DataFrame, k: int | None = None) -> DataFrame:
+    """item_id, id, score: weighted overlap of the words of a question and an entry; of all entries, or of those that can be among the ``k`` best."""
+    wanted = asked.select("item_id", F.explode(F.array_distinct(T.content_words(F.col("question")))).alias("term"))
+    wanted = cut(wanted.select("item_id", "term", F.lit(1).cast("long").alias("w"), F.lit(6.0).alias("most")), "wanted")
+    parts = entry_parts(entries).join(wanted.select("term").distinct(), "term", "left_semi")
+    if k is None:
+        return parts.join(wanted, "term").groupBy("item_id", "id").agg(F.sum("x").alias("score"))
+    return best_sums(cut(parts, "parts"), wanted, "item_id", "id", k)
 
 
 def postings(docs: DataFrame, doc: str, tokens: Column, only: DataFrame | None = None) -> DataFrame:
@@ -54,19 +99,22 @@ def postings(docs: DataFrame, doc: str, tokens: Column, only: DataFrame | None =
     return counted.groupBy(doc, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(terms: DataFrame, doc: str, n_docs: int, mean_length: float, wanted: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
-    """query, doc, score. ``wanted``: query, term, n (how often it is asked). Every repetition of an asked term counts.
+def bm25(terms: DataFrame, doc: str, n_docs: int, mean_length: float, wanted: DataFrame, query: str, k: int | None = None, share: float = 0.0, k1: float = K1, b: float = B) -> DataFrame:
+    """query, doc, score of the entries that can be among the ``k`` best of a question, or reach ``share`` of its best score (0: all).
 
-    ``terms`` are the postings of the asked terms at least; they are written once and read for frequencies and scores.
+    ``wanted``: query, term, n (how often it is asked). Every repetition of an asked term counts. ``terms`` are the postings of the
+    asked terms at least; they are written once and read for frequencies and scores.
     """
     wanted = cut(wanted, "wanted")
     asked = cut(terms.join(wanted.select("term").distinct(), "term", "left_semi"), "postings")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log1p((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     norm = k1 * (1 - b + b * (F.col("dl") / F.lit(mean_length)))
-    part = F.col("n") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    weighted = wanted.join(df.select("term", idf.alias("idf")), "term")
-    return asked.join(weighted, "term").groupBy(query, doc).agg(F.sum(part).alias("score"))
+    weighted = wanted.join(df.select("term", idf.alias("idf")), "term").select(query, "term", (F.col("n") * F.col("idf")).alias("w"), (F.col("n") * F.col("idf") * (k1 + 1)).alias("most"))
+    parts = asked.select(doc, "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("x"))
+    if k is None and not share:
+        return parts.join(weighted, "term").groupBy(query, doc).agg(F.sum(F.col("w") * F.col("x")).alias("score"))
+    return best_sums(parts, weighted, query, doc, k, share)
 
 
 def collection_size(docs: DataFrame, tokens: Column) -> tuple[int, float]:
@@ -84,55 +132,112 @@ def reciprocal_fusion(rankings: list[DataFrame], by: str, doc: str) -> DataFrame
     return every.groupBy(by, doc).agg(F.round(F.sum("s"), 6).alias("score"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine over the shorter length; 0 where a length is 0."""
-    n = F.least(F.size(a), F.size(b))
-    dot = lambda x, y: F.aggregate(F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    return F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
+#: Queries that are held by each task at once.
+QUERY_BLOCK = 4_000
 
 
-#: Queries that are broadcast at once, and words in one automaton.
-QUERY_BLOCK, WORD_BLOCK = 4_000, 50_000
+def _units(rows: list) -> np.ndarray:
+    m = np.array(rows, np.float64)
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def similar(vectors: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, vec_id, query_label, label, score of every query (query_id, q, query_label) against all vectors but itself.
+def _cosines(vectors: list, queries: list) -> np.ndarray:
+    """Cosine of every vector (rows) with every query (columns) over the shorter length; 0 where a length is 0."""
+    out = np.zeros((len(vectors), len(queries)))
+    for a in {len(v) for v in vectors}:
+        for b in {len(q) for q in queries}:
+            i, j, n = [k for k, v in enumerate(vectors) if len(v) == a], [k for k, q in enumerate(queries) if len(q) == b], min(a, b)
+            if n:
+                out[np.ix_(i, j)] = _units([vectors[k][:n] for k in i]) @ _units([queries[k][:n] for k in j]).T
+    return np.round(out, 6)
 
-    The query set may grow with the data, so it is taken in blocks of at most about ``block`` rows; only a block is broadcast.
-    """
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for k in range(blocks):
-        q = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        pairs = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-        part = pairs.select("query_id", "vec_id", "query_label", "label", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
 
+def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[list, list]]:
+    """ids and vectors of the queries, at most about ``block`` at a time."""
+    n = max(1, -(-queries.count() // block))
+    for k in range(n):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).select("query_id", "q").collect()
+        yield [r["query_id"] for r in rows], [list(r["q"]) for r in rows]
 
-def contained_words(rows: DataFrame, words: DataFrame, block: int = WORD_BLOCK) -> DataFrame:
-    """id, word: which of the distinct ``words`` (word) occur anywhere in ``body`` of the rows (id, body).
 
-    The words are taken in blocks of at most about ``block``; one automaton per block reads each text once.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, vec_id, score, rank: the ``k`` vectors (vec_id, embedding) most similar to each query (query_id, q) but itself; ties by vec_id.
+
+    Exact. The query set may grow with the data, so it is taken in blocks; each task multiplies its vectors with a block, batch by batch, keeps the k
+    best of each query, and only these are shuffled.
     """
-    words = words.filter("word <> ''").distinct()
-    blocks = max(1, -(-words.count() // block))
     out = None
-    for k in range(blocks):
-        some = [r["word"] for r in words.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == k).collect()]
-        part = rows.select("id", "body").mapInPandas(_finder(some), "id string, word string")
+    for ids, qs in _blocks(queries, block):
+        part = vectors.select("vec_id", "embedding").mapInPandas(_search(np.array(ids), qs, k), "query_id long, vec_id long, score double")
         out = part if out is None else out.unionByName(part)
-    return out
+    return top(out, "query_id", "score", "vec_id", k)
 
 
-def _finder(words: list[str]):
+def _search(ids: np.ndarray, qs: list, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for w in words:
-            automaton.add_word(w, w)
-        automaton.make_automaton()
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
         for batch in batches:
-            found = [(i, w) for i, body in zip(batch["id"], batch["body"]) if words and body for w in {w for _, w in automaton.iter(body)}]
-            yield pd.DataFrame(found, columns=["id", "word"])
+            vec = batch["vec_id"].to_numpy()
+            scores = _cosines(list(batch["embedding"]), qs)
+            for j, query in enumerate(ids):
+                s, kept = scores[:, j], vec != query
+                held, names = best[j]
+                if len(held) == k:
+                    kept &= s >= held[-1]
+                s, v = np.r_[held, s[kept]], np.r_[names, vec[kept]]
+                order = np.lexsort((v, -s))[:k]
+                best[j] = s[order], v[order]
+        for query, (s, v) in zip(ids, best):
+            if len(s):
+                yield pd.DataFrame({"query_id": query, "vec_id": v, "score": s})
 
     return run
+
+
+def similar_counts(vectors: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, hits: how many vectors but itself reach the ``least`` score of each query (query_id, q, least). Counted in the tasks."""
+    out = None
+    n = max(1, -(-queries.count() // block))
+    for b in range(n):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).select("query_id", "q", "least").collect()
+        ids, qs, least = np.array([r["query_id"] for r in rows]), [list(r["q"]) for r in rows], np.array([r["least"] for r in rows])
+
+        def run(batches: Iterator[pd.DataFrame], ids=ids, qs=qs, least=least) -> Iterator[pd.DataFrame]:
+            hits = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                reached = _cosines(list(batch["embedding"]), qs) >= least
+                hits += (reached & (batch["vec_id"].to_numpy()[:, None] != ids)).sum(0)
+            yield pd.DataFrame({"query_id": ids, "hits": hits})
+
+        part = vectors.select("vec_id", "embedding").mapInPandas(run, "query_id long, hits long")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("query_id").agg(F.sum("hits").alias("hits"))
+
+
+def _grams(c: Column) -> Column:
+    """Distinct substrings of three characters; a shorter text is one."""
+    return T.shingles(c, 3)
+
+
+def contained_words(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """id, word: which of the distinct ``words`` (word) occur anywhere in ``body`` of the rows (id, body).
+
+    Every word is looked up by the rarest of its runs of three characters (shorter words by all runs that hold them); only those rows that share it are compared.
+    """
+    words = cut(words.filter("word <> ''").distinct(), "words")
+    rows = rows.select("id", "body").filter("body is not null")
+    short = words.filter("length(word) < 3")
+    of_words = words.select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    parts = rows.select("id", F.explode(_grams(F.col("body"))).alias("gram"))
+    used = of_words.select("gram").distinct()
+    held = parts.join(used, "gram", "left_semi")
+    if not short.isEmpty():
+        # one or two characters: each row lists the runs of that length, too
+        runs = lambda n: F.when(F.length("body") >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("body") - (n - 1)), lambda i: F.substring("body", i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+        held = held.unionByName(rows.select("id", F.explode(F.array_union(runs(1), runs(2))).alias("gram")).join(used, "gram", "left_semi")).distinct()
+    held = cut(held, "grams")
+    df = held.groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = of_words.join(df, "gram", "left").groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
+    candidates = rarest.join(held, "gram").select("id", "word")
+    return candidates.join(rows, "id").filter(F.contains("body", "word")).select("id", "word")

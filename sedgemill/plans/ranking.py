@@ -7,7 +7,7 @@ from sedgemill.functions import text as T
 from sedgemill.operators import ranking as R
 from sedgemill.plans.registry import Registry
 from sedgemill.plans.text import ESTIMATE, STEM, TOKENS, WORDS
-from sedgemill.session import table
+from sedgemill.session import cut, table
 
 reg = Registry()
 
@@ -41,12 +41,12 @@ def search_text():
     return F.concat_ws(" ", "title", "summary", F.array_join("topics", " "), F.array_join("entities", " "), F.array_join("tags", " "))
 
 
-def _bm25(spark, d):
+def _bm25(spark, d, k=None, share=0.0):
     docs = entries(spark, d).select("id", search_text().alias("body"))
     tokens = T.identifier_tokens(F.col("body"))
     n, mean = R.collection_size(docs, tokens)
     wanted = asked(spark, d).select("item_id", F.explode(T.identifier_tokens(F.col("question"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("n"))
-    return R.bm25(R.postings(docs, "id", tokens, wanted), "id", n, mean, wanted, "item_id").withColumn("score", F.round("score", 6))
+    return R.bm25(R.postings(docs, "id", tokens, wanted), "id", n, mean, wanted, "item_id", k, share).withColumn("score", F.round("score", 6))
 
 
 @reg.query(
@@ -63,7 +63,7 @@ select item_id, id, score, cast(row_number() over (partition by item_id order by
 )
 def score_entries(spark, d):
     """Weighted word overlap: text once, topics twice, names three times; the ten best entries of each question."""
-    return R.top(R.entry_scores(entries(spark, d), asked(spark, d)), "item_id", "score", "id", 10)
+    return R.top(R.entry_scores(entries(spark, d), asked(spark, d), 10), "item_id", "score", "id", 10)
 
 
 @reg.query(
@@ -89,7 +89,7 @@ def manifest_prefilter(spark, d):
     f"with {ASKED}, {ENTRIES}, {BM25} select item_id, id, round(score, 6) as score, cast(row_number() over (partition by item_id order by round(score, 6) desc, id) as integer) as rank from s qualify rank <= 5",
 )
 def bm25_topk(spark, d):
-    return R.top(_bm25(spark, d), "item_id", "score", "id", 5)
+    return R.top(_bm25(spark, d, 5), "item_id", "score", "id", 5)
 
 
 @reg.query(
@@ -98,8 +98,9 @@ def bm25_topk(spark, d):
 )
 def half_of_top(spark, d):
     """How many entries score at least half of the best one."""
-    scored = _bm25(spark, d).withColumn("top", F.max("score").over(Window.partitionBy("item_id")))
-    return scored.filter(F.col("score") >= F.round(0.5 * F.col("top"), 6)).groupBy("item_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
+    scored = _bm25(spark, d, share=0.5)
+    best = scored.groupBy("item_id").agg(F.max("score").alias("top"))
+    return scored.join(best, "item_id").filter(F.col("score") >= F.round(0.5 * F.col("top"), 6)).groupBy("item_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
 
 
 @reg.query(
@@ -114,7 +115,7 @@ select item_id, id, score, cast(row_number() over (partition by item_id order by
 )
 def two_stage(spark, d):
     """The twelve best by BM25, ranked again with two points for every question token in the title."""
-    candidates = R.top(_bm25(spark, d), "item_id", "score", "id", 12).drop("rank")
+    candidates = R.top(_bm25(spark, d, 12), "item_id", "score", "id", 12).drop("rank")
     titles = entries(spark, d).select("id", F.array_distinct(T.identifier_tokens(F.coalesce("title", F.lit("")))).alias("tw"))
     questions = asked(spark, d).select("item_id", F.array_distinct(T.identifier_tokens(F.col("question"))).alias("qw"))
     joined = candidates.join(titles, "id").join(questions, "item_id")
@@ -152,11 +153,12 @@ def bm25f_topk(spark, d):
     p = t.select("id", "field", "weight", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("id", "field", "weight", "term", "dl").agg(F.count("*").alias("tf"))
     wanted = asked(spark, d).select("item_id", F.explode(F.array_distinct(T.stem_tokens(F.col("question")))).alias("term"))
     p = p.join(wanted.select("term").distinct(), "term", "left_semi").join(F.broadcast(means), "field")
-    g = p.groupBy("id", "term").agg(F.sum(F.col("weight") * F.col("tf") / (0.25 + 0.75 * F.col("dl") / F.col("mean"))).alias("wtf"))
+    g = cut(p.groupBy("id", "term").agg(F.sum(F.col("weight") * F.col("tf") / (0.25 + 0.75 * F.col("dl") / F.col("mean"))).alias("wtf")), "fields")
     df = g.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    scored = g.join(wanted.join(df, "term"), "term").groupBy("item_id", "id").agg(F.round(F.sum(idf * F.col("wtf") * 2.4 / (F.col("wtf") + 1.4)), 6).alias("score"))
-    return R.top(scored, "item_id", "score", "id", 5)
+    parts = g.select("id", "term", (F.col("wtf") * 2.4 / (F.col("wtf") + 1.4)).alias("x"))
+    scored = R.best_sums(parts, wanted.join(df, "term").select("item_id", "term", idf.alias("w"), (2.4 * idf).alias("most")), "item_id", "id", 5)
+    return R.top(scored.withColumn("score", F.round("score", 6)), "item_id", "score", "id", 5)
 
 
 @reg.query("adaptive_k", f"select sum(t) as source_tokens, cast(case when sum(t) <= 200000 then 5 else 8 end as integer) as k, kind from (select kind, {ESTIMATE.format('text')} t from documents where text is not null) group by kind")
@@ -182,8 +184,8 @@ select item_id, id, score, cast(row_number() over (partition by item_id order by
 )
 def rank_fusion(spark, d):
     """Reciprocal ranks of BM25 and of weighted overlap, fifteen of each, summed."""
-    lexical = R.top(_bm25(spark, d), "item_id", "score", "id", 15)
-    weighted = R.top(R.entry_scores(entries(spark, d), asked(spark, d)), "item_id", "score", "id", 15)
+    lexical = R.top(_bm25(spark, d, 15), "item_id", "score", "id", 15)
+    weighted = R.top(R.entry_scores(entries(spark, d), asked(spark, d), 15), "item_id", "score", "id", 15)
     return R.top(R.reciprocal_fusion([lexical, weighted], "item_id", "id"), "item_id", "score", "id", 10)
 
 
@@ -237,11 +239,10 @@ _COS = "list_dot_product(q.e, v.e) / nullif(sqrt(list_dot_product(q.e, q.e)) * s
 VECTORS = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings), q as (select * from v where vec_id % 50 = 0)"
 
 
-def _similar(spark, d):
-    """Every vector whose id is divisible by 50 against all others."""
+def _vectors(spark, d):
+    """All vectors, and as queries every one whose id is divisible by 50."""
     v = table(spark, d, "embeddings").filter("embedding is not null").select("vec_id", "label", "embedding")
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
-    return R.similar(v, q)
+    return v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 @reg.query(
@@ -250,7 +251,8 @@ def _similar(spark, d):
 )
 def cosine_topk(spark, d):
     """The ten most similar vectors above the floor of 0.25."""
-    return R.top(_similar(spark, d).filter("score > 0.25").select("query_id", "vec_id", "score"), "query_id", "score", "vec_id", 10)
+    v, q = _vectors(spark, d)
+    return R.nearest(v, q, 10).filter("score > 0.25")
 
 
 @reg.query(
@@ -259,9 +261,11 @@ def cosine_topk(spark, d):
 )
 def cosine_margin(spark, d):
     """How many vectors reach three quarters of the best similarity."""
-    scored = _similar(spark, d).withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
-    kept = scored.filter((F.col("score") >= F.round(0.75 * F.col("best"), 6)) & (F.col("score") > 0.25))
-    return kept.groupBy("query_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
+    v, q = _vectors(spark, d)
+    best = R.nearest(v, q, 1).select("query_id", F.col("score").alias("best")).filter("best > 0.25")
+    least = F.greatest(F.round(0.75 * F.col("best"), 6), F.lit(0.250001))  # scores have six digits
+    bars = cut(q.join(best, "query_id").select("query_id", "q", "best", least.alias("least")), "bars")
+    return R.similar_counts(v, bars).join(bars.select("query_id", "best"), "query_id").select("query_id", "hits", "best")
 
 
 @reg.query(
@@ -270,7 +274,9 @@ def cosine_margin(spark, d):
 )
 def vector_recall(spark, d):
     """Share of queries with a vector of their own label among the k nearest, for k of 1, 5 and 10."""
-    ranked = R.top(_similar(spark, d), "query_id", "score", "vec_id", 10)
+    v, q = _vectors(spark, d)
+    labels = v.select("vec_id", "label")
+    ranked = R.nearest(v, q, 10).join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
     at = ranked.select("query_id", F.explode(F.filter(F.array(F.lit(1), F.lit(5), F.lit(10)), lambda k: F.col("rank") <= k)).alias("k"), (F.col("label") == F.col("query_label")).cast("int").alias("same"))
     return at.groupBy("query_id", "k").agg(F.max("same").alias("hit")).groupBy("k").agg(F.round(F.avg("hit"), 6).alias("hit_rate"))
 
