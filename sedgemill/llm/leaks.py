@@ -36,7 +36,7 @@ from sedgemill.session import cut, spread
 RUN, NEAR, ODD, ZH_RUN, PHRASE, SHARED = 12, 20, 6, 20, 4, 3
 SHARD_CHARS, ITEM_CHARS = 3_000_000, 20_000_000
 #: A phrase is multiplied out only if it occurs at most so often in the shard, or has at most so many places in the items.
-COMMON = 64
+COMMON = 256
 #: Words that a passage need not exceed to be found: of a longer one that is within the threshold, one half is too.
 REACH = 2 * NEAR
 WORD = re.compile(r"[^\W_]+")
@@ -345,12 +345,29 @@ def diagonals(shard: Shard, p: Phrases, run: int, near: int, least: int) -> np.n
     return np.unique(np.concatenate([found, paired(shard, p, gram, pos, common, run)]), axis=0)
 
 
+def alike(shard: Shard, p: Phrases, found: np.ndarray, least: int, chunk: int = 4_000_000) -> np.ndarray:
+    """The diagonals (text, part, shift) on which at least ``least`` words are equal, compared for many diagonals at once."""
+    items, item_at = padded(p.parts)
+    docs, doc_at = padded(shard.coded)
+    text, part, shift = found[:, 0], found[:, 1], found[:, 2]
+    first = np.maximum(0, shift)
+    n = np.minimum(np.array([len(c) for c in shard.coded])[text], np.array([len(c) for c in p.parts])[part] + shift) - first
+    kept, ends = [], np.cumsum(n)
+    for a, b in zip(*(lambda cuts: (cuts[:-1], cuts[1:]))(np.unique(np.r_[0, np.searchsorted(ends, np.arange(chunk, ends[-1] if len(ends) else 0, chunk)), len(n)]))):
+        here = slice(a, b)
+        same = docs[ranges((doc_at[text] + first)[here], n[here])] == items[ranges((item_at[part] + first - shift)[here], n[here])]
+        total = np.r_[0, np.cumsum(same)]
+        stop = np.cumsum(n[here])
+        kept.append(total[stop] - total[stop - n[here]] >= least)
+    return found[np.concatenate(kept)] if kept else found
+
+
 def search_shard(shard: Shard, p: Phrases, run: int, near: int, least: int) -> list[tuple[int, int, int, int]]:
     """text, item, start_char, end_char of every verified diagonal in one shard."""
     if shard.index is None:
         return []
     found = []
-    for k, part, shift in diagonals(shard, p, run, near, least).tolist():
+    for k, part, shift in alike(shard, p, diagonals(shard, p, run, near, least), run).tolist():
         if held := verified(shard.coded[k], p.parts[part], shift, run, near):
             found.append((k, int(p.items[part]), *shard.span(k, *held)))
     return found
