@@ -79,7 +79,7 @@ def states_after_deaths(refs: DataFrame, lives: DataFrame) -> DataFrame:
     lived = F.col("gone").isNull() | (F.col("gone") > F.col("born"))
     birth = F.struct(F.col("born").alias("at"), F.lit(1).alias("alive"))
     death = F.when(F.col("gone").isNotNull(), F.struct(F.col("gone").alias("at"), F.lit(-1).alias("alive")))
-    events = lives.filter(lived).select("key", F.explode(F.filter(F.array(birth, death), lambda x: x.isNotNull())).alias("c")).groupBy("key", "c.at").agg(F.sum("c.alive").alias("alive"))
+    events = cut(lives.filter(lived).select("key", F.explode(F.filter(F.array(birth, death), lambda x: x.isNotNull())).alias("c")).groupBy("key", "c.at").agg(F.sum("c.alive").alias("alive")), "events")
     hour = lambda c: F.date_trunc("hour", c)
     no = F.lit(0).cast("long")
     rows = refs.select("key", F.col("seen_at").alias("at"), no.alias("alive"), "ref_table", "ref_id").unionByName(
