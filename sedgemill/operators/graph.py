@@ -1,6 +1,7 @@
 """Graph operators as iterated joins: closures, shortest hops, components, cycles. Every round is cut by a written table.
 
-Hubs are split by ``lookup``; rounds move distinct pairs only. Null ends are ignored; no edges give no rows.
+Components split hubs by ``lookup``. The searches join a frontier to the links of its nodes, which is what they give out for a hub; their
+skewed partitions are split by adaptive execution. Rounds move distinct pairs only. Null ends are ignored; no edges give no rows.
 """
 
 from __future__ import annotations
