@@ -16,7 +16,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from sedgemill.functions import text as T
 from sedgemill.operators.graph import components
@@ -24,7 +24,7 @@ from sedgemill.session import cut, heavy_keys, lookup, release
 
 BANDS, ROWS = 32, 2
 SAME = 0.9
-SMALL, FANS, LEVELS = 64, 4, 6
+SMALL, FANS, LEVELS = 256, 4, 2
 
 
 def jaro(a: str, b: str) -> float:
@@ -62,6 +62,22 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_similarities, DoubleType())(a, b)
 
 
+def same(a: str, b: str) -> bool:
+    """Whether ``jaro_winkler`` reaches SAME; most pairs are refused by how many characters they share at all, which bounds those that match."""
+    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
+    m = sum(min(a.count(c), b.count(c)) for c in set(a))
+    bound = (m / len(a) + m / len(b) + 1) / 3 if m else 0.0
+    return bound + 0.1 * prefix * (1 - bound) >= SAME and jaro_winkler(a, b) >= SAME
+
+
+def _same(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([same(x, y) for x, y in zip(a, b)], dtype="bool")
+
+
+def are_same(a: str, b: str) -> Column:
+    return F.pandas_udf(_same, BooleanType())(a, b)
+
+
 def signature(shingles: Column, n: int = BANDS * ROWS) -> Column:
     """The least hash of all shingles under each of ``n`` seeds."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, i))))
@@ -87,7 +103,7 @@ def taken_by_first(left: DataFrame) -> list[DataFrame]:
     while n := left.count():
         first = left.groupBy("bucket").agg(F.min("key").alias("rep"))
         met = cut(lookup(left, first, "bucket", heavy_keys(left, "bucket", total=n)).filter("key <> rep"), "met")
-        taken = cut(met.select("key", "rep").distinct().filter(similarity("key", "rep") >= SAME), "taken")
+        taken = cut(met.select("key", "rep").distinct().filter(are_same("key", "rep")), "taken")
         links.append(taken)
         rest = cut(met.join(taken, ["key", "rep"], "left_anti").select("bucket", "key"), "buckets")
         release(left, met)
@@ -101,7 +117,7 @@ def name_links(keys: DataFrame) -> DataFrame:
     for level in range(LEVELS + 1):
         few, many = sized(rows)
         pairs = few.select("bucket", "key").join(few.select("bucket", F.col("key").alias("rep")), "bucket").filter("key > rep").select("key", "rep").distinct()
-        links.append(pairs.filter(similarity("key", "rep") >= SAME))
+        links.append(pairs.filter(are_same("key", "rep")))
         if many.isEmpty():
             break
         if level == LEVELS:
