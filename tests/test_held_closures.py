@@ -69,3 +69,14 @@ def test_nothing(spark):
     seeds = spark.createDataFrame([("a",), (None,)], "seed string")
     assert C.count_beyond(seeds, none).count() == 0
     assert C.count_beyond(seeds.limit(0), spark.createDataFrame([("a", "b"), ("b", None)], none.schema)).count() == 0
+
+
+def test_impact_closure_moves_no_pairs(spark, crowd, monkeypatch):
+    """Arrays of seven names, so that most seeds have several."""
+    monkeypatch.setattr(C, "NAMES", 7)
+    d, links = crowd
+    want = {(n, x) for n in [f"f{i}" for i in range(400)] for x in beyond(links, n) | {n}} | {("lone", "lone")}
+    before = moved(spark)
+    got = list(map(tuple, entry.queries()["impact_closure"](spark, d).collect()))
+    assert len(got) == len(want) and set(got) == want
+    assert moved(spark) - before < 20_000
